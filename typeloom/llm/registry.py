@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import chat_format, line_dedup, mixing, url_filter
+from . import chat_format, html_extract, lang_id, line_dedup, mixing, toxicity, url_filter
 
 QUERIES = {
+    "op2_html_extract": html_extract.op2_html_extract,
     "op4_url_filter": url_filter.op4_url_filter,
     "op5_mixing": mixing.op5_mixing,
     "op6_line_dedup": line_dedup.op6_line_dedup,
+    "op8_toxicity": toxicity.op8_toxicity,
+    "op9_lang_id": lang_id.op9_lang_id,
     "op10_chat_format": chat_format.op10_chat_format,
 }
 SQL = {"op6_line_dedup": line_dedup.SQL, "op10_chat_format": chat_format.SQL}
