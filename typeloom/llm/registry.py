@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat_format, html_extract, lang_id, line_dedup, mixing, toxicity, url_filter
+from . import chat_format, decontaminate, html_extract, lang_id, line_dedup, media, mixing, toxicity, url_filter
 
 QUERIES = {
+    "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_html_extract": html_extract.op2_html_extract,
+    "op3_media": media.op3_media,
     "op4_url_filter": url_filter.op4_url_filter,
     "op5_mixing": mixing.op5_mixing,
     "op6_line_dedup": line_dedup.op6_line_dedup,
