@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, html_extract, lang_id, line_dedup, media, mixing, toxicity, url_filter
+from . import chat_format, decontaminate, html_extract, jaccard_join, lang_id, line_dedup, media, mixing, toxicity, url_filter
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_url_filter": url_filter.op4_url_filter,
     "op5_mixing": mixing.op5_mixing,
     "op6_line_dedup": line_dedup.op6_line_dedup,
+    "op7_jaccard_join": jaccard_join.op7_jaccard_join,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_lang_id": lang_id.op9_lang_id,
     "op10_chat_format": chat_format.op10_chat_format,
