@@ -28,11 +28,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import table
 
 TRAIN_ROWS, MAX_LEXICON = 20_000, 5000
-MIN_DOCS, MIN_PRECISION, STEM = 6, 0.8, (4, 8)
+#: Documents that must have a form (fewer, but 4, where 25 times as many toxic ones are not there), the share of them labelled toxic, lengths of beginnings, words that one must have.
+MIN_DOCS, MIN_PRECISION, STEM, MIN_WORDS = 6, 0.8, (4, 8), 4
 THRESHOLD = 0.7
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[.;:!?\n]+")
 
@@ -43,6 +45,8 @@ WORDS = {
     "R": "said says say called calls wrote quoted alleged claimed reported dit disait écrit sagt sagte schrieb nannte dijo dice escribió llamó",
     "H": "kill hurt destroy beat punch stab shoot burn attack tuer frapper détruire töten schlagen vernichten matar golpear destruir",
 }
+#: Insults known without labels, unless the labels say otherwise, and their log odds.
+SEEDS, SEED_ODDS = "idiot idiots moron morons stupid dumb loser losers scum scumbag trash garbage pathetic worthless disgusting clown imbecile jerk fool coward", 3.0
 FIXED = {w: c for c, ws in WORDS.items() for w in ws.split()}
 
 
@@ -153,16 +157,23 @@ def learn_lexicon(labelled: DataFrame) -> dict[str, float]:
     sizes = docs.agg(F.count_distinct(F.when(F.col("toxic") == 1, F.col("sig"))).alias("n1"), F.count_distinct(F.when(F.col("toxic") == 0, F.col("sig"))).alias("n0")).first()
     if not sizes["n1"] or not sizes["n0"]:
         return {}
-    lengths = range(STEM[0], STEM[1] + 1)
-    each = docs.select("toxic", "sig", F.explode("w").alias("x"))
-    forms = F.array(F.col("x"), *[F.when(F.length("x") > k, F.concat(F.substring("x", 1, k), F.lit("*"))) for k in lengths])
-    each = each.select("toxic", "sig", F.explode(forms).alias("form")).where("form is not null").distinct()
-    n1, n0 = F.sum("toxic").alias("n1"), F.sum(1 - F.col("toxic")).alias("n0")
+    each = docs.select("toxic", "sig", F.explode("w").alias("x")).distinct()
+    n1, n0 = F.sum("n1").alias("n1"), F.sum("n0").alias("n0")
+    each = each.groupBy("x").agg(F.sum("toxic").alias("n1"), F.sum(1 - F.col("toxic")).alias("n0"))
+    forms = F.array(F.col("x"), *[F.when(F.length("x") > k, F.concat(F.substring("x", 1, k), F.lit("*"))) for k in range(STEM[0], STEM[1] + 1)])
+    each = each.select("n1", "n0", F.explode(forms).alias("form")).where("form is not null")
     odds = F.log((F.col("n1") + 0.5) / (sizes["n1"] + 1)) - F.log((F.col("n0") + 0.5) / (sizes["n0"] + 1))
-    found = each.groupBy("form").agg(n1, n0).where((F.col("n1") >= MIN_DOCS) & (F.col("n1") >= MIN_PRECISION * (F.col("n1") + F.col("n0")))).select("form", odds.alias("v"), "n1")
+    least = max(4, min(MIN_DOCS, sizes["n1"] // 25))
+    counts = each.groupBy("form").agg(n1, n0, F.count_if(F.col("n1") > 0).alias("words"))
+    counts = counts.where(~F.col("form").endswith("*") | (F.col("words") >= MIN_WORDS))
+    seeds = counts.where(F.col("form").isin(SEEDS.split()) & (F.col("n1") + F.col("n0") >= least)).select("form", (F.col("n1") >= MIN_PRECISION * (F.col("n1") + F.col("n0"))).alias("ok")).collect()
+    out = dict.fromkeys(SEEDS.split(), SEED_ODDS)
+    for r in seeds:
+        if not r["ok"]:
+            del out[r["form"]]
+    found = counts.where((F.col("n1") >= least) & (F.col("n1") >= MIN_PRECISION * (F.col("n1") + F.col("n0")))).select("form", odds.alias("v"), "n1")
     rows = found.orderBy(F.desc("n1"), "form").limit(MAX_LEXICON).collect()
     stems = {r["form"][:-1] for r in rows if r["form"].endswith("*")}
-    out = {}
     for r in rows:  # a form goes where a shorter beginning of it is in the lexicon already
         body = r["form"].rstrip("*")
         if not any(body[:k] in stems for k in range(STEM[0], len(body))):
@@ -188,8 +199,7 @@ def _fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def score(docs: DataFrame, training: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """doc_id, score, marks for each row of docs (doc_id, text). labels (doc_id, toxic) names the rows of training (doc_id, text) to learn from."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    """doc_id, score, marks for each row of docs (doc_id, text); doc_id may be of any type, as a struct of all columns. labels (doc_id, toxic) names the rows of training (doc_id, text) to learn from."""
     chosen = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("long").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
     labelled = training.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     lexicon = learn_lexicon(labelled)
@@ -204,8 +214,8 @@ def score(docs: DataFrame, training: DataFrame, labels: DataFrame, train_rows: i
                 s = np.zeros(b.num_rows) if weights is None else 1 / (1 + np.exp(-np.clip(f @ weights[:-1] + weights[-1], -30, 30)))
                 yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(s), pa.array(list(f), pa.list_(pa.float64()))], names=[*names, "score", "marks"])
 
-        types = {"doc_id": kind, "toxic": "long"}
-        return rows.select(*names, "text").mapInArrow(run, ", ".join([*(f"{n} {types[n]}" for n in names), "score double", "marks array<double>"]))
+        types = {"doc_id": rows.schema["doc_id"].dataType, "toxic": T.LongType(), "score": T.DoubleType(), "marks": T.ArrayType(T.DoubleType())}
+        return rows.select(*names, "text").mapInArrow(run, T.StructType([T.StructField(n, types[n]) for n in (*names, "score", "marks")]))
 
     weights = None
     if lexicon:
@@ -214,6 +224,12 @@ def score(docs: DataFrame, training: DataFrame, labels: DataFrame, train_rows: i
     return mapped(docs, "", weights)
 
 
+def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that score below threshold, with all their columns. labels (doc_id, toxic) names rows of docs to learn from."""
+    whole = docs.select(F.struct(*docs.columns).alias("doc_id"), "text")
+    return score(whole, docs, labels).where(F.col("score") < threshold).select("doc_id.*")
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic")
     held = F.coalesce((F.crc32(F.col("doc_id").cast("string")) % 3) == 1, F.lit(False))
