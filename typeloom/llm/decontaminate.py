@@ -160,5 +160,20 @@ def find_items(docs: DataFrame, items: DataFrame, max_error: float = MAX_ERROR)
     return out
 
 
+def drop_leaks(docs: DataFrame, items: DataFrame, max_error: float = MAX_ERROR) -> DataFrame:
+    """The rows of docs in which no item (item_id, text) occurs, with all their columns."""
+    spark = docs.sparkSession
+    for block in _blocks(items):
+        texts = spark.sparkContext.broadcast([(n, t) for n, (_, t) in enumerate(block)])
+
+        def run(batches: Iterator[pa.RecordBatch], texts=texts) -> Iterator[pa.RecordBatch]:
+            matcher = Matcher(texts.value, max_error)
+            for b in batches:
+                yield b.filter(pa.array([not matcher.find(t.as_py()) for t in b.column("text")], pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_items(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))

@@ -35,7 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table, written
@@ -220,5 +220,13 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def drop_near_copies(docs: DataFrame) -> DataFrame:
+    """The rows of docs whose id is the smallest of their component, with all their columns; of rows that repeat an id one stays. Rows with a null id stay."""
+    kept = jaccard_components(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    one = Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns))
+    rest = docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi").select("*", F.row_number().over(one).alias("_row_of_id")).where("_row_of_id = 1").drop("_row_of_id")
+    return rest.unionByName(docs.where("doc_id is null"))
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
