@@ -69,6 +69,8 @@ def slots(sources: DataFrame, block_words: int = BLOCK_WORDS, seed: int = SEED)
         F.sum(F.ceil(F.round("target") / block_words)).over(Window.partitionBy()).cast("long").alias("all_slots"),
     )
     own = own.where("t > 0").select("*", F.assert_true(F.col("b") < PRIMES[-1], "too many blocks: raise block_words").alias("_ok"))
+    # a fixed number of tasks: a row here stands for up to _CHUNK slots, which its size does not tell
+    tasks = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # passes, then chunks of ranks, then ranks: no row holds a list that grows with the source, but for one entry a chunk
     passes = own.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(t - 1) div s"))).alias("e"))
     passes = passes.select(
@@ -78,7 +80,7 @@ def slots(sources: DataFrame, block_words: int = BLOCK_WORDS, seed: int = SEED)
         F.element_at(F.array(*[F.lit(p).cast("long") for p in PRIMES]), (_draw(F.lit(len(PRIMES)), F.lit(seed + 1), "sid", "e") + 1).cast("int")).alias("a"),
     )
     passes = passes.withColumn("c", F.pmod(F.col("b") - 1 - F.pmod(F.col("a") * F.col("short"), F.col("b")), F.col("b")))
-    chunks = passes.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(b - 1) div {_CHUNK}"))).alias("k")).repartition("sid", "e", "k")
+    chunks = passes.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(b - 1) div {_CHUNK}"))).alias("k")).repartition(tasks, "sid", "e", "k")
     ranks = chunks.select("*", F.explode(F.sequence(F.col("k") * _CHUNK, F.least(F.col("b"), (F.col("k") + 1) * _CHUNK) - 1)).alias("i"))
     missing = F.col("b") * block_words - F.col("s")  # what the short block lacks
     begin = F.col("i") * block_words - F.when(F.col("i") > F.col("short"), missing).otherwise(0)
@@ -106,7 +108,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, blo
     touched = F.when(F.col("size") > 0, F.sequence(F.expr(f"begin div {block_words}"), F.expr(f"(begin + size - 1) div {block_words}")))
     parts = rows.select("doc_id", "size", "sid", "source_size", "target", "bucket", "rn", "begin", F.explode_outer(touched).alias("block"))
     used = slots(per, block_words, seed).groupBy("sid", "block").agg(F.collect_list("take").alias("takes"))
-    parts = parts.join(used, ["sid", "block"], "left")
+    # the slots come out of a table of a few rows: without the hint the planner would take them for few and broadcast them
+    parts = parts.join(used.hint("merge"), ["sid", "block"], "left")
     lo = F.greatest(F.col("begin") - F.col("block") * block_words, F.lit(0))
     hi = F.col("begin") + F.col("size") - F.col("block") * block_words
     got = F.aggregate("takes", F.lit(0).cast("long"), lambda acc, take: acc + F.greatest(F.least(hi, take) - lo, F.lit(0)))
