@@ -11,14 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut in the cluster's shared checkpoint folder (one below the warehouse where none is set)."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        where = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
-        spark.sparkContext.setCheckpointDir(where)
-    return df.checkpoint()
+from .stable import cut
 
 
 # -- rows --

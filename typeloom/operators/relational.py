@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from typeloom.functions.predicates import truthy
 
+from .stable import cut
+
 
 def order_of(df: DataFrame, order: str | list[str]) -> list[str]:
     return [order] if isinstance(order, str) else list(order)
@@ -140,7 +142,8 @@ def numbered(df: DataFrame, order: str | list[str], name: str = "row_index", par
     if partition:
         return df.withColumn(name, F.row_number().over(Window.partitionBy(*order_of(df, partition)).orderBy(*keys)).cast("long"))
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(tasks, *keys).withColumn("_part", F.spark_partition_id())
+    # ranges are drawn from a sample, so the dealt rows are kept: counts and ranks must come from one draw
+    ranged = cut(df.repartitionByRange(tasks, *keys).withColumn("_part", F.spark_partition_id()))
     sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
     before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
     inside = ranged.withColumn("_rank", F.row_number().over(Window.partitionBy("_part").orderBy(*keys)))

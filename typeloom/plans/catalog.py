@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from . import graph_queries, patch_queries, relational_queries, scalar_queries, typed_queries  # noqa: F401
+from .base import QUERIES, SQL
+
 FLAGSHIP = "left_join_files"
+__all__ = ["FLAGSHIP", "QUERIES", "SQL"]
