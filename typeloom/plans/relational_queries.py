@@ -13,7 +13,7 @@ from .base import query, read
 @query(
     "left_join_files",
     """SELECT coalesce(c.c_nationkey, -1) AS c_nationkey, count(*)::BIGINT AS n_orders, count(c.c_custkey)::BIGINT AS n_matched,
-      count(DISTINCT c.c_mktsegment)::BIGINT AS n_segments, round(sum(o.o_totalprice), 2) AS total, round(avg(c.c_acctbal), 4) AS avg_balance
+      count(DISTINCT c.c_mktsegment)::BIGINT AS n_segments, sum(round(o.o_totalprice * 100)::BIGINT)::BIGINT AS cents, round(avg(round(c.c_acctbal * 100)::BIGINT), 1) AS average_cents
     FROM orders o LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 5 <> 0) c ON o.o_custkey = c.c_custkey GROUP BY 1""",
 )
 def left_join_files(spark, sf):
@@ -21,7 +21,7 @@ def left_join_files(spark, sf):
     customer = read(spark, sf, "customer").where("c_custkey % 5 <> 0").select("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment").withColumn("_found", F.lit(1))
     joined = R.join_files(orders, [customer], "c_custkey", order="c_nationkey").withColumn("c_nationkey", F.coalesce("c_nationkey", F.lit(-1)))
     return joined.groupBy("c_nationkey").agg(
-        F.count("*").alias("n_orders"), F.count("_found").alias("n_matched"), F.count_distinct("c_mktsegment").alias("n_segments"), F.round(R.sum_of("o_totalprice"), 2).alias("total"), F.round(F.avg("c_acctbal"), 4).alias("avg_balance")
+        F.count("*").alias("n_orders"), F.count("_found").alias("n_matched"), F.count_distinct("c_mktsegment").alias("n_segments"), R.sum_of(F.round(F.col("o_totalprice") * 100).cast("long")).alias("cents"), F.round(F.avg(F.round(F.col("c_acctbal") * 100).cast("long")), 1).alias("average_cents")
     )
 
 
