@@ -31,6 +31,14 @@ def word_count(text: Column) -> Column:
     return F.when(body == "", F.lit(0).cast("long")).otherwise(F.size(F.split(body, WORD_GAP)).cast("long"))
 
 
+def hash_sample(df: DataFrame, key: str, n: int) -> DataFrame:
+    """All rows of df if they are at most n, else the about n rows of smallest hashed key: a filter in place, not a sort that gathers rows."""
+    total = df.count()
+    if total <= n:
+        return df
+    return df.where(F.xxhash64(key) < int(n / total * 2**64) - 2**63)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder: spark.checkpoint.dir, or (tests only) a folder below the warehouse."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

@@ -6,8 +6,9 @@ integers). The join is exact and gives the connected components of the links:
 1. Documents with equal sets are one node, named by a 64-bit hash of the set.
 2. Tokens get one global order, rare ones first; a node's prefix is its first n - ceil(0.8 n) + 1 tokens. Two nodes that
    link share a token of both prefixes. What counts as frequent is measured over all documents; any order is exact.
-3. Seeding: each node is compared with at most two of the nodes that a shared prefix token offers as leaders. The
-   links found make first components, in which groups of copies, however large, collapse in time linear in their size.
+3. Seeding: each node is compared with at most two of the nodes that a shared prefix token offers as leaders, then
+   twice with one node of the largest component that its tokens meet. The links found make first components, in which
+   groups of copies, however large, collapse in time linear in their size.
 4. Matrix: the nodes of a component, in bands of set size and chunks, are the groups of similar documents; a group's row of the matrix is the
    union of its members' prefix tokens. Joined by token, a node and a group of another component meet where
    the overlap of the node with the union, plus all that prefixes leave open, can reach the needed overlap for the group's range of set
@@ -43,6 +44,8 @@ from .components import components
 from .shingles import Shingler, set_hash
 
 MAX_FREQUENT, FREQUENT, MAX_IDS, CHUNK = 500_000, 8, 1_000_000, 256
+#: Rounds of seeding after the first: they only make what the matrix has to compare less.
+SEEDINGS = 2
 SEGMENT = 4_000_000
 
 
@@ -69,7 +72,11 @@ def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             yield flush()
 
     counts = docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
-    found = counts.orderBy(F.desc("n"), "token").limit(MAX_FREQUENT).toArrow()
+    counts = written(counts, "frequent")
+    # the least power of two from which on there are no more than MAX_FREQUENT tokens
+    sizes = {r["k"]: r["count"] for r in counts.groupBy(F.floor(F.log2(F.col("n").cast("double"))).alias("k")).count().collect()}
+    least = next((k for k in sorted(sizes) if sum(v for j, v in sizes.items() if j >= k) <= MAX_FREQUENT), 63)
+    found = counts.where(F.floor(F.log2(F.col("n").cast("double"))) >= least).toArrow()
     tokens, n = found.column("token").to_numpy(), found.column("n").to_numpy()
     order = np.argsort(tokens)
     return tokens[order].astype(np.int64), np.log2(np.maximum(n[order], 1)).astype(np.int8)
@@ -82,15 +89,18 @@ def _signed(docs: DataFrame, frequent) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, seen = Shingler(), set()
         tokens, level = frequent.value
+        bitmap = np.zeros(1 << 22, bool)
+        bitmap[tokens & 0x3FFFFF] = True
         for b in batches:
             sets = [shingler(t.as_py()) for t in b.column("text")]
             n = np.array([len(s) for s in sets])
             every = np.concatenate([*sets, np.zeros(0, np.int64)])
-            if len(tokens):
-                at = np.minimum(np.searchsorted(tokens, every), len(tokens) - 1)
-                levels = np.where(tokens[at] == every, level[at], 0).astype(np.int8)
-            else:
-                levels = np.zeros(len(every), np.int8)
+            levels = np.zeros(len(every), np.int8)
+            maybe = np.flatnonzero(bitmap[every & 0x3FFFFF])  # few tokens pass, and only these are searched for
+            if len(maybe):
+                some = every[maybe]
+                at = np.minimum(np.searchsorted(tokens, some), len(tokens) - 1)
+                levels[maybe] = np.where(tokens[at] == some, level[at], 0)
             ends = np.cumsum(n)
             hashes, prefixes = [], []
             for s, e, k in zip(sets, ends.tolist(), n.tolist(), strict=True):
@@ -130,38 +140,73 @@ def _sets(docs: DataFrame, nodes: DataFrame, classes: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "h long, tokens array<long>")
 
 
-def _open(key: tuple, members: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-    """Links (a, b): for each query the first member of the group that it links with, if any."""
-    none = pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
-    if members.empty or queries.empty:
-        return none
-    members, queries = members.drop_duplicates("h").sort_values("h"), queries.drop_duplicates("q")
-    rows = np.concatenate(members["tokens"].tolist())
-    sizes = members["tokens"].str.len().to_numpy()
+def _open(members: list, queries: list) -> Iterator[tuple[int, int]]:
+    """Links of queries (h, tokens), each to the first of the group's members (h, tokens) that it links with, if any."""
+    members = sorted(dict(members).items())
+    rows = np.concatenate([t for _, t in members])
+    sizes = np.array([len(t) for _, t in members])
     begins = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-    union, row_token = np.unique(rows, return_inverse=True)
-    ids, found = members["h"].to_numpy(), []
-    for h, tokens in zip(queries["q"], queries["q_tokens"], strict=True):
+    union, row_token = (members[0][1], None) if len(members) == 1 else np.unique(rows, return_inverse=True)
+    ids = np.array([h for h, _ in members])
+    for h, tokens in dict(queries).items():
         at = np.minimum(np.searchsorted(union, tokens), len(union) - 1)
         there = union[at] == tokens
         if 10 * there.sum() < 8 * len(tokens):  # the bound by the group's full union
             continue
-        mark = np.zeros(len(union), np.int64)
-        mark[at[there]] = 1
-        both = np.add.reduceat(mark[row_token], begins)
+        if row_token is None:
+            both = np.array([there.sum()])
+        else:
+            mark = np.zeros(len(union), np.int64)
+            mark[at[there]] = 1
+            both = np.add.reduceat(mark[row_token], begins)
         good = np.flatnonzero((100 * both >= 80 * (len(tokens) + sizes - both)) & (ids != h))
         if len(good):
-            found.append((h, ids[good[0]]))
-    return pd.DataFrame(found, columns=["a", "b"], dtype="int64") if found else none
+            yield h, int(ids[good[0]])
+
+
+def _open_pack(members: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+    """Links (a, b) of all groups of a pack."""
+    groups: dict[tuple, tuple[list, list]] = {}
+    for side, frame in enumerate((members, queries)):
+        for gid, salt, h, tokens in zip(*(frame.iloc[:, i] for i in range(1, 5)), strict=True):
+            groups.setdefault((gid, salt), ([], []))[side].append((h, tokens))
+    found = [link for m, q in groups.values() if m and q for link in _open(m, q)]
+    return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
 
 def _links(asked: DataFrame, members: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b links of asked (q, gid) with members (gid, h), sets (h, tokens) being at hand."""
+    """a, b links of asked (q, gid) with members (gid, h), sets (h, tokens) being at hand.
+
+    A group meets CHUNK queries at a time; some such meetings make a pack, as a group of its own costs a task more than its work."""
+    packs = asked.count() // CHUNK + members.count() // CHUNK + 1
     load = asked.groupBy("gid").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("salts"))
-    queries = asked.join(load, "gid").select("gid", F.pmod(F.xxhash64("q"), "salts").cast("int").alias("salt"), F.col("q").alias("h")).join(sets, "h")
-    queries = queries.select(F.col("gid").alias("q_gid"), F.col("salt").alias("q_salt"), F.col("h").alias("q"), F.col("tokens").alias("q_tokens"))
-    groups = members.join(load, "gid").select("gid", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "h").join(sets, "h")
-    return groups.groupBy("gid", "salt").cogroup(queries.groupBy("q_gid", "q_salt")).applyInPandas(_open, "a long, b long")
+    pack = F.pmod(F.xxhash64("gid", "salt"), F.lit(packs)).alias("pack")
+    queries = asked.join(load, "gid").select("gid", F.pmod(F.xxhash64("q"), "salts").cast("int").alias("salt"), F.col("q").alias("h")).join(sets, "h").select(pack, "gid", "salt", "h", "tokens")
+    groups = members.join(load, "gid").select("gid", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "h").join(sets, "h").select(pack, "gid", "salt", "h", "tokens")
+    queries = queries.select(*[F.col(c).alias(f"q_{c}") for c in queries.columns])
+    return groups.groupBy("pack").cogroup(queries.groupBy("q_pack")).applyInPandas(_open_pack, "a long, b long")
+
+
+def _with_components(rows: DataFrame, comps: DataFrame) -> DataFrame:
+    """rows (token, h, n) of the tokens that nodes of several components (node, comp) have, with comp and its size."""
+    sized = comps.join(comps.groupBy("comp").agg(F.count("*").alias("size")), "comp").select(F.col("node").alias("h"), "comp", "size")
+    rows = rows.select("token", "h", "n").join(sized, "h", "left").select("token", "h", "n", F.coalesce("comp", "h").alias("comp"), F.coalesce("size", F.lit(1).cast("long")).alias("size"))
+    mixed = rows.groupBy("token").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("token")
+    return written(rows.join(mixed, "token"), "rows")
+
+
+def _likely(offered: DataFrame) -> DataFrame:
+    """Of offered (h, n, leader, d, c) those that may link by their sizes n, d and the prefix tokens c that they share."""
+    return offered.where((10 * F.col("n") >= 8 * F.col("d")) & (8 * F.col("n") <= 10 * F.col("d")) & (F.col("c") >= _needed(F.col("n"), F.col("d"))))
+
+
+def _verified(docs: DataFrame, asked: DataFrame, members: DataFrame | None, classes: DataFrame) -> DataFrame:
+    """a, b links of asked (q, gid); members (gid, h), or None where a group is the node that names it."""
+    asked = written(asked, "asked")
+    groups = asked.select("gid").distinct()
+    members = written(groups.select("gid", F.col("gid").alias("h")) if members is None else members.join(groups, "gid", "left_semi").distinct(), "members")
+    nodes = asked.select(F.col("q").alias("h")).unionByName(members.select("h")).distinct()
+    return written(_links(asked, members, written(_sets(docs, nodes, classes), "sets")), "links")
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -174,29 +219,30 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     classes = signed.where("doc_id is not null and h is not null").groupBy("h").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
 
     posting = signed.where("doc_id is not null").select(F.explode("prefix").alias("token"), "h", "n")
-    offers = posting.groupBy("token").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.min(F.col("h").bitwiseXOR(F.lit(0x2545F4914F6CDD1D))).alias("x")).where("lo <> hi")
-    offers = offers.select("token", "lo", "hi", F.col("x").bitwiseXOR(F.lit(0x2545F4914F6CDD1D)).alias("mid"))
-    shared = written(posting.join(offers, "token").groupBy("token", "h", "n").agg(*[F.first(c).alias(c) for c in ("lo", "mid", "hi")]), "shared")
+    offers = posting.groupBy("token").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi")
+    # copies met in other tasks repeat rows: they raise counts below, which only lets more candidates through
+    shared = written(posting.join(offers, "token"), "shared")
 
     # seeding: the two leaders that share most prefix tokens with a node
-    offered = shared.select("h", "n", F.explode(F.array_distinct(F.array("lo", "mid", "hi"))).alias("leader")).where("h <> leader").groupBy("h", "n", "leader").agg(F.count("*").alias("c"))
+    offered = shared.select("h", "n", F.explode(F.array("lo", "hi")).alias("leader")).where("h <> leader").groupBy("h", "n", "leader").agg(F.count("*").alias("c"))
     leaders = offered.select("leader").distinct().join(classes.select(F.col("h").alias("leader"), F.col("n").alias("d")), "leader")
-    offered = offered.join(leaders, "leader").where((10 * F.col("n") >= 8 * F.col("d")) & (8 * F.col("n") <= 10 * F.col("d")) & (F.col("c") >= _needed(F.col("n"), F.col("d"))))
-    best = offered.groupBy("h").agg(F.max(F.struct("c", "leader")).alias("x"), F.max(F.struct((-F.col("leader")).alias("c"), "leader")).alias("y"))
-    asked = written(best.select(F.col("h").alias("q"), F.explode(F.array_distinct(F.array("x.leader", "y.leader"))).alias("gid")), "asked")
-    members = asked.select("gid", F.col("gid").alias("h")).distinct()
-    nodes = asked.select(F.col("q").alias("h")).unionByName(members.select("h")).distinct()
-    links = written(_links(asked, members, written(_sets(known, nodes, classes), "sets")), "links")
-    first = components(links)
-
-    # the matrix: groups are (component, band of set size, chunk); only tokens that meet several components matter
-    sized = first.join(first.groupBy("comp").agg(F.count("*").alias("size")), "comp").select(F.col("node").alias("h"), "comp", "size")
-    rows = shared.select("token", "h", "n").join(sized, "h", "left").select("token", "h", "n", F.coalesce("comp", "h").alias("comp"), F.coalesce("size", F.lit(1)).alias("size"))
-    rows = written(rows, "rows")
-    mixed = rows.groupBy("token").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("token")
+    best = _likely(offered.join(leaders, "leader")).groupBy("h").agg(F.max(F.struct("c", "leader")).alias("x"), F.min(F.struct("leader")).alias("y"))
+    asked = best.select(F.col("h").alias("q"), F.explode(F.array_distinct(F.array("x.leader", "y.leader"))).alias("gid"))
+    links = _verified(known, asked, None, classes)
+    comps = components(links)
+    rows = _with_components(shared, comps)
+    for _ in range(SEEDINGS):  # again, with leaders from the largest component that a token meets
+        large = rows.groupBy("token").agg(F.max(F.struct("size", "comp", "h", "n")).alias("m"))
+        offered = rows.join(large, "token").where("comp <> m.comp").groupBy("h", "n", F.col("m.h").alias("leader"), F.col("m.n").alias("d")).agg(F.count("*").alias("c"))
+        asked = _likely(offered).groupBy("h").agg(F.max(F.struct("c", "leader")).alias("x")).select(F.col("h").alias("q"), F.col("x.leader").alias("gid"))
+        links = links.unionByName(_verified(known, asked, None, classes))
+        comps = components(links)
+        rows = _with_components(rows, comps)
+
+    # the matrix: groups are (component, band of set size, chunk)
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(1.05)).cast("int")
     chunk = F.pmod(F.xxhash64("h"), F.ceil(F.col("size") / CHUNK))
-    rows = rows.join(mixed, "token").withColumn("gid", F.xxhash64("comp", band, chunk))
+    rows = rows.withColumn("gid", F.xxhash64("comp", band, chunk))
     matrix = rows.groupBy("token", "gid").agg(F.first("comp").alias("g_comp"), F.first("size").alias("g_size"), F.min("n").alias("d1"), F.max("n").alias("d2"))
     met = rows.join(
         matrix.withColumnRenamed("gid", "g"),
@@ -207,11 +253,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     met = met.groupBy("h", "n", F.col("g").alias("gid")).agg(F.count("*").alias("c"), F.min("d1").alias("d1"), F.max("d2").alias("d2"))
     low, high = F.greatest(F.col("d1").cast("double"), F.col("n") * 0.8), F.least(F.col("d2").cast("double"), F.col("n") * 1.25)
     qualify = F.col("c") >= F.least(_needed(F.col("n"), low), _needed(F.col("n"), high)) - 1
-    asked = written(met.where(qualify).select(F.col("h").alias("q"), "gid"), "asked")
-    members = written(rows.select("gid", "h").join(asked.select("gid").distinct(), "gid", "left_semi").distinct(), "members")
-    nodes = asked.select(F.col("q").alias("h")).unionByName(members.select("h")).distinct()
-    more = _links(asked, members, written(_sets(known, nodes, classes), "sets"))
-    final = components(links.unionByName(more))
+    asked = met.where(qualify).select(F.col("h").alias("q"), "gid")
+    final = components(links.unionByName(_verified(known, asked, rows.select("gid", "h"), classes)))
 
     named = classes.join(final.select(F.col("node").alias("h"), "comp"), "h", "left")
     names = named.where("comp is not null").groupBy("comp").agg(F.min("rep").alias("component"))

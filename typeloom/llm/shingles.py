@@ -38,13 +38,16 @@ class Shingler:
         words = (text or "").encode("utf-8", "surrogatepass").lower().split()
         if not words:
             return np.zeros(0, np.int64)
-        h = self.hashes
-        w = np.array([h[x] for x in words], np.uint64)
+        w = np.fromiter(map(self.hashes.__getitem__, words), np.uint64, len(words))
         n = min(len(w), WORDS)
-        acc = np.full(len(w) - n + 1, n, np.uint64)
-        for k in range(n):
-            acc += mix(w[k : len(w) - n + 1 + k] * _K[k])
-        return np.unique(mix(acc).view(np.int64))
+        acc = w[: len(w) - n + 1] * _K[0]
+        for k in range(1, n):
+            acc += w[k : len(w) - n + 1 + k] * _K[k]
+        if n < WORDS:
+            acc += np.uint64(n)
+        acc = mix(acc).view(np.int64)
+        acc.sort()
+        return acc[np.concatenate(([True], acc[1:] != acc[:-1]))] if len(acc) > 1 else acc
 
 
 def set_hash(tokens: np.ndarray) -> int:

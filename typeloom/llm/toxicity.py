@@ -14,7 +14,7 @@ Defined results: a null or empty text, or one without a clause that matches, get
 both kinds nothing is learned and every score is 0; repeated rows give repeated rows; other columns are ignored; of
 several labels for an id the largest counts; an empty table gives an empty table.
 
-Scale: at most TRAIN_ROWS labelled documents (those of smallest hashed id) train; their ids, bounded by that number, are
+Scale: about TRAIN_ROWS labelled documents at most (those of smallest hashed id) train; their ids, bounded by that number, are
 broadcast, so that texts are never shuffled. Scoring is one narrow map with a machine of a few hundred bytes and a lexicon
 bounded by MAX_LEXICON.
 """
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import hash_sample, table
 
 TRAIN_ROWS, MAX_LEXICON = 20_000, 5000
 #: Documents that must have a form (fewer, but 4, where 25 times as many toxic ones are not there), the share of them labelled toxic, lengths of beginnings, words that one must have.
@@ -200,7 +200,7 @@ def _fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def score(docs: DataFrame, training: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """doc_id, score, marks for each row of docs (doc_id, text); doc_id may be of any type, as a struct of all columns. labels (doc_id, toxic) names the rows of training (doc_id, text) to learn from."""
-    chosen = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("long").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
+    chosen = hash_sample(labels.where("doc_id is not null and toxic is not null"), "doc_id", train_rows).groupBy("doc_id").agg(F.max("toxic").cast("long").alias("toxic"))
     labelled = training.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     lexicon = learn_lexicon(labelled)
 
