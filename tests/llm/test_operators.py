@@ -281,6 +281,16 @@ def test_jaccard_edges(spark, odd, none):
     assert kept.columns == odd.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "2", "3", "4", "7", "None"]
 
 
+def test_jaccard_null_id_hides_no_set(spark):
+    from typeloom.llm.jaccard_join import jaccard_components
+
+    words = [f"w{i}" for i in range(60)]
+    near = " ".join([*words[:-1], "other"])
+    rows = [(None, " ".join(words)), (5, " ".join(words)), (3, near)]
+    got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {None: None, 5: 3, 3: 3}
+
+
 def test_components(spark):
     from typeloom.llm.components import components
 

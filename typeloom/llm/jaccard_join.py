@@ -83,7 +83,7 @@ def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _signed(docs: DataFrame, frequent) -> DataFrame:
-    """doc_id, n, h, prefix for each row of docs; prefix is null in a task's later rows of a set already given."""
+    """doc_id, n, h, prefix for each row of docs; prefix is null without an id, and in a task's later rows of a set already given with one."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,10 +103,10 @@ def _signed(docs: DataFrame, frequent) -> DataFrame:
                 levels[maybe] = np.where(tokens[at] == some, level[at], 0)
             ends = np.cumsum(n)
             hashes, prefixes = [], []
-            for s, e, k in zip(sets, ends.tolist(), n.tolist(), strict=True):
+            for s, e, k, has_id in zip(sets, ends.tolist(), n.tolist(), b.column("doc_id").is_valid().to_pylist(), strict=True):
                 h = set_hash(s) if k else None
                 hashes.append(h)
-                if h is None or h in seen:
+                if h is None or not has_id or h in seen:
                     prefixes.append(None)
                     continue
                 if len(seen) < 1_000_000:
