@@ -1,5 +1,7 @@
 """The rules that differ from SQL's, and small fixtures of each operator family."""
 
+import inspect
+
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -175,6 +177,24 @@ def test_graphs(spark):
     assert {r["node"]: r["layer"] for r in G.layers(n.select(F.col("name").alias("node")), e).collect()} == {"A": 0, "B": 1, "C": 1, "D": 2}
 
 
+def test_ways_have_no_cap(spark, monkeypatch):
+    chain = spark.range(12).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    assert inspect.signature(G.shortest_path).parameters["max_depth"].default is None  # a thousand rounds would take minutes
+    assert G.shortest_path(chain, 0, 12, max_depth=11).isEmpty() and G.shortest_path(chain, 0, 12, max_depth=12).first()["path"] == list(range(13))
+    monkeypatch.setattr(G, "range", lambda n: range(min(n, 5)), raising=False)  # counted rounds end early
+    assert G.shortest_path(chain, 0, 12).first()["path"] == list(range(13))
+
+
+def test_cycle_behind_any_successor(spark):
+    # 0 has 1100 successors; all but the last lead only to the cycle 5000, 5001
+    hub = spark.range(1, 1101).select(F.lit(0).cast("long").alias("src"), F.col("id").alias("dst"))
+    on = spark.range(1, 1101).select(F.col("id").alias("src"), F.when(F.col("id") == 1100, 0).otherwise(5000).cast("long").alias("dst"))
+    far = spark.createDataFrame([(5000, 5001), (5001, 5000)], "src long, dst long")
+    assert G.find_cycle(hub.unionByName(on).unionByName(far)).first()["path"] == [0, 1100, 0]
+    assert G.find_cycle(spark.createDataFrame([(2, 2), (1, 2)], "src long, dst long")).first()["path"] == [2, 2]
+    assert G.find_cycle(hub).isEmpty()
+
+
 def test_expressions(spark):
     df = spark.createDataFrame([(3, 4.0, "x")], "a int, b double, s string")
     out = E.derive(df, {"d": "=self.c + 1", "c": "=self.a * self['b']", "t": "=self.s .. '!'", "k": "=self.a % 2 == 1 and not (self.b > 5)"}).first()

@@ -135,22 +135,25 @@ def ancestors(edges: DataFrame, starts: DataFrame) -> DataFrame:
     return descendants(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), starts)
 
 
-def shortest_path(edges: DataFrame, start, goal, max_depth: int = 1000) -> DataFrame:
-    """start, goal, path (both ends included), or no row where there is none: one predecessor is kept for each node reached."""
-    e = cut(edges.select("src", "dst").distinct())
-    spark = e.sparkSession
-    kind = e.schema["src"].dataType
-    paths = spark.range(1).select(F.lit(start).cast(kind).alias("node"), F.array(F.lit(start).cast(kind)).alias("path"))
-    seen = paths.select("node")
-    for _ in range(max_depth):
-        if not paths.where(F.col("node") == F.lit(goal)).isEmpty():
-            break
+def _first_way(e: DataFrame, paths: DataFrame, goal, max_depth: int | None = None) -> DataFrame:
+    """Of the ways over the distinct edges e that go on from the frontier paths (node, path), the first to come to goal, or no row."""
+    seen, depth = paths.select("node"), 0
+    while (max_depth is None or depth < max_depth) and paths.where(F.col("node") == F.lit(goal)).isEmpty():
+        depth += 1
         step = paths.join(e, paths["node"] == e["src"]).select(F.col("dst").alias("node"), F.array_append("path", F.col("dst")).alias("path"))
         paths = cut(step.join(seen, "node", "left_anti").groupBy("node").agg(F.min("path").alias("path")))
         if paths.isEmpty():
             break
         seen = cut(seen.unionByName(paths.select("node")))
-    return paths.where(F.col("node") == F.lit(goal)).select(F.lit(start).alias("start"), F.lit(goal).alias("goal"), "path")
+    return paths.where(F.col("node") == F.lit(goal))
+
+
+def shortest_path(edges: DataFrame, start, goal, max_depth: int | None = None) -> DataFrame:
+    """start, goal, path (both ends included), or no row where there is none (of at most max_depth edges, if given): one predecessor is kept for each node reached."""
+    e = cut(edges.select("src", "dst").distinct())
+    kind = e.schema["src"].dataType
+    first = e.sparkSession.range(1).select(F.lit(start).cast(kind).alias("node"), F.array(F.lit(start).cast(kind)).alias("path"))
+    return _first_way(e, first, goal, max_depth).select(F.lit(start).alias("start"), F.lit(goal).alias("goal"), "path")
 
 
 def in_cycles(edges: DataFrame) -> DataFrame:
@@ -170,16 +173,10 @@ def find_cycle(edges: DataFrame) -> DataFrame:
     e = in_cycles(edges)
     node = e.join(e.select(F.col("src").alias("s"), F.col("dst").alias("d")), (F.col("dst") == F.col("s"))).select("src")
     for row in node.distinct().orderBy("src").toLocalIterator():
-        back = None
-        for nxt in sorted(r["dst"] for r in e.where(F.col("src") == F.lit(row["src"])).limit(1000).collect()):
-            if nxt == row["src"]:
-                return e.sparkSession.range(1).select(F.array(F.lit(nxt), F.lit(nxt)).alias("path"))
-            found = shortest_path(e, nxt, row["src"])
-            if not found.isEmpty():
-                back = found.select(F.concat(F.array(F.lit(row["src"])), "path").alias("path"))
-                break
-        if back is not None:
-            return back
+        first = cut(e.where(F.col("src") == F.lit(row["src"])).select(F.col("dst").alias("node"), F.array("src", "dst").alias("path")))
+        back = _first_way(e, first, row["src"])
+        if not back.isEmpty():
+            return back.select("path")
     return e.select(F.array("src").alias("path")).limit(0)
 
 
