@@ -291,6 +291,21 @@ def test_jaccard_null_id_hides_no_set(spark):
     assert {r["doc_id"]: r["component_id"] for r in got} == {None: None, 5: 3, 3: 3}
 
 
+def test_near_copies_go_by_text_not_by_id(spark):
+    from typeloom.llm.jaccard_join import drop_near_copies
+
+    text = lambda name: " ".join(f"{name}{i}" for i in range(60))
+    near = lambda name, end: f"{text(name)} {end}"
+    rows = [(3, text("t"))] + [r for i in range(10, 18) for r in ((i, text(f"c{i}x")), (i, near("t", f"end{i}")))]
+    kept = [rows[0], *rows[1::2]]
+    other = [(50, text("p")), (50, text("q")), (60, text("r")), (None, text("t")), (80, None), (80, text("u"))]  # other texts of one id stay
+    copies = [(60, text("r")), (70, text("q"))]
+    got = drop_near_copies(spark.createDataFrame(rows + other + copies, "doc_id long, text string")).collect()
+    assert sorted(map(str, got)) == sorted(str(r) for r in spark.createDataFrame(kept + other, "doc_id long, text string").collect())
+    versions = drop_near_copies(spark.createDataFrame([(90, text("v")), (90, near("v", "end"))], "doc_id long, text string")).collect()
+    assert len(versions) == 1  # near copies of each other under one id
+
+
 def test_components(spark):
     from typeloom.llm.components import components
 

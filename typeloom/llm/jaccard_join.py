@@ -211,6 +211,11 @@ def _verified(docs: DataFrame, asked: DataFrame, members: DataFrame | None, clas
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs (doc_id, text)."""
+    return _assigned(docs).select("doc_id", "n_shingles", "component_id")
+
+
+def _assigned(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, h, comp for each row of docs: h names its set, comp the component's nodes."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     known = docs.where("doc_id is not null")
@@ -258,16 +263,30 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
     named = classes.join(final.select(F.col("node").alias("h"), "comp"), "h", "left")
     names = named.where("comp is not null").groupBy("comp").agg(F.min("rep").alias("component"))
-    named = named.join(names, "comp", "left").select(F.col("h").alias("_h"), F.coalesce("component", "rep").alias("component"))
+    named = named.join(names, "comp", "left").select(F.col("h").alias("_h"), F.coalesce("component", "rep").alias("component"), F.coalesce("comp", "h").alias("comp"))
     out = signed.join(named, F.when(F.col("doc_id").isNotNull(), F.col("h")) == F.col("_h"), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), "h", "comp")
+
+
+def _hashed(docs: DataFrame, name: str) -> DataFrame:
+    """docs with the hash of each row's set in a column name, null for a text without words."""
+
+    @F.pandas_udf("long")
+    def hashes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        shingler = Shingler()
+        for texts in batches:
+            sets = map(shingler, texts)
+            yield pd.Series([set_hash(s) if len(s) else None for s in sets], dtype="Int64")
+
+    return docs.withColumn(name, hashes("text"))
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose id is the smallest of their component, with all their columns; of rows that repeat an id one stays. Rows with a null id stay."""
-    kept = jaccard_components(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    one = Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns))
-    rest = docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi").select("*", F.row_number().over(one).alias("_row_of_id")).where("_row_of_id = 1").drop("_row_of_id")
+    """Of each component one row with its smallest id, with all its columns; other texts that repeat an id go or stay by their own component. Rows with a null id stay."""
+    kept = _assigned(docs).where("doc_id = component_id").groupBy(F.col("doc_id").alias("_kept"), "comp").agg(F.min("h").alias("_kept_set"))
+    one = Window.partitionBy("doc_id", "_set").orderBy(F.xxhash64(*docs.columns))
+    rest = _hashed(docs.where("doc_id is not null"), "_set").join(kept, (F.col("doc_id") == F.col("_kept")) & F.col("_set").eqNullSafe(F.col("_kept_set")), "left_semi")
+    rest = rest.withColumn("_row_of_set", F.row_number().over(one)).where("_row_of_set = 1").select(*docs.columns)
     return rest.unionByName(docs.where("doc_id is null"))
 
 
