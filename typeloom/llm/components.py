@@ -28,4 +28,5 @@ def components(edges: DataFrame) -> DataFrame:
         discard(labels)
         labels = step.select("node", "comp")
         if not changed:
+            discard(both)
             return labels

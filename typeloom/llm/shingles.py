@@ -50,7 +50,16 @@ class Shingler:
         return acc[np.concatenate(([True], acc[1:] != acc[:-1]))] if len(acc) > 1 else acc
 
 
-def set_hash(tokens: np.ndarray) -> int:
-    """A 64-bit hash of the set (signed)."""
-    x = mix(tokens.view(np.uint64) ^ np.uint64(0x5851F42D4C957F2D))
-    return int(mix(np.array([x.sum(dtype=np.uint64) + np.uint64(len(tokens))], np.uint64)).view(np.int64)[0])
+def set_hashes(tokens: np.ndarray) -> tuple[int, int]:
+    """Two 64-bit hashes of the set (signed)."""
+    out = []
+    for seed in (np.uint64(0x5851F42D4C957F2D), np.uint64(0x2545F4914F6CDD1D)):
+        x = mix(tokens.view(np.uint64) ^ seed)
+        out.append(x.sum(dtype=np.uint64) + np.uint64(len(tokens)))
+    return tuple(mix(np.array(out, np.uint64)).view(np.int64).tolist())
+
+
+def node_name(tokens: np.ndarray, twice: frozenset) -> int:
+    """The first hash of the set, or the second where the first is among `twice`."""
+    h, g = set_hashes(tokens)
+    return g if h in twice else h
