@@ -1,27 +1,29 @@
 """Toxicity: a weighted finite-state pattern grammar over clauses.
 
-Words become classes - insult, threat, target, negation, reported speech, other - and five transducers, composed into one
-machine, rewrite the class string of a clause: an insult after a negation within three words is marked negated; after
-a reporting verb, reported; with a target word in the clause, aimed; a threat counts only with a target. The final machine emits a mark for
-each matched insult or threat; a document's marks are its features, and their weights (how much a negated, reported,
-aimed or plain insult says) are fitted with the lexicon's on labelled documents. Words alone score nothing.
+Words become classes - insult, threat, target, negation, reported speech, other - and six transducers, composed into one
+machine, rewrite the class string of a text: an insult after a negation within three words is marked negated; after
+a reporting verb, reported; with a target word in its clause, aimed; any other is plain, and only from the second plain one on
+a repeated insult; a threat counts only with a target in its clause. A document's features are, for each mark, how often it was put out and the
+lexicon weights of its insults; what a mark says (much for aimed ones, little or nothing for negated ones) is fitted on labelled
+documents. Words alone score nothing: one plain insult gets the base score.
 
 Insults are learned: of the words and word beginnings (4 to 8 characters, so that inflected forms share one) those stay
 that nearly only labelled-toxic documents have, each with its log odds; near copies count once, as documents count by
-the smallest hash of their words. Other classes are short fixed lists in four languages.
+two min-hashes of their words. Other classes are short fixed lists in four languages.
 
-Defined results: a null or empty text, or one without a clause that matches, gets the base score; without labels of
+Defined results: a null or empty text, or one without a pattern that matches, gets the base score; without labels of
 both kinds nothing is learned and every score is 0; repeated rows give repeated rows; other columns are ignored; of
 several labels for an id the largest counts; an empty table gives an empty table.
 
 Scale: about TRAIN_ROWS labelled documents at most (those of smallest hashed id) train; their ids, bounded by that number, are
-broadcast, so that texts are never shuffled. Scoring is one narrow map with a machine of a few hundred bytes and a lexicon
-bounded by MAX_LEXICON.
+broadcast, so that texts are never shuffled, and their words are written once. Scoring is one narrow map with a machine of a few hundred bytes and a
+lexicon that the training rows bound: each form is in MIN_DOCS of them or nearly so.
 """
 
 from __future__ import annotations
 
 import re
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,9 +32,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import hash_sample, table
+from .common import discard, hash_sample, table, written
 
-TRAIN_ROWS, MAX_LEXICON = 20_000, 5000
+TRAIN_ROWS = 20_000
 #: Documents that must have a form (fewer, but 4, where 25 times as many toxic ones are not there), the share of them labelled toxic, lengths of beginnings, words that one must have.
 MIN_DOCS, MIN_PRECISION, STEM, MIN_WORDS = 6, 0.8, (4, 8), 4
 THRESHOLD = 0.7
@@ -79,8 +81,8 @@ def compose(first: Transducer, second: Transducer, alphabet: str) -> Transducer:
     return Transducer(start, steps)
 
 
-#: Input classes; $ ends a clause. Marks put out: I plain, A aimed, n negated, q reported insult, X aimed threat.
-ALPHABET, MARKS = "ITNRHO$", "IAnqX"
+#: Input classes; $ ends a clause. Marks put out: P repeated, A aimed, n negated, q reported insult, X aimed threat; i, a first plain insult, is none.
+ALPHABET, MARKS, WEIGHED = "ITNRHO$", "PAnqX", "PAnq"
 
 
 def grammar() -> Transducer:
@@ -93,9 +95,10 @@ def grammar() -> Transducer:
     target = {("", "T"): ("t", ""), ("", "I"): ("i", ""), ("i", "I"): ("i", "I"), ("i", "T"): ("t", "A"), ("i", "$"): ("", "I$"), ("t", "I"): ("t", "A"), ("t", "T"): ("t", ""), ("t", "$"): ("", "$"), ("", "$"): ("", "$")}
     # threats stay marks only where a target stands in the clause: T is kept by this machine, which comes before target's
     threat = {("", "H"): ("h", ""), ("h", "T"): ("x", "XT"), ("h", "H"): ("h", ""), ("", "T"): ("t", "T"), ("t", "H"): ("t", "X"), ("x", "H"): ("x", "X")} | {(s, "$"): ("", "$") for s in ("", "h", "t", "x")}
-    insult = {("", c): ("", "") for c in "NRHO$"}  # last: only marks remain
+    insult = {("", c): ("", "") for c in "NRHO$"}  # only marks remain
+    repeat = {("", "I"): ("r", "i"), ("r", "I"): ("r", "P")}  # beyond clauses
     machine = compose(Transducer(0, negation), Transducer(0, reported), ALPHABET)
-    for steps in (threat, target, insult):
+    for steps in (threat, target, insult, repeat):
         machine = compose(machine, Transducer("", steps), ALPHABET)
     return machine
 
@@ -122,29 +125,27 @@ class Scorer:
         return v
 
     def features(self, text: str | None) -> list[float]:
-        """For each mark: the logarithm of its number; then that of the summed weights of all insults, and the largest weight."""
-        low = (text or "").lower()
-        words = _WORD.findall(low)
+        """The logarithm of each mark's number, then that of the summed weights of the insults with each weighed mark."""
+        words = _WORD.findall((text or "").lower())
         hit = {w: v for w in set(words) if (v := self.insult(w))}
-        threats = not FIXED_H.isdisjoint(words)
-        out = dict.fromkeys(MARKS, 0)
-        weight = most = 0.0
-        if hit or threats:
-            state, clause = self.machine.start, False
+        out, weight = dict.fromkeys(MARKS, 0), dict.fromkeys(MARKS + "i", 0.0)
+        if hit or not FIXED_H.isdisjoint(words):
+            state, waiting = self.machine.start, deque()
             for w in [*words, "."]:
-                if w in hit:
-                    symbol = "I"
-                    weight += hit[w]
-                    most = max(most, hit[w])
-                elif w[0] in ".;:!?\n":
-                    symbol = "$"
-                else:
-                    symbol = FIXED.get(w, "O")
+                symbol = "I" if w in hit else "$" if w[0] in ".;:!?\n" else FIXED.get(w, "O")
                 state, put = self.machine.step(state, symbol)
+                if symbol == "I":  # negated and reported ones are marked at once, others perhaps later but in order
+                    at_once = next((m for m in put if m in "nq"), None)
+                    if at_once:
+                        weight[at_once] += hit[w]
+                    else:
+                        waiting.append(hit[w])
                 for m in put:
                     if m in out:
                         out[m] += 1
-        return [*(float(np.log1p(v)) for v in out.values()), float(np.log1p(weight)), most]
+                    if m in "PAi":
+                        weight[m] += waiting.popleft()
+        return [*(float(np.log1p(v)) for v in out.values()), *(float(np.log1p(weight[m])) for m in WEIGHED)]
 
 
 FIXED_H = frozenset(w for w, c in FIXED.items() if c == "H")
@@ -153,18 +154,19 @@ FIXED_H = frozenset(w for w, c in FIXED.items() if c == "H")
 def learn_lexicon(labelled: DataFrame) -> dict[str, float]:
     """Insults of labelled (text, toxic): whole words and beginnings ("stem*") with their log odds."""
     words = F.array_distinct(F.filter(F.split(F.lower("text"), "[^\\p{L}]+"), lambda w: w != ""))
-    docs = labelled.select("toxic", words.alias("w")).where(F.size("w") > 0).select("toxic", "w", F.array_min(F.transform("w", lambda x: F.xxhash64(x))).alias("sig"))
-    sizes = docs.agg(F.count_distinct(F.when(F.col("toxic") == 1, F.col("sig"))).alias("n1"), F.count_distinct(F.when(F.col("toxic") == 0, F.col("sig"))).alias("n0")).first()
+    low = F.struct(F.array_min(F.transform("w", lambda x: F.xxhash64(x))), F.array_min(F.transform("w", lambda x: F.xxhash64(x, F.lit(1)))))
+    docs = labelled.select("toxic", words.alias("w")).where(F.size("w") > 0).select("toxic", "w", F.xxhash64(low).alias("sig"))
+    each = written(docs.select("toxic", "sig", F.explode("w").alias("x")).distinct(), "words")
+    sizes = each.agg(F.count_distinct(F.when(F.col("toxic") == 1, F.col("sig"))).alias("n1"), F.count_distinct(F.when(F.col("toxic") == 0, F.col("sig"))).alias("n0")).first()
     if not sizes["n1"] or not sizes["n0"]:
         return {}
-    each = docs.select("toxic", "sig", F.explode("w").alias("x")).distinct()
     n1, n0 = F.sum("n1").alias("n1"), F.sum("n0").alias("n0")
-    each = each.groupBy("x").agg(F.sum("toxic").alias("n1"), F.sum(1 - F.col("toxic")).alias("n0"))
+    whole = each.groupBy("x").agg(F.sum("toxic").alias("n1"), F.sum(1 - F.col("toxic")).alias("n0"))
     forms = F.array(F.col("x"), *[F.when(F.length("x") > k, F.concat(F.substring("x", 1, k), F.lit("*"))) for k in range(STEM[0], STEM[1] + 1)])
-    each = each.select("n1", "n0", F.explode(forms).alias("form")).where("form is not null")
+    forms = whole.select("n1", "n0", F.explode(forms).alias("form")).where("form is not null")
     odds = F.log((F.col("n1") + 0.5) / (sizes["n1"] + 1)) - F.log((F.col("n0") + 0.5) / (sizes["n0"] + 1))
     least = max(4, min(MIN_DOCS, sizes["n1"] // 25))
-    counts = each.groupBy("form").agg(n1, n0, F.count_if(F.col("n1") > 0).alias("words"))
+    counts = forms.groupBy("form").agg(n1, n0, F.count_if(F.col("n1") > 0).alias("words"))
     counts = counts.where(~F.col("form").endswith("*") | (F.col("words") >= MIN_WORDS))
     seeds = counts.where(F.col("form").isin(SEEDS.split()) & (F.col("n1") + F.col("n0") >= least)).select("form", (F.col("n1") >= MIN_PRECISION * (F.col("n1") + F.col("n0"))).alias("ok")).collect()
     out = dict.fromkeys(SEEDS.split(), SEED_ODDS)
@@ -172,7 +174,8 @@ def learn_lexicon(labelled: DataFrame) -> dict[str, float]:
         if not r["ok"]:
             del out[r["form"]]
     found = counts.where((F.col("n1") >= least) & (F.col("n1") >= MIN_PRECISION * (F.col("n1") + F.col("n0")))).select("form", odds.alias("v"), "n1")
-    rows = found.orderBy(F.desc("n1"), "form").limit(MAX_LEXICON).collect()
+    rows = sorted(found.collect(), key=lambda r: (-r["n1"], r["form"]))
+    discard(each)
     stems = {r["form"][:-1] for r in rows if r["form"].endswith("*")}
     for r in rows:  # a form goes where a shorter beginning of it is in the lexicon already
         body = r["form"].rstrip("*")
@@ -210,7 +213,7 @@ def score(docs: DataFrame, training: DataFrame, labels: DataFrame, train_rows: i
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             scorer = Scorer(lexicon)
             for b in batches:
-                f = np.array([scorer.features(t.as_py()) for t in b.column("text")]).reshape(b.num_rows, len(MARKS) + 2)
+                f = np.array([scorer.features(t.as_py()) for t in b.column("text")]).reshape(b.num_rows, len(MARKS) + len(WEIGHED))
                 s = np.zeros(b.num_rows) if weights is None else 1 / (1 + np.exp(-np.clip(f @ weights[:-1] + weights[-1], -30, 30)))
                 yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(s), pa.array(list(f), pa.list_(pa.float64()))], names=[*names, "score", "marks"])
 
