@@ -3,18 +3,22 @@
 For each node of a page's DOM the density is its characters per tag, adjusted for links: C / T * log_b(C / LC * T / LT)
 with b = ln(C / (C - LC) * LC + LCb / Cb * C + e), where C, T, LC and LT count characters, tags, link characters and
 link tags below the node and LCb, Cb those of the body (a zero divisor counts as 1). The subtree with the largest sum of its children's densities is
-the main text; it widens to its parent as long as everything else there is a heading or at least as dense as the
-sparsest node on the path from the body (the body-path threshold), and to the article or main element that holds it.
+the main text. It widens to its parent as long as everything else there is a heading or at least as dense as the
+sparsest node on the path from the body (the body-path threshold); inside an article or main element, which it never leaves, what is sparser
+hinders it only where most of it is links, and is then left out.
 
 Elements that are never main text leave before densities are computed: scripts, styles, forms and their fields,
-navigation, asides, footers, headers outside an article, and elements whose class, id or role names an advert, menu,
-sidebar, notice, comment section or the like.
+navigation, asides, footers, headers outside an article. Classes, ids and roles that name an advert, menu, sidebar, notice, comment section or
+the like count only as whole words: a name of several parts must consist of such words and of neutral ones (site-footer, but not
+notice-of-motion), beside a name such as post or content they count for nothing, a heading never leaves by its name, and a subtree of headings or paragraphs with nine tenths
+of a page's text leaves by its name only if links agree (over half of its characters), or if it holds reader comments.
 
 Defined results: null, empty or text-free HTML gives an empty text; unclosed and stray tags are repaired the way
-browsers do for the common cases; other columns are ignored; repeated rows give repeated rows; an empty table gives an
-empty table.
+browsers do for the common cases; a quote without an end is an ordinary character; other columns are ignored; repeated rows give
+repeated rows; an empty table gives an empty table.
 
-Scale: one narrow map over the pages, no shuffle; memory is one Arrow batch and one page's tree.
+Scale: one narrow map over the pages, no shuffle; memory is one Arrow batch and one page's tree; the time is linear in a page's length, however
+malformed or deeply nested it is.
 """
 
 from __future__ import annotations
@@ -22,6 +26,7 @@ from __future__ import annotations
 import html as html_lib
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,7 +34,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+MARK = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*)|[!?])")
+INSIDE = re.compile(r"(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+")
 ATTR = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea noscript template xmp iframe".split())
@@ -38,98 +44,155 @@ BLOCK = frozenset(
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 DROP = frozenset("head script style noscript template iframe svg canvas object nav aside footer form button select option input textarea menu dialog".split())
-#: An element leaves when a word of its class or id, or its role, is among these.
-BAD_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adbox banner banners sponsor sponsored promo promotion nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars aside footer header masthead "
-    "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments commentlist "
-    "respond reply replies disqus widget widgets pagination pager toolbar skip copyright legal disclaimer tags".split()
+#: Names of elements that are no main text, those of reader comments, and words that may stand beside them in a name.
+COMMENTS = frozenset("comment comments commentlist disqus respond reply replies".split())
+BAD_WORDS = COMMENTS | frozenset(
+    "ad ads adv advert adverts advertisement advertisements advertising adbox banner banners sponsor sponsors sponsored promo promos promotion nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars aside "
+    "footer header masthead cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations widget widgets "
+    "pagination pager toolbar skip copyright legal disclaimer".split()
 )
+NEUTRAL = frozenset("site page global top bottom left right main primary secondary list box slot wrap wrapper container section block area zone reader readers user users posts articles links link inner outer item items group bar unit row col column panel form thread buttons button icons js id".split())
+CONTENT = frozenset("content article post entry story body text".split())
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
 KEEP_HEADER_IN = frozenset(("article", "main"))
+STRUCTURE = HEADINGS | KEEP_HEADER_IN | {"p"}
 #: A start tag of the key closes an open element of the set, up to the nearest element of the bound.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 SCOPE = frozenset("article main section div td th table body html blockquote li ul ol figure".split())
 
 
 class Node:
-    __slots__ = ("tag", "parent", "kids", "bad", "c", "t", "lc", "lt", "density", "total")
+    __slots__ = ("tag", "parent", "kids", "bad", "named", "c", "t", "lc", "lt", "density", "total")
 
-    def __init__(self, tag: str, parent: Node | None, bad: bool = False):
-        self.tag, self.parent, self.kids, self.bad = tag, parent, [], bad
+    def __init__(self, tag: str, parent: Node | None, bad: bool = False, named: str = ""):
+        """bad: no main text; named: "other" or "comments" if only its name says so."""
+        self.tag, self.parent, self.kids, self.bad, self.named = tag, parent, [], bad, named
         self.c = self.t = self.lc = self.lt = 0
         self.density = self.total = 0.0
 
 
-def _bad(tag: str, attrs: str, open_tags: list[Node]) -> bool:
+def _bad(tag: str, attrs: str, opened: Counter) -> tuple[bool, str]:
+    """Whether an element is no main text, and the name that says so: "other", "comments" or none."""
     if tag in DROP:
-        return True
+        return True, ""
     if tag == "header":
-        return not any(n.tag in KEEP_HEADER_IN for n in open_tags)
-    if not attrs.strip() or tag in ("html", "body", "article", "main") and not re.search(r"comment|reply|teaser", attrs, re.I):
-        return False
+        return not any(opened[t] for t in KEEP_HEADER_IN), ""
+    if not attrs or tag in HEADINGS or tag in ("html", "body"):
+        return False, ""
+    found = ""
     for name, value in ATTR.findall(attrs):
         name, value = name.lower(), value.strip("\"'").lower()
+        if name == "role" and value in BAD_ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
+            return True, ""
         if name in ("class", "id"):
-            if not BAD_WORDS.isdisjoint(re.split(r"[\s_\-]+", value)):
-                return True
-        elif name == "role" and value in BAD_ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
-    return False
+            names = [[w for w in re.split(r"[_\-\d]+", x) if w] for x in value.split()]
+            if any(not CONTENT.isdisjoint(x) and BAD_WORDS.isdisjoint(x) for x in names):
+                continue
+            for x in names:
+                words = BAD_WORDS.intersection(x)
+                if words and all(w in BAD_WORDS or w in NEUTRAL for w in x):
+                    found = "comments" if found == "comments" or not words.isdisjoint(COMMENTS) else "other"
+    if tag in KEEP_HEADER_IN and found != "comments":
+        return False, ""
+    return bool(found), found
 
 
 def parse(page: str) -> Node:
     """The DOM; text is in kids as str, white space and character references as in the page."""
     root = Node("html", None)
-    stack, at = [root], 0
-    n = len(page)
+    stack, opened, at, n, strict = [root], Counter(), 0, len(page), True
+
+    def close(k: int) -> None:
+        for x in stack[k:]:
+            opened[x.tag] -= 1
+        del stack[k:]
+
     while at < n:
-        m = TOKEN.search(page, at)
+        m = MARK.search(page, at)
         if m is None:
             stack[-1].kids.append(page[at:])
             break
-        if m.start() > at:
-            stack[-1].kids.append(page[at : m.start()])
-        at = m.end()
-        tag = (m[2] or "").lower()
-        if not tag or tag == "html":
+        begin = m.start()
+        if begin > at:
+            stack[-1].kids.append(page[at:begin])
+        if m[2] is None:
+            comment = page.startswith("<!--", begin)
+            end = page.find("-->", begin + 4) if comment else page.find(">", begin)
+            if end < 0 and not comment:
+                stack[-1].kids.append(page[begin:])
+            if end < 0:
+                break
+            at = end + (3 if comment else 1)
+            continue
+        end = INSIDE.match(page, m.end()).end() if strict else page.find(">", m.end())
+        if strict and page[end : end + 1] != ">":  # a quote has no end: from here on the first > ends a tag
+            strict, end = False, page.find(">", m.end())
+        if end < 0:
+            stack[-1].kids.append(page[begin:])
+            break
+        tag, attrs = m[2].lower(), page[m.end() : end].strip()
+        at = end + 1
+        if tag == "html":
             continue
         if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if opened[tag] > 0 else ():
                 if stack[k].tag == tag:
-                    del stack[k:]
+                    close(k)
                     break
                 if tag not in BLOCK and stack[k].tag in BLOCK or tag == "p" and stack[k].tag in SCOPE:
                     break
             continue
-        if tag in BLOCK:  # a block ends an open paragraph, with the inline elements left open in it
-            for k in range(len(stack) - 1, 0, -1):
+        if tag in BLOCK and (opened["p"] > 0 or tag in HEADINGS):  # a block ends an open paragraph, with the inline elements left open in it
+            for k in range(len(stack) - 1, 0, -1) if opened["p"] > 0 or any(opened[h] > 0 for h in HEADINGS) else ():
                 if stack[k].tag == "p" or stack[k].tag in HEADINGS and tag in HEADINGS:
-                    del stack[k:]
+                    close(k)
                     break
                 if stack[k].tag in SCOPE:
                     break
-        if tag == "body":  # whatever the head left open
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == "head":
-                    del stack[k:]
+        if tag == "body" and opened["head"] > 0:  # whatever the head left open
+            close(next(k for k in range(1, len(stack)) if stack[k].tag == "head"))
         if tag in CLOSES:
             ends, bound = CLOSES[tag]
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if any(opened[x] > 0 for x in ends) else ():
                 if stack[k].tag in bound:
                     break
                 if stack[k].tag in ends:
-                    del stack[k:]
+                    close(k)
                     break
-        node = Node(tag, stack[-1], _bad(tag, m[3], stack))
+        node = Node(tag, stack[-1], *_bad(tag, attrs, opened))
         stack[-1].kids.append(node)
         if tag in RAW:
-            end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-            at = end.end() if end else n
-        elif tag not in VOID and not m[3].rstrip().endswith("/"):
+            found = re.compile(rf"</{tag}\b", re.I).search(page, at)
+            end = page.find(">", found.end()) if found else -1
+            at = end + 1 if end >= 0 else n
+        elif tag not in VOID and not attrs.endswith("/"):
             stack.append(node)
+            opened[tag] += 1
     return root
 
 
+def weigh_names(root: Node) -> None:
+    """A name counts for nothing on a subtree with headings or paragraphs and nearly all of the page's text, unless links agree or it holds comments."""
+    order, todo = [], [(root, False)]
+    while todo:
+        x, linked = todo.pop()
+        linked = linked or x.tag == "a"
+        order.append((x, linked))
+        todo.extend((k, linked) for k in x.kids if not isinstance(k, str) and (not k.bad or k.named))
+    if not any(x.named == "other" for x, _ in order):
+        return
+    sums: dict[int, tuple[int, int, bool]] = {}
+    for x, linked in reversed(order):
+        c = sum(len("".join(k.split())) for k in x.kids if isinstance(k, str))
+        below = [sums[id(k)] for k in x.kids if not isinstance(k, str) and id(k) in sums]
+        sums[id(x)] = c + sum(s[0] for s in below), (c if linked else 0) + sum(s[1] for s in below), x.tag in STRUCTURE or any(s[2] for s in below)
+    whole = sums[id(root)][0]
+    for x, _ in order:
+        c, lc, structure = sums[id(x)]
+        if x.named == "other" and structure and 10 * c > 9 * whole and 2 * lc <= c:
+            x.bad = False
+
+
 def measure(root: Node) -> list[Node]:
     """Counts of every kept node, children before parents; the kept nodes in page order."""
     order, todo = [], [(root, False)]
@@ -165,28 +228,28 @@ def measure(root: Node) -> list[Node]:
 
 
 def main_node(root: Node) -> Node:
+    weigh_names(root)
     order = measure(root)
     body = next((n for n in order if n.tag == "body"), root)
     best = max((n for n in order if n.c), key=lambda n: n.total, default=body)
     if not best.total:  # text without inner elements: the densest node itself
         best = max((n for n in order if n.c), key=lambda n: n.density, default=body)
-    threshold, node = best.density, best
+    threshold, node, holder = best.density, best, None
     while node is not None:
         threshold = min(threshold, node.density)
+        holder = node if node.tag in KEEP_HEADER_IN else holder
         node = node.parent if node is not body else None
-    node = best
-    while node is not None:
-        if node.tag in KEEP_HEADER_IN:
-            best = node
-        node = node.parent
-    if best.tag not in KEEP_HEADER_IN:
-        while best is not body and best.parent not in (None, body):
-            up = best.parent
-            if any(isinstance(k, str) and k.strip() for k in up.kids) or any(not isinstance(k, str) and not k.bad and k is not best and k.c and k.tag not in HEADINGS and k.density < threshold for k in up.kids):
-                break
-            best = up
-        if best.tag in ("p", "b", "i", "span", "em", "strong") and best.parent is not None:
-            best = best.parent
+    while best is not body and best is not holder and best.parent not in (None, body):
+        up = best.parent
+        rest = [k for k in up.kids if not isinstance(k, str) and not k.bad and k is not best and k.c]
+        sparse = [k for k in rest if k.tag not in HEADINGS and k.density < threshold]
+        if holder is None and (sparse or any(isinstance(k, str) and k.strip() for k in up.kids)):
+            break
+        for k in sparse:
+            k.bad = 2 * k.lc > k.c
+        best = up
+    if best.tag in ("p", "b", "i", "span", "em", "strong") and best.parent is not None:
+        best = best.parent
     return best
 
 
