@@ -1,7 +1,7 @@
 """Chat formatting: relational formatting of conversations with Spark expressions only.
 
 The turns of a conversation are collected as structs and sorted by (turn, role, text), runs of one role are merged by
-an array aggregation, and the runs are concatenated under a template:
+array functions, and the runs are concatenated under a template:
 
     <s>[INST]role[/INST]text[NEXT]text</s>
 
@@ -35,36 +35,26 @@ def unescape(text: Column) -> Column:
 
 
 def format_chats(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
-    """One row a conversation: conv_id, segments array<struct<text, loss>>, formatted (the segments' texts joined).
+    """One row a conversation: conv_id, formatted, loss_mask array<boolean>.
 
-    The loss mask covers the segments whose loss flag is set: the escaped texts of `loss_role`, without marks."""
+    The mask has one flag for each text of the formatted string, in order: true for those of `loss_role`. Marks are never under it."""
     rows = turns.select("conv_id", F.col("turn").alias("t"), F.coalesce("role", F.lit("")).alias("r"), F.coalesce("text", F.lit("")).alias("x"))
     rows = rows.select("conv_id", F.struct("t", "r", escape(F.col("x")).alias("e"), "x").alias("s"))
     sorted_turns = rows.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list("s"), _by_turn), lambda s: F.struct(s["r"].alias("r"), s["e"].alias("e"))).alias("turns"))
-    none = F.expr("cast(array() as array<struct<r:string,e:array<string>>>)")
-
-    def merge(runs: Column, turn: Column) -> Column:
-        last = F.element_at(runs, -1)
-        same = (F.size(runs) > 0) & (F.try_element_at(runs, F.lit(-1))["r"] == turn["r"])
-        grown = F.array_append(F.slice(runs, 1, F.size(runs) - 1), F.struct(turn["r"].alias("r"), F.array_append(last["e"], turn["e"]).alias("e")))
-        return F.when(same, grown).otherwise(F.array_append(runs, F.struct(turn["r"].alias("r"), F.array(turn["e"]).alias("e"))))
-
-    def seg(text, loss) -> Column:
-        return F.struct((text if isinstance(text, Column) else F.lit(text)).alias("text"), (loss if isinstance(loss, Column) else F.lit(loss)).alias("loss"))
-
-    runs = sorted_turns.select("conv_id", F.aggregate("turns", none, merge).alias("runs"))
-    segments = F.flatten(
-        F.transform(
-            "runs",
-            lambda run: F.concat(
-                F.array(seg(F.concat(F.lit(START + HEAD), escape(run["r"]), F.lit(BODY)), False)),
-                F.flatten(F.transform(run["e"], lambda e, i: F.when(i == 0, F.array(seg(e, run["r"] == loss_role))).otherwise(F.array(seg(NEXT, False), seg(e, run["r"] == loss_role))))),
-                F.array(seg(END, False)),
-            ),
-        )
-    )
-    out = runs.select("conv_id", segments.alias("segments"))
-    return out.select("conv_id", "segments", F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted"))
+
+    def role(i: Column) -> Column:
+        return F.element_at("turns", i)["r"]
+
+    # a run begins where the role changes; its turns are a slice, so that long conversations take linear time
+    begins = F.filter(F.sequence(F.lit(1), F.size("turns")), lambda i: (i == 1) | (role(i) != role(F.greatest(i - 1, F.lit(1)))))
+    marked = sorted_turns.select("conv_id", "turns", begins.alias("begins"))
+
+    def run(begin: Column, k: Column) -> Column:
+        end = F.when(k + 1 < F.size("begins"), F.element_at("begins", F.least(k + 2, F.size("begins")))).otherwise(F.size("turns") + 1)
+        texts = F.transform(F.slice("turns", begin, end - begin), lambda t: t["e"])
+        return F.concat(F.lit(START + HEAD), escape(role(begin)), F.lit(BODY), F.array_join(texts, NEXT), F.lit(END))
+
+    return marked.select("conv_id", F.array_join(F.transform("begins", run), "").alias("formatted"), F.transform("turns", lambda t: t["r"] == loss_role).alias("loss_mask"))
 
 
 def _by_turn(a: Column, b: Column) -> Column:
@@ -88,14 +78,19 @@ def parse_chats(formatted: DataFrame) -> DataFrame:
     return formatted.select("*", F.flatten(F.transform(runs, turns)).alias("turns"))
 
 
+def under_mask(turns: Column, mask: Column) -> Column:
+    """All text of turns, as parse_chats() reads them, that is under the mask, nothing between."""
+    picked = F.filter(F.zip_with(turns, mask, lambda t, m: F.when(m, t["text"])), lambda x: x.isNotNull())
+    return F.array_join(picked, "")
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     planted = spark.range(2).select(
         F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text")
     )
     out = parse_chats(format_chats(turns.unionByName(planted)))
-    loss = F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescape(s["text"])), "")
-    out = out.select("conv_id", "turns", loss.alias("loss"), F.char_length("formatted").cast("long").alias("formatted_chars"))
+    out = out.select("conv_id", "turns", under_mask(F.col("turns"), F.col("loss_mask")).alias("loss"), F.char_length("formatted").cast("long").alias("formatted_chars"))
     digest = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return out.select(
         "conv_id",
