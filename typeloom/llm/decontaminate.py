@@ -10,8 +10,9 @@ leftmost-ending such stretch in the normalised text, item_chars. Defined results
 without letters or digits match nothing; items shorter than 1 / max_error must occur exactly; items that repeat give rows of their own; other
 columns are ignored; empty tables give no rows.
 
-Scale: documents are scanned where they are read, without a shuffle, and only matches leave a task. Items go out in blocks of at most BLOCK_CHARS characters (their
-total is summed first, one scan of the documents a block), so what is broadcast is bounded whatever the benchmark's size.
+Scale: documents are scanned where they are read, without a shuffle, and only matches leave a task. Items go out in blocks of at most BLOCK_CHARS characters; where
+there are several, the result of each is written before the next block is read, and the block is destroyed, so that the driver, the tasks and the plan hold
+one block whatever the benchmark's size, at the cost of one scan of the documents a block.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, written
 
 MAX_ERROR = 0.08
 BLOCK_CHARS = 4_000_000
@@ -120,17 +121,17 @@ class Matcher:
         return out
 
 
-def _blocks(items: DataFrame) -> Iterator[list[tuple]]:
-    """(item_id, text) lists of at most BLOCK_CHARS characters, or of one item; never more than one in the driver's memory."""
-    held, size = [], 0
+def _blocks(items: DataFrame) -> Iterator[tuple[list[tuple], bool]]:
+    """(item_id, text) lists of at most BLOCK_CHARS characters, or of one item, and whether it is the only one; never more than one in the driver's memory."""
+    held, size, first = [], 0, True
     for row in items.select("item_id", "text").where("text is not null").orderBy("item_id", "text").toLocalIterator():
         if held and size + len(row["text"]) > BLOCK_CHARS:
-            yield held
-            held, size = [], 0
+            yield held, False
+            held, size, first = [], 0, False
         held.append((row["item_id"], row["text"]))
         size += len(row["text"])
     if held:
-        yield held
+        yield held, first
 
 
 def find_items(docs: DataFrame, items: DataFrame, max_error: float = MAX_ERROR) -> DataFrame:
@@ -139,7 +140,7 @@ def find_items(docs: DataFrame, items: DataFrame, max_error: float = MAX_ERROR)
     id_type, item_type = docs.schema["doc_id"].dataType.simpleString(), items.schema["item_id"].dataType
     schema = f"doc_id {id_type}, n long, distance long, begin long, end long, item_chars long"
     out = None
-    for block in _blocks(items):
+    for block, only in _blocks(items):
         texts = spark.sparkContext.broadcast([(n, t) for n, (_, t) in enumerate(block)])
 
         def run(batches: Iterator[pa.RecordBatch], texts=texts) -> Iterator[pa.RecordBatch]:
@@ -154,6 +155,9 @@ def find_items(docs: DataFrame, items: DataFrame, max_error: float = MAX_ERROR)
         names = spark.createDataFrame([(n, i) for n, (i, _) in enumerate(block)], f"n long, item_id {item_type.simpleString()}")
         found = docs.select("doc_id", "text").mapInArrow(run, schema).join(F.broadcast(names), "n")
         found = found.select("doc_id", "item_id", "distance", "begin", "end", "item_chars")
+        if not only:
+            found = written(found, "matches")
+            texts.destroy()
         out = found if out is None else out.unionByName(found)
     if out is None:
         out = spark.createDataFrame([], f"doc_id {id_type}, item_id {item_type.simpleString()}, distance long, begin long, end long, item_chars long")
@@ -163,15 +167,18 @@ def find_items(docs: DataFrame, items: DataFrame, max_error: float = MAX_ERROR)
 def drop_leaks(docs: DataFrame, items: DataFrame, max_error: float = MAX_ERROR) -> DataFrame:
     """The rows of docs in which no item (item_id, text) occurs, with all their columns."""
     spark = docs.sparkSession
-    for block in _blocks(items):
-        texts = spark.sparkContext.broadcast([(n, t) for n, (_, t) in enumerate(block)])
+    for block, only in _blocks(items):
+        texts = spark.sparkContext.broadcast([t for _, t in block])
 
         def run(batches: Iterator[pa.RecordBatch], texts=texts) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(texts.value, max_error)
+            matcher = Matcher(list(enumerate(texts.value)), max_error)
             for b in batches:
                 yield b.filter(pa.array([not matcher.find(t.as_py()) for t in b.column("text")], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
+        if not only:
+            docs = written(docs, "clean")
+            texts.destroy()
     return docs
 
 
