@@ -2,7 +2,7 @@
 
 Explicit rules (verdict, host, path prefix) judge first: a rule fits its host and all subdomains when the URL's path
 starts with the rule's path; the longest fitting rule wins. The URLs so judged are the labels from which FP-growth
-mines token combinations; rules "tokens -> verdict" below the support, confidence or lift bound are pruned, as are rules that a
+mines combinations of the tokens that no explicit rule names (else it would find these rules again); rules "tokens -> verdict" below the support, confidence or lift bound are pruned, as are rules that a
 more general one of no less confidence implies. A URL without an explicit rule gets the verdict of its best mined
 rule: highest confidence, then support, then fewest tokens, then "allow"; without any it is allowed.
 
@@ -20,6 +20,8 @@ is an equi-join on the token, done once for each distinct token set and not once
 
 from __future__ import annotations
 
+import re
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +30,7 @@ from .common import UPPER, LOWER, table, written
 
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 MIN_SUPPORT, MIN_CONFIDENCE, MIN_LIFT = 0.005, 0.8, 1.05
+SALTS = 16
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -56,7 +59,7 @@ def tokens(host: Column, path: Column) -> Column:
 
 
 def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT) -> DataFrame:
-    """Rules (rule_id, items, verdict, confidence, support) from labelled rows (items array<string>, verdict)."""
+    """Rules (rule_id, items, verdict, confidence, support) from labelled rows (items array<string>, verdict). Each row counts, repeated ones too; no two rules have the same items and verdict."""
     spark = labelled.sparkSession
     # items too rare to be in any frequent set leave before mining; so do those that every URL has
     n = labelled.count()
@@ -64,14 +67,16 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
         return spark.createDataFrame([], "rule_id long, items array<string>, verdict string, confidence double, support double")
     counts = labelled.select(F.explode("items").alias("item")).groupBy("item").count().where(F.col("count") >= max(1, min_support * n))
     each = labelled.select(F.monotonically_increasing_id().alias("row"), "items", "verdict")
-    frequent = each.select("row", "verdict", F.explode_outer("items").alias("item")).join(counts.select("item"), "item")
-    sets = frequent.groupBy("row", "verdict").agg(F.collect_set("item").alias("items")).select(F.array_append("items", F.concat(F.lit("verdict="), "verdict")).alias("items"))
+    frequent = each.select("row", "verdict", F.explode_outer("items").alias("item")).join(counts.select("item", F.lit(True).alias("often")), "item", "left")
+    sets = frequent.groupBy("row", "verdict").agg(F.collect_set(F.when(F.col("often"), F.col("item"))).alias("items")).select(F.array_append("items", F.concat(F.lit("verdict="), "verdict")).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(sets)
     found = model.associationRules.where(F.element_at("consequent", 1).startswith("verdict=") & ~F.exists("antecedent", lambda x: x.startswith("verdict=")) & (F.col("lift") >= min_lift))
     found = written(found.select(F.array_sort("antecedent").alias("items"), F.substring(F.element_at("consequent", 1), 9, 20).alias("verdict"), "confidence", "support"), "rules")
-    # a rule goes if dropping tokens gives a rule with the same verdict and no less confidence: look such rules up by item
+    # a rule goes if dropping tokens gives a rule with the same verdict and no less confidence: look such rules up by their rarest item
     parts = found.select("items", "verdict", "confidence", F.explode("items").alias("item"))
-    general = found.select(F.col("items").alias("g_items"), F.col("verdict").alias("g_verdict"), F.col("confidence").alias("g_confidence"), F.element_at("items", 1).alias("g_item"))
+    weight = parts.groupBy(F.col("item").alias("g_item")).agg(F.count("*").alias("n"))
+    general = found.select(F.col("items").alias("g_items"), F.col("verdict").alias("g_verdict"), F.col("confidence").alias("g_confidence"), F.explode("items").alias("g_item")).join(weight, "g_item")
+    general = general.groupBy("g_items", "g_verdict", "g_confidence").agg(F.min(F.struct("n", "g_item")).alias("p")).select("g_items", "g_verdict", "g_confidence", "p.g_item")
     implied = parts.join(
         general,
         (F.col("item") == F.col("g_item")) & (F.col("verdict") == F.col("g_verdict")) & (F.size("g_items") < F.size("items")) & (F.col("g_confidence") >= F.col("confidence")) & (F.size(F.array_except("g_items", "items")) == 0),
@@ -93,17 +98,30 @@ def match(items: DataFrame, rules: DataFrame) -> DataFrame:
     return hits.groupBy("key").agg(best.alias("b")).select("key", F.col("b.verdict").alias("verdict"), F.col("b.confidence").alias("confidence"), F.col("b.rule_items").alias("matched"))
 
 
+def rule_tokens(rules=RULES) -> list[str]:
+    """Tokens that the explicit rules name."""
+    out = set()
+    for _, host, path in rules:
+        front, _, last = host.rpartition(".")
+        out |= {f"h={last}"} | {f"w={x}" for x in re.split("[.-]", front) if x} | {f"p={x}" for x in path.split("/") if x}
+    return sorted(out)
+
+
 def judge(pages: DataFrame, rules=RULES, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """page_id, host, path, rule, verdict, confidence, matched (tokens of the mined rule, where one judged)."""
     host, path = host_and_path(F.col("url"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
     rows = rows.select("*", explicit(F.col("host"), F.col("path"), rules).alias("x"), tokens(F.col("host"), F.col("path")).alias("items"))
-    mined = written(mine(rows.where("x is not null").select("items", F.col("x.verdict").alias("verdict")), min_support, min_confidence), "mined")
+    free = F.array_except("items", F.array(*[F.lit(x) for x in rule_tokens(rules)]).cast("array<string>"))
+    mined = written(mine(rows.where("x is not null").select(free.alias("items"), F.col("x.verdict").alias("verdict")), min_support, min_confidence), "mined")
     known = mined.select(F.explode("items").alias("item")).distinct()
     open_rows = rows.where("x is null").select("items").distinct()
     sets = open_rows.select(F.col("items").alias("key"), F.explode("items").alias("item")).join(known, "item").groupBy("key").agg(F.collect_set("item").alias("items"))
     verdicts = match(sets, mined).select(F.col("key").alias("_key"), F.col("verdict").alias("v"), "confidence", "matched")
-    judged = rows.join(verdicts, F.when(F.col("x").isNull(), F.col("items")) == F.col("_key"), "left")
+    # a token set that very many pages have is dealt to SALTS tasks
+    verdicts = verdicts.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "path"), F.lit(SALTS)).cast("int"))
+    judged = salted.join(verdicts, (F.when(F.col("x").isNull(), F.col("items")) == F.col("_key")) & (F.col("salt") == F.col("_salt")), "left")
     return judged.select("page_id", "host", "path", F.col("x.rule").alias("rule"), F.coalesce("x.verdict", "v", F.lit("allow")).alias("verdict"), "confidence", "matched")
 
 
