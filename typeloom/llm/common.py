@@ -7,7 +7,9 @@ return; lower-casing always means A-Z only, so results do not depend on a Unicod
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +33,13 @@ def word_count(text: Column) -> Column:
     return F.when(body == "", F.lit(0).cast("long")).otherwise(F.size(F.split(body, WORD_GAP)).cast("long"))
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of so many rows at most: what a task makes of a part's texts is freed before the next."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def hash_sample(df: DataFrame, key: str, n: int) -> DataFrame:
     """All rows of df if they are at most n, else the about n rows of smallest hashed key: a filter in place, not a sort that gathers rows."""
     total = df.count()

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, table, written
+from .common import discard, slices, table, written
 from .components import components
 from .shingles import Shingler, node_name, set_hashes
 
@@ -62,7 +62,7 @@ def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             rare = np.concatenate(across)  # but it is one if many tasks meet it
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate((tokens[more], rare))), pa.array(np.concatenate((n[more], np.ones(len(rare), np.int64))))], names=["token", "n"])
 
-        for b in batches:
+        for b in slices(batches):
             for t in b.column("text"):
                 s = shingler(t.as_py())
                 held.append(s)
@@ -96,7 +96,7 @@ def _signed(docs: DataFrame, frequent) -> DataFrame:
         tokens, level = frequent.value
         bitmap = np.zeros(1 << 22, bool)
         bitmap[tokens & 0x3FFFFF] = True
-        for b in batches:
+        for b in slices(batches):
             sets = [shingler(t.as_py()) for t in b.column("text")]
             n = np.array([len(s) for s in sets])
             every = np.concatenate([*sets, np.zeros(0, np.int64)])
@@ -192,7 +192,7 @@ def _verified(docs: DataFrame, asked: DataFrame, members: DataFrame, classes: Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
-        for b in batches:
+        for b in slices(batches):
             sets = [shingler(t.as_py()) for t in b.column("text")]
             same = [i for i, s in enumerate(sets) if len(s) and node_name(s, twice) == b.column("h")[i].as_py()]  # else a repeated id's other text
             yield pa.RecordBatch.from_arrays([b.column("h").take(pa.array(same, pa.int64())), pa.array([sets[i] for i in same], pa.list_(pa.int64()))], names=["h", "tokens"])
