@@ -137,7 +137,7 @@ def sql_blob(c: Column) -> Column:
 
 
 def from_sql_blob(c: Column) -> Column:
-    return F.unhex(F.nullif(F.regexp_extract(c, "^[Xx]'((?:[0-9A-Fa-f]{2})*)'$", 1), F.lit("")))
+    return F.unhex(F.nullif(F.regexp_extract(c, "^[Xx]'((?:[0-9A-Fa-f]{2})*)'\\z", 1), F.lit("")))
 
 
 # -- table literals --

@@ -20,12 +20,12 @@ def truthy(c: Column, kind: DataType | None = None) -> Column:
 
 
 def is_identifier(c: Column) -> Column:
-    return _sure(c.rlike("^[A-Za-z_][A-Za-z0-9_]*$") & (c != "_"))
+    return _sure(c.rlike("^[A-Za-z_][A-Za-z0-9_]*\\z") & (c != "_"))
 
 
 def is_name(c: Column) -> Column:
     """Identifiers joined by dots."""
-    return _sure(c.rlike("^[A-Za-z_][A-Za-z0-9_]*(\\.[A-Za-z_][A-Za-z0-9_]*)*$") & ~c.rlike("(^|\\.)_(\\.|$)"))
+    return _sure(c.rlike("^[A-Za-z_][A-Za-z0-9_]*(\\.[A-Za-z_][A-Za-z0-9_]*)*\\z") & ~c.rlike("(^|\\.)_(\\.|\\z)"))
 
 
 def is_non_empty(c: Column) -> Column:
@@ -64,7 +64,7 @@ def is_default(c: Column, kind: DataType) -> Column:
 
 
 def is_version(c: Column) -> Column:
-    return _sure(c.rlike("^\\d+\\.\\d+\\.\\d+$"))
+    return _sure(c.rlike("^[0-9]+\\.[0-9]+\\.[0-9]+\\z"))
 
 
 def is_file_name(c: Column) -> Column:
@@ -93,15 +93,19 @@ def is_reserved_name(c: Column) -> Column:
 
 
 def is_tuple_field(c: Column) -> Column:
-    return _sure(c.rlike("^_[0-9]+$"))
+    return _sure(c.rlike("^_[0-9]+\\z"))
 
 
 def is_percent(c: Column) -> Column:
-    return _sure(c.rlike("^-?[0-9]+(\\.[0-9]+)?%$") | (c.rlike("^-?[0-9]+/-?[0-9]+$") & ~c.rlike("/-?0+$")))
+    """A number with "%", or a ratio of integers whose divisor has no sign and is not 0."""
+    return _sure(c.rlike("^-?[0-9]+(\\.[0-9]+)?%\\z") | (c.rlike("^-?[0-9]+/[0-9]+\\z") & ~c.rlike("/0+\\z")))
 
 
 def is_http_url(c: Column) -> Column:
-    return _sure(c.rlike("^https?://[A-Za-z0-9.-]+(:[0-9]+)?([/?#][^\\s]*)?$"))
+    """http or https, a host with a dot, perhaps a port, and a plain path, query and fragment."""
+    shape = "^https?://[A-Za-z0-9._-]+\\.[A-Za-z0-9]+(:?[0-9]*)/?[A-Za-z0-9./?=&_#-]*\\z"
+    port = F.regexp_extract(c, shape, 1)
+    return _sure(c.rlike(shape) & ((port == "") | port.rlike(":[0-9]")))
 
 
 def is_ascii(c: Column) -> Column:
@@ -120,6 +124,46 @@ def is_false(c: Column) -> Column:
     return c.eqNullSafe(False)
 
 
+def is_non_default(c: Column, kind: DataType) -> Column:
+    return ~is_default(c, kind)
+
+
+def is_non_zero_integer(c: Column) -> Column:
+    return is_integer_value(c) & is_non_zero(c)
+
+
+def is_positive_integer(c: Column) -> Column:
+    return is_integer_value(c) & is_positive(c)
+
+
+def is_non_empty_container(c: Column) -> Column:
+    """An array or map with entries."""
+    return _sure(F.size(c) > 0)
+
+
+def is_full_sequence(keys: Column) -> Column:
+    """Whether the keys of a map (an array of numbers) are 1 to n without a gap."""
+    n = F.size(keys)
+    return _sure((n == 0) | ((F.array_min(keys) == 1) & (F.array_max(keys) == n) & (F.size(F.array_distinct(keys)) == n)))
+
+
+def is_mixed(keys: Column) -> Column:
+    """Whether the keys of a map (an array of texts) hold 1, 2, ... and others beside them."""
+    def run(n: Column, k: Column) -> Column:
+        return F.when(F.array_contains(keys, (n + 1).cast("string")), n + 1).otherwise(n)
+
+    sequence = F.aggregate(keys, F.lit(0), run)
+    return _sure((sequence > 0) & (F.size(keys) > sequence))
+
+
+def is_pattern(c: Column) -> Column:
+    """Whether a text is a pattern of the table format: brackets closed, no single % at its end."""
+    plain = F.regexp_replace(c, "(?s)%.", "")
+    sets = F.regexp_replace(plain, "(?s)\\[\\^?\\]?[^\\]]*\\]", "")
+    depth = F.aggregate(F.split(F.regexp_replace(sets, "(?s)[^()]", ""), ""), F.lit(0), lambda d, x: F.when(d < 0, d).when(x == "(", d + 1).when(x == ")", d - 1).otherwise(d))
+    return _sure(~plain.endswith("%") & ~sets.contains("[") & (depth == 0))
+
+
 # -- facts of a type, known without looking at a value --
 
 
@@ -131,5 +175,21 @@ def kind_is_integer(kind: DataType) -> bool:
     return isinstance(kind, IntegralType)
 
 
+def kind_is_table(kind: DataType) -> bool:
+    return isinstance(kind, (ArrayType, MapType, StructType))
+
+
+def kind_is_string(kind: DataType) -> bool:
+    return isinstance(kind, StringType)
+
+
+def kind_is_boolean(kind: DataType) -> bool:
+    return isinstance(kind, BooleanType)
+
+
+def kind_is_number(kind: DataType) -> bool:
+    return isinstance(kind, NumericType)
+
+
 def kind_is_comparable(kind: DataType) -> bool:
     return isinstance(kind, (StringType, NumericType))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -31,15 +33,15 @@ def escape_text(c: Column) -> Column:
 
 
 def unescape_text(c: Column) -> Column:
-    """The inverse of escape_text; a backslash before any other character stands for that character.
+    """The inverse of escape_text; a backslash before any other character stands for that character. Line ends become LF.
 
     Doubled backslashes are cut out first, so that an escaped backslash before a t stays one."""
 
     def plain(part: Column) -> Column:
         part = F.replace(F.replace(part, F.lit("\\t"), F.lit("\t")), F.lit("\\n"), F.lit("\n"))
-        return F.regexp_replace(part, "\\\\(.)", "$1")
+        return F.regexp_replace(part, "(?s)\\\\(.)", "$1")
 
-    return F.array_join(F.transform(F.split(c, "\\\\\\\\"), plain), "\\")
+    return F.when(c.contains("\\"), unix_eol(F.array_join(F.transform(F.split(c, "\\\\\\\\"), plain), "\\"))).otherwise(unix_eol(c))
 
 
 def string_to_identifier(c: Column) -> Column:
@@ -145,7 +147,7 @@ def did_you_mean(c: Column, candidates: list[str], max_distance: int | None = No
     return F.coalesce(F.concat(F.lit(" (did you mean '"), found, F.lit("'?)")), F.lit(""))
 
 
-VERSION = "^(\\d+)\\.(\\d+)\\.(\\d+)$"
+VERSION = "^([0-9]+)\\.([0-9]+)\\.([0-9]+)\\z"
 
 
 def parse_version(c: Column) -> Column:
@@ -175,6 +177,14 @@ def version_satisfies(op: str, required: Column, installed: Column) -> Column:
 CLASSES = {"a": "A-Za-z", "c": "\\x00-\\x1F\\x7F", "d": "0-9", "g": "!-~", "l": "a-z", "p": "!-/:-@\\[-`{-~", "s": " \\t\\n\\x0B\\f\\r", "u": "A-Z", "w": "A-Za-z0-9", "x": "0-9A-Fa-f"}
 
 
+def _others(body: str) -> str:
+    """The complement of a character class, written out, so that it can stand in a set with others."""
+    inside = re.compile(f"[{body}]")
+    codes = [k for k in range(128) if not inside.match(chr(k))]
+    runs = [(k, next(m for m in range(k, 129) if m not in codes) - 1) for k in codes if k - 1 not in codes]
+    return "".join(f"\\x{a:02X}-\\x{b:02X}" for a, b in runs) + "\\x{80}-\\x{10FFFF}"
+
+
 def pattern_parts(pattern: str) -> list[str]:
     """The alternatives of a multi-pattern: cut at "|" unless written "%|"."""
     parts, at = [""], 0
@@ -210,7 +220,7 @@ def pattern_to_regex(pattern: str) -> str:
                 if x.islower():
                     out.append(body if inside else f"[{body}]")
                 else:
-                    out.append(f"[^{body}]" if not inside else f"&&[^{body}]")
+                    out.append(f"[^{body}]" if not inside else _others(body))
             else:
                 out.append("\\" + x if not x.isalnum() else x)
             at += 2

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .relational import last_rows, numbered
+from .relational import numbered
 
 SPACES = " \t\n\x0b\f\r"
 
@@ -53,19 +53,22 @@ def _changes(pairs: list[tuple[str, str]], o: Options) -> Column:
 
 
 def keyed(left: DataFrame, right: DataFrame, key: str | None = None, o: Options | None = None, order: str | None = None) -> DataFrame:
-    """key, kind (changed, removed, added), changes. Of several second rows with a key the last by order counts; one shuffle a side."""
+    """key, kind (changed, removed, added), changes. Each first row is compared with the last second row of its normalised key (null counts as empty);
+    each second row whose key no first row has is added."""
     o = o or Options()
     key = key or left.columns[0]
     other = o.mapping.get(key, key)
-    if order:
-        right = last_rows(right, other, order)
     pairs = [(a, b) for a, b in columns_of(left, right, o)[0] if a != key and a != order]
-    a = left.withColumn("_key", normalised(F.col(key), o)).alias("l")
-    b = right.withColumn("_key", normalised(F.col(other), o)).alias("r")
-    both = a.join(b, F.col("l._key") == F.col("r._key"), "full_outer")
-    kind = F.when(F.col("r._key").isNull(), "removed").when(F.col("l._key").isNull(), "added").otherwise("changed")
-    out = both.select(F.coalesce("l._key", "r._key").alias("key"), kind.alias("kind"), F.when(kind == "changed", _changes(pairs, o)).alias("changes"))
-    out = out.where((F.col("kind") != "changed") | (F.size("changes") > 0))
+    a = left.withColumn("_key", normalised(F.col(key), o))
+    b = right.withColumn("_key", normalised(F.col(other), o))
+    # the last row of a normalised key, by order or else by content; partially aggregated, so no key's rows meet in one task
+    last = b.groupBy("_key").agg(F.max_by(F.struct(*right.columns), F.struct(order) if order else F.xxhash64(*right.columns)).alias("row")).select("_key", "row.*")
+    both = a.alias("l").join(last.alias("r"), F.col("l._key") == F.col("r._key"), "left")
+    changes = _changes(pairs, o)
+    kind = F.when(F.col("r._key").isNull(), "removed").otherwise("changed")
+    out = both.select(F.col("l._key").alias("key"), kind.alias("kind"), F.when(kind == "changed", changes).alias("changes")).where((F.col("kind") != "changed") | (F.size("changes") > 0))
+    new = b.join(a.select("_key").distinct(), "_key", "left_anti")
+    out = out.unionByName(new.select(F.col("_key").alias("key"), F.lit("added").alias("kind"), F.lit(None).cast(out.schema["changes"].dataType).alias("changes")))
     return out.orderBy((F.col("kind") == "added"), "key").limit(o.max_diffs) if o.max_diffs else out
 
 

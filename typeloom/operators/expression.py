@@ -12,6 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, DataType, MapType
 
 from typeloom.functions.numbers import float_divide, floored_mod
 
@@ -29,6 +30,7 @@ def _text(source: str) -> str:
     for i in range(0, len(parts), 2):
         p = parts[i].replace("~=", "!=").replace("^", "**").replace("..", " @ ")
         p = re.sub(r"\bmath\.", "", p)
+        p = re.sub(r"#\s*(self\.\w+|\w+(?:\([^()]*\))?|\([^()]*\))", r"len(\1)", p)
         parts[i] = re.sub(r"\bnil\b", "None", re.sub(r"\btrue\b", "True", re.sub(r"\bfalse\b", "False", p)))
     return "".join(parts).strip()
 
@@ -45,8 +47,41 @@ def references(source: str) -> set[str]:
     return out
 
 
-def compile_expression(source: str, names: dict[str, Column] | None = None) -> Column:
-    """A Column of an expression; names are what published contexts offer."""
+def compile_expression(source: str, names: dict[str, Column] | None = None, kinds: dict[str, DataType] | None = None) -> Column:
+    """A Column of an expression; names are what published contexts offer, kinds the types of self's fields (without them all operands of and, or and not count as boolean).
+
+    Only null and false are false. `a and b` is b where a holds, else false for booleans and null for others; `a or b` is a where it holds, else b."""
+
+    def field_of(n: ast.AST) -> str | None:
+        if isinstance(n, ast.Attribute) and isinstance(n.value, ast.Name) and n.value.id == "self":
+            return n.attr
+        if isinstance(n, ast.Subscript) and isinstance(n.value, ast.Name) and n.value.id == "self" and isinstance(n.slice, ast.Constant):
+            return n.slice.value
+        return None
+
+    def boolean(n: ast.AST) -> bool:
+        if isinstance(n, ast.BoolOp):
+            return all(map(boolean, n.values))
+        if isinstance(n, ast.Constant):
+            return isinstance(n.value, bool)
+        if isinstance(n, ast.BinOp) or isinstance(n, ast.Call) or isinstance(n, ast.UnaryOp) and not isinstance(n.op, ast.Not):
+            return False
+        name = field_of(n)
+        return kinds is None or name not in kinds or isinstance(kinds[name], BooleanType) if name is not None else True
+
+    def holds(n: ast.AST) -> Column:
+        return F.coalesce(go(n), F.lit(False)) if boolean(n) else go(n).isNotNull()
+
+    def choose(n: ast.BoolOp) -> Column:
+        if all(map(boolean, n.values)):
+            return reduce((lambda a, b: a & b) if isinstance(n.op, ast.And) else (lambda a, b: a | b), map(holds, n.values))
+        *first, last = n.values
+        if isinstance(n.op, ast.And):
+            return F.when(reduce(lambda a, b: a & b, map(holds, first)), go(last))
+        out = go(last)
+        for v in reversed(first):
+            out = F.when(holds(v), go(v)).otherwise(out)
+        return out
 
     def go(n: ast.AST) -> Column:
         if isinstance(n, ast.Constant) and isinstance(n.value, (int, float, str, bool, type(None))):
@@ -64,10 +99,11 @@ def compile_expression(source: str, names: dict[str, Column] | None = None) -> C
         if isinstance(n, ast.UnaryOp) and isinstance(n.op, ast.USub):
             return -go(n.operand)
         if isinstance(n, ast.UnaryOp) and isinstance(n.op, ast.Not):
-            return ~F.coalesce(go(n.operand), F.lit(False))
+            return ~holds(n.operand)
         if isinstance(n, ast.BoolOp):
-            parts = [F.coalesce(go(v), F.lit(False)) for v in n.values]
-            return reduce((lambda a, b: a & b) if isinstance(n.op, ast.And) else (lambda a, b: a | b), parts)
+            return choose(n)
+        if isinstance(n, ast.Call) and isinstance(n.func, ast.Name) and n.func.id == "len" and len(n.args) == 1 and isinstance((kinds or {}).get(field_of(n.args[0])), (ArrayType, MapType)):
+            return F.size(go(n.args[0]))
         if isinstance(n, ast.Compare) and all(type(o) in _CMP for o in n.ops):
             sides = [go(n.left), *map(go, n.comparators)]
             return reduce(lambda a, b: a & b, [_CMP[type(o)](a, b) for o, a, b in zip(n.ops, sides, sides[1:], strict=False)])
@@ -95,6 +131,6 @@ def in_order(expressions: dict[str, str]) -> list[str]:
 def derive(df: DataFrame, expressions: dict[str, str], names: dict[str, Column] | None = None) -> DataFrame:
     """df with each derived column; a column that is there keeps its own values where they are not null (the expression is its default)."""
     for name in in_order(expressions):
-        value = compile_expression(expressions[name], names)
+        value = compile_expression(expressions[name], names, {f.name: f.dataType for f in df.schema})
         df = df.withColumn(name, F.coalesce(F.col(name), value) if name in df.columns else value)
     return df

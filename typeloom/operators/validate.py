@@ -30,14 +30,14 @@ def to_boolean(c: Column) -> Column:
 def to_number(c: Column) -> Column:
     """Decimal or hexadecimal, spaces around allowed."""
     t = F.btrim(c, F.lit(" \t\n\x0b\f\r"))
-    hexa = F.regexp_extract(F.lower(t), "^[+-]?0x([0-9a-f]+)$", 1)
+    hexa = F.regexp_extract(F.lower(t), "^[+-]?0x([0-9a-f]+)\\z", 1)
     value = F.when(hexa != "", F.conv(F.nullif(hexa, F.lit("")), 16, 10).try_cast("double") * F.when(t.startswith("-"), -1).otherwise(1))
-    return F.coalesce(value, F.when(t.rlike("^[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?$"), t.try_cast("double")))
+    return F.coalesce(value, F.when(t.rlike("^[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?\\z"), t.try_cast("double")))
 
 
 def to_sized(c: Column, kind: str) -> Column:
     low, high = RANGES[kind]
-    n = F.when(c.rlike("^[+-]?[0-9]+$"), c.try_cast("decimal(38,0)"))
+    n = F.when(c.rlike("^[+-]?[0-9]+\\z"), c.try_cast("decimal(38,0)"))
     return F.when((n >= F.lit(low)) & (n <= F.lit(high)), n.try_cast("bigint"))
 
 

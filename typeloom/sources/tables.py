@@ -1,7 +1,7 @@
 """Readers and writers of typed tables: tab-separated text, triples, JSON, XML, SQL text.
 
 A reader turns cells into typed columns in one projection: an empty cell takes its default, then is cast by its declared
-type; cells that do not fit become null here and rows of cast_violations(). The header is read alone, by a one-row job.
+type (containers from JSON or table literals, with or without the outer braces); cells that do not fit become null here and rows of cast_violations(). The header is read alone, by a one-row job.
 Files that have to be read whole (triples in order, transposed tables) keep `_line`, their order within the file.
 """
 
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from typeloom.functions.codecs import from_literal, to_literal
 from typeloom.functions.strings import unescape_text
 from typeloom.operators import relational as R
 from typeloom.operators import validate as V
@@ -39,7 +40,7 @@ def raw_problems(df: DataFrame) -> DataFrame:
 
 
 def cell(c: Column, column: S.Column, types: S.Types) -> Column:
-    """A text cell as its declared type: default for empty, then cast; containers are written as JSON."""
+    """A text cell as its declared type: default for empty, then cast; containers are JSON or table literals."""
     spec = types.resolve(column.spec)
     text = F.nullif(c, F.lit(""))
     if column.default is not None and not column.default.startswith("="):
@@ -53,15 +54,22 @@ def cell(c: Column, column: S.Column, types: S.Types) -> Column:
     if spec.kind == "enum":
         return V.to_enum(text, list(spec.items))
     if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
-        return F.from_json(text, kind)
+        return F.from_json(_nested(text, isinstance(kind, T.ArrayType)), kind)
     if isinstance(kind, T.VariantType):
-        return F.try_parse_json(text)
+        return F.coalesce(F.try_parse_json(text), F.try_parse_json(from_literal(text)))
     if spec.name in ESCAPED:
         return unescape_text(text)
     value = V.cast_cell(text, spec.name)
     return value.cast(kind) if not isinstance(kind, T.StringType) else (F.coalesce(value, F.lit("")) if spec.name == "string" else value)
 
 
+def _nested(text: Column, sequence: bool) -> Column:
+    """JSON text of a container's cell: JSON itself, a table literal with its braces, or one without them (a,b or k=v)."""
+    braced = F.when(text.rlike("(?s)^\\s*[{].*[}]\\s*\\z"), text).otherwise(F.concat(F.lit("{"), text, F.lit("}")))
+    is_json = F.try_parse_json(text).isNotNull() & text.rlike("(?s)^\\s*\\[" if sequence else "(?s)^\\s*[\\[{]")
+    return F.when(is_json, text).otherwise(from_literal(F.when(~is_json, braced)))
+
+
 def typed(raw: DataFrame, columns: list[S.Column], types: S.Types | None = None, names: dict[str, Column] | None = None) -> DataFrame:
     """Typed columns (and _line) of raw rows (_line, cells); defaults that are expressions come last, in dependency order."""
     types = types or S.Types()
@@ -69,7 +77,7 @@ def typed(raw: DataFrame, columns: list[S.Column], types: S.Types | None = None,
     computed = {c.name: c.default for c in columns if c.default and c.default.startswith("=")}
     for name in in_order(computed) if computed else []:
         kind = types.spark(next(c.spec for c in columns if c.name == name))
-        out = out.withColumn(name, F.coalesce(F.col(f"`{name}`"), compile_expression(computed[name], names).cast(kind)))
+        out = out.withColumn(name, F.coalesce(F.col(f"`{name}`"), compile_expression(computed[name], names, {f.name: f.dataType for f in out.schema}).cast(kind)))
     return out
 
 
@@ -84,13 +92,14 @@ def read_tsv(spark: SparkSession, path: str, types: S.Types | None = None, paren
 
 
 def read_transposed(spark: SparkSession, path: str, types: S.Types | None = None) -> DataFrame:
-    """A table written one field a line; short lines are padded. Small by nature: its width is its number of rows."""
-    rows = raw_rows(lines(spark, path)).orderBy("_line").limit(10_000).collect()
-    width = max((len(r["cells"]) for r in rows), default=0)
-    grid = [r["cells"] + [""] * (width - len(r["cells"])) for r in rows]
-    columns = S.header([g[0] for g in grid])
-    data = [(i, [g[i] for g in grid]) for i in range(1, width)]
-    return typed(spark.createDataFrame(data, "_line long, cells array<string>"), columns, types)
+    """A table written one field a line; short lines are padded. Only its header, the first cell of each line, passes the driver."""
+    raw = raw_rows(lines(spark, path))
+    head = raw.select("_line", F.col("cells")[0].alias("name")).orderBy("_line").collect()
+    columns = S.header([r["name"] for r in head])
+    given = raw.select(F.col("_line").alias("field"), F.posexplode("cells").alias("pos", "cell")).where("pos > 0")
+    rows = given.groupBy("pos").agg(F.map_from_entries(F.collect_list(F.struct("field", "cell"))).alias("m"))
+    cells = F.array(*[F.coalesce(F.try_element_at("m", F.lit(r["_line"])), F.lit("")) for r in head])
+    return typed(rows.select(F.col("pos").cast("long").alias("_line"), cells.alias("cells")), columns, types)
 
 
 def read_triples(spark: SparkSession, path: str, on_conflict: str = "error") -> DataFrame:
@@ -128,19 +137,19 @@ def parse_json(spark: SparkSession, path: str, layout: str, columns: list[S.Colu
 # -- writers --
 
 
-def cell_text(c: Column, kind: T.DataType) -> Column:
-    """A value as a text cell: null is empty, containers are JSON, floats keep a point."""
+def cell_text(c: Column, kind: T.DataType, nested: str = "json") -> Column:
+    """A value as a text cell: null is empty, containers are JSON (plain or typed) or table literals, floats keep a point."""
     if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
-        return F.coalesce(F.to_json(c), F.lit(""))
+        return F.coalesce(to_literal(c) if nested == "literal" else F.to_json(c), F.lit(""))
     return F.coalesce(c.cast("string"), F.lit(""))
 
 
-def tsv_lines(df: DataFrame, columns: list[S.Column] | None = None, drop_comments: bool = True) -> DataFrame:
-    """value: one line a row, tab between cells. Columns of type comment are left out."""
+def tsv_lines(df: DataFrame, columns: list[S.Column] | None = None, drop_comments: bool = True, nested: str = "json") -> DataFrame:
+    """value: one line a row, tab between cells. Columns of type comment are left out; nested: how containers are written, json or literal."""
     keep = [f for f in df.schema if f.name != "_line" and not (drop_comments and columns and any(c.name == f.name and str(c.spec) == "comment" for c in columns))]
     from typeloom.functions.strings import escape_text
 
-    return df.select(F.concat_ws("\t", *[escape_text(cell_text(F.col(f"`{f.name}`"), f.dataType)) for f in keep]).alias("value"))
+    return df.select(F.concat_ws("\t", *[escape_text(cell_text(F.col(f"`{f.name}`"), f.dataType, nested)) for f in keep]).alias("value"))
 
 
 def write_tsv(df: DataFrame, path: str, compression: str = "none") -> None:
@@ -154,7 +163,11 @@ def schema_line(columns: list[S.Column]) -> str:
 
 def natural_json(df: DataFrame) -> DataFrame:
     """value: each row as a JSON array of its plain values."""
-    return df.select(F.to_json(F.struct(*df.columns)).alias("value"))
+    def plain(c: str) -> Column:
+        text = F.to_json(F.array(F.col(f"`{c}`")))
+        return F.substring(text, F.lit(2), F.char_length(text) - 2)
+
+    return df.select(F.concat(F.lit("["), F.concat_ws(",", *map(plain, df.columns)), F.lit("]")).alias("value"))
 
 
 def typed_json_cell(c: Column, kind: T.DataType) -> Column:
