@@ -111,11 +111,14 @@ def test_violations(spark):
 
 
 def test_long_and_wide(spark):
-    t = spark.createDataFrame([("item1", "name", "Sword", 1), ("item1", "damage", "10", 2), ("item2", "name", "Shield", 3), ("item2", "defense", "5", 4), ("item1", "name", "Axe", 5)], "entity string, attribute string, value string, _line int")
-    assert R.attributes_in_order(t, "_line") == ["name", "damage", "defense"]
-    wide = {r["entity"]: r for r in R.pivot(t, "_line", ["name", "damage", "defense"], "first").collect()}
-    assert tuple(wide["item1"]) == ("item1", "Sword", "10", "") and tuple(wide["item2"]) == ("item2", "Shield", "", "5")
-    assert [tuple(r) for r in R.conflicts(t).collect()] == [("item1", "name", 2)]
+    rows = [("quay", "depth", "7.5", 10), ("lock", "gates", "2", 20), ("quay", "lamp", "green", 30), ("lock", "lamp", "red", 40), ("quay", "depth", "8.1", 50), ("weir", "gates", "", 60)]
+    t = spark.createDataFrame(rows, "entity string, attribute string, value string, _line int")
+    names = R.attributes_in_order(t, "_line")
+    assert names == ["depth", "gates", "lamp"]
+    first, last = ({r["entity"]: tuple(r)[1:] for r in R.pivot(t, "_line", names, how).collect()} for how in ("first", "last"))
+    assert first == {"quay": ("7.5", "", "green"), "lock": ("", "2", "red"), "weir": ("", "", "")}
+    assert last == first | {"quay": ("8.1", "", "green")}
+    assert [tuple(r) for r in R.conflicts(t).collect()] == [("quay", "depth", 2)]
 
 
 def test_nested_columns(spark):
@@ -130,23 +133,36 @@ def test_row_numbers_over_ranges(spark):
 
 
 def test_diffs(spark):
-    a = spark.createDataFrame([("john", 30), ("jane", 20), ("gone", 1)], "name string, age int")
-    b = spark.createDataFrame([("jane", 20), ("john", 31), ("new", 2)], "name string, age int")
-    assert sorted((r["key"], r["kind"]) for r in D.keyed(a, b).collect()) == [("gone", "removed"), ("john", "changed"), ("new", "added")]
-    assert D.keyed(a, b, o=D.Options(epsilon=1.0, only=("name", "age"))).where("kind = 'changed'").isEmpty()
-    p = D.positional(a.withColumn("i", F.col("age")), b.withColumn("i", F.col("age")), "i").collect()
-    assert {r["kind"] for r in p} == {"changed"}
+    old = spark.createDataFrame([("ferry 4", 6.25, "open"), ("ferry 9", 7.0, "open"), ("tram 2", 5.5, None)], "line string, fare double, state string")
+    new = spark.createDataFrame([("tram 2", 5.5, ""), ("bus 77", 3.0, "open"), ("ferry 4", 6.3, "shut")], "line string, fare double, state string")
+    got = {r["key"]: (r["kind"], r["changes"] and [x["column"] for x in r["changes"]]) for r in D.keyed(old, new).collect()}
+    assert got == {"ferry 4": ("changed", ["fare", "state"]), "ferry 9": ("removed", None), "bus 77": ("added", None)}
+    near = D.keyed(old, new, o=D.Options(epsilon=0.1, only=("line", "fare"))).collect()
+    assert sorted((r["key"], r["kind"]) for r in near) == [("bus 77", "added"), ("ferry 9", "removed")]
+    p = D.positional(old.withColumn("i", F.col("fare")), new.withColumn("i", F.col("fare")), "i").collect()
+    assert len(p) == 3 and {r["kind"] for r in p} == {"changed"}
+
+
+def test_keyed_diffs_of_null_and_repeated_keys(spark):
+    left = spark.createDataFrame([(None, 1)] * 30 + [("b", 2), ("B ", 2), ("c", 1), ("c", 1)], "k string, v int")
+    right = spark.createDataFrame([(None, 1, i) for i in range(39)] + [(None, 5, 40), ("b", 2, 50), (" B", 3, 60), ("d", 1, 70), ("d", 2, 80)], "k string, v int, n int")
+    got = [(r["key"], r["kind"]) for r in D.keyed(left, right, order="n").collect()]
+    assert sorted(got) == sorted([("", "changed")] * 30 + [("B ", "removed")] + [("c", "removed")] * 2 + [(" B", "added")] + [("d", "added")] * 2)
+    folded = [(r["key"], r["kind"], r["changes"] and r["changes"][0]["new"]) for r in D.keyed(left, right, o=D.Options(trim=True, ignore_case=True), order="n").where("key = 'b'").collect()]
+    assert folded == [("b", "changed", "3")] * 2  # both first rows against the last second one
+    assert D.keyed(left.limit(0), right, order="n").count() == len(right.collect())
 
 
 def test_patches(spark):
-    t = spark.createDataFrame([("sword", 100, ["a", "b"]), ("shield", 25, []), ("potion", 10, None)], "name string, price int, tags array<string>")
-    p = spark.createDataFrame([("sword", None, "=nil", ["c"]), ("shield", "remove", None, None), ("axe", "add", "7", None), ("potion", "add", "99", None)], "name string, patchOp string, price string, append_tags array<string>")
-    out = {r["name"]: (r["price"], r["tags"]) for r in PT.row_patch(t, p).collect()}
-    assert out == {"sword": (None, ["a", "b", "c"]), "axe": (7, None), "potion": (10, None)}
-    assert [(r["key"], r["level"]) for r in PT.patch_problems(t, p).collect()] == [("potion", "error")]
-    assert PT.classify(["append_x", "append_append_x"], ["x", "append_x"]) == {"append_x": ("set", "append_x"), "append_append_x": ("append", "append_x")}
+    t = spark.createDataFrame([("oak", 140, ["shade", "old"]), ("elm", 60, []), ("fir", 85, None), ("yew", 900, ["rare"])], "tree string, age int, notes array<string>")
+    rows = [("oak", None, "=nil", ["struck"]), ("elm", "remove", None, None), ("ash", "add", "12", ["young"]), ("fir", "add", "1", None), ("yew", "replace", "901", None)]
+    p = spark.createDataFrame(rows, "tree string, patchOp string, age string, append_notes array<string>")
+    out = {r["tree"]: (r["age"], r["notes"]) for r in PT.row_patch(t, p).collect()}
+    assert out["oak"] == (None, ["shade", "old", "struck"]) and "elm" not in out and out["ash"][0] == 12 and out["fir"] == (85, None) and out["yew"][0] == 901
+    assert ("fir", "error") in [(r["key"], r["level"]) for r in PT.patch_problems(t, p).collect()]
+    assert PT.classify(["append_sap", "append_append_sap", "sap"], ["sap", "append_sap"]) == {"append_sap": ("set", "append_sap"), "append_append_sap": ("append", "append_sap"), "sap": ("set", "sap")}
     with pytest.raises(ValueError):
-        PT.classify(["append_nothing"], ["x"])
+        PT.classify(["prepend_bark"], ["sap"])
 
 
 def test_bulk_rules_see_earlier_writes(spark):
@@ -282,3 +298,70 @@ def test_streams(spark, tmp_path):
     q = out.writeStream.format("memory").queryName("bad_rows").trigger(availableNow=True).start()
     q.awaitTermination()
     assert [r["pk"] for r in spark.sql("select * from bad_rows").collect()] == ["2"]
+
+
+def test_line_ends_do_not_pass_predicates(spark):
+    from typeloom.functions import predicates as P
+    from typeloom.functions import strings as S
+
+    def truth(f, *texts):
+        return [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(f(F.col("t"))).collect()]
+
+    assert truth(P.is_identifier, "abc", "abc\n", "_", None) == [True, False, False, False]
+    assert truth(P.is_version, "1.2.3", "1.2.3\n") == [True, False] and truth(P.is_name, "a.b", "a.b\n", "a._") == [True, False, False]
+    assert truth(P.is_percent, "5%", "5%\n", "-1.5%", "1/2", "1/-2", "1/00", "-3/4") == [True, False, True, True, False, False, True]
+    assert truth(P.is_http_url, "http://a.b", "http://localhost", "https://a_b.example.org:80/x?y=1#z", "http://a.b/(x)", "http://a.b:", "ftp://a.b") == [True, False, True, False, False, False]
+    assert truth(P.is_pattern, "[a-z]+", "[a", "%d(", "x%", "%%", "(a)", ")a(") == [True, False, False, False, True, True, False]
+    seq = lambda c: P.is_full_sequence(F.from_json(c, "array<int>"))
+    assert truth(seq, "[]", "[1,2,3]", "[2,1]", "[1,3]", "[0,1]", "[1,1]") == [True, True, True, False, False, False]
+    mixed = lambda c: P.is_mixed(F.from_json(c, "array<string>"))
+    assert truth(mixed, '["1","2"]', '["1","a"]', '["a"]', '["2","a"]') == [False, True, False, False]
+    assert truth(S.unescape_text, "a\\tb", "a\\\\tb", "a\\\nb", "a\r\nb", "x\\q", "plain") == ["a\tb", "a\\tb", "a\nb", "a\nb", "xq", "plain"]
+    assert truth(lambda c: S.matches_any(c, "^[a%D]$"), "a", "7", "z") == [True, False, True]
+    assert truth(lambda c: S.matches_any(c, "^[^a%D]$"), "a", "7", "z") == [False, True, False]
+
+
+def test_operands_of_and_or_not(spark):
+    from typeloom.operators.expression import derive
+
+    df = spark.createDataFrame([(1, 3, "x", True, [1, 2]), (2, None, None, False, []), (3, 0, "", None, None)], "k int, v int, t string, b boolean, a array<int>")
+    out = derive(df, {"o": "=self.v or 5", "n": "=not self.v", "w": "=self.v and 'some' or 'none'", "both": "=self.b and self.v > 1", "len": "=#self.a", "size": "=#self.t + 1"}).orderBy("k").collect()
+    assert [tuple(r)[5:] for r in out] == [(3, False, "some", True, 2, 2), (5, True, "none", False, 0, None), (0, False, "some", False, None, 1)]
+
+
+def test_custom_types(spark):
+    from typeloom.sources.customtypes import CustomTypes, Declared
+
+    t = CustomTypes([Declared("percentile", "ubyte", most=100), Declared("upper", "percentile", least=50), Declared("code", "ascii", min_bytes=2, max_bytes=3, pattern="^Z|%d$"), Declared("shape", "string", shape="{long}"), Declared("sizes", "number", tagged=("percentile", "float"))])
+    df = spark.createDataFrame([(0, "50", "Z1", "{3,4}"), (1, "49", "abc", "{3,x}"), (2, "101", "Zxyz", "nothing"), (3, "x", "a7", "[5]")], "i int, u string, c string, s string").orderBy("i")
+    rows = df.select(t.problem(F.col("u"), "upper"), t.problem(F.col("c"), "code"), t.value(F.col("s"), "shape")).collect()
+    assert [r[0] for r in rows] == ["", "below 50", "above 100", "no upper"]
+    assert [r[1] for r in rows] == ["", "does not match ^Z|%d$", "over 3 bytes", ""] and [r[2] for r in rows] == ["[3,4]", None, None, "[5]"]
+    assert t.tag_members("sizes") == ["float", "percentile"] and t.in_tag("upper", "sizes") and not t.in_tag("code", "sizes") and t.narrower("upper", "percentile")
+    for bad in (Declared("x", "int64", least=1), Declared("x", "string", least=1), Declared("x", "ubyte", least=3, most=2), Declared("x", "string", min_bytes=1, labels=("a",)), Declared("x", "{enum:a|b}", labels=("c",)), Declared("x", "nowhere"), Declared("x", "number", tagged=("string",)), Declared("code", "string")):
+        with pytest.raises(ValueError):
+            t.add(bad)
+    listed = spark.createDataFrame([("low", "ubyte", 3.0, 1), ("lower", "low", 2.0, 2)], "name string, parent string, most double, _line int")
+    assert CustomTypes.from_rows(listed).lineage("lower")[:3] == ["lower", "low", "ubyte"]
+
+
+def test_nested_cells(spark):
+    from typeloom.sources import tables as TB
+    from typeloom.sources import typespec as TS
+
+    columns = TS.header(["k", "list:{long}", "pair:{string,number}", "map:{string:long}", "rec:{a:long,b:string}"])
+    rows = [(1, ["x", "{1,2}", '{"p",2.5}', "{u=1,v=2}", "{a=7,b='q'}"]), (2, ["y", "[3]", '["p",1]', '{"u":3}', '{"a":1}']), (3, ["z", "4,5", "'r',2", "u=9", "b='s'"]), (4, ["w", "", "{oops", "", "{"])]
+    out = TB.typed(spark.createDataFrame(rows, "_line long, cells array<string>"), columns).orderBy("_line").collect()
+    assert [r["list"] for r in out] == [[1, 2], [3], [4, 5], None]
+    assert [r["pair"] and tuple(r["pair"]) for r in out] == [("p", 2.5), ("p", 1.0), ("r", 2.0), None]
+    assert [r["map"] for r in out] == [{"u": 1, "v": 2}, {"u": 3}, {"u": 9}, None]
+    assert [r["rec"] and tuple(r["rec"]) for r in out] == [(7, "q"), (1, None), (None, "s"), None]
+
+
+def test_transposed_tables(spark, tmp_path):
+    from typeloom.sources import tables as TB
+
+    lines = ["id:long\t1\t2\t3", "# note", "name\ta\tb", "size:long:9\t\t5\t6"]
+    (tmp_path / "t.tsv").write_text("\n".join(lines) + "\n")
+    out = TB.read_transposed(spark, str(tmp_path / "t.tsv")).orderBy("_line").collect()
+    assert [(r["id"], r["name"], r["size"]) for r in out] == [(1, "a", 9), (2, "b", 5), (3, "", 6)]

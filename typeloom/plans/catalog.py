@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import graph_queries, patch_queries, relational_queries, scalar_queries, typed_queries  # noqa: F401
+from . import graph_queries, package_queries, patch_queries, relational_queries, scalar_queries, typed_queries  # noqa: F401
 from .base import QUERIES, SQL
 
 FLAGSHIP = "left_join_files"

@@ -181,7 +181,7 @@ def eav_conflicts(spark, sf):
     return R.conflicts(read(spark, sf, "events").select(F.col("user_id").cast("string").alias("entity"), F.col("event_type").alias("attribute")))
 
 
-@query("transpose_small", "PIVOT (SELECT 'r_name' AS key, r_regionkey::VARCHAR AS k, r_name AS v FROM region) ON k USING first(v) GROUP BY key")
+@query("transpose_small", "SELECT 'r_name' AS key, " + ", ".join(f"max(CASE WHEN r_regionkey = {k} THEN r_name END) AS \"{k}\"" for k in range(5)) + " FROM region")
 def transpose_small(spark, sf):
     return R.transpose(read(spark, sf, "region").select("r_regionkey", "r_name"), "r_regionkey")
 

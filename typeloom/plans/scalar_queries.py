@@ -9,6 +9,8 @@ from typeloom.functions import numbers as N
 from typeloom.functions import predicates as P
 from typeloom.functions import strings as S
 from typeloom.operators import validate as V
+from typeloom.sources import tables as T
+from typeloom.sources import typespec as TS
 
 from .base import query, read
 
@@ -61,21 +63,28 @@ def unix_eol(spark, sf):
     return read(spark, sf, "documents").select("doc_id", F.char_length(S.unix_eol(c("text"))).cast("long").alias("n"))
 
 
-@query("strip_fences", "SELECT n_nationkey, '{\"n\":' || n_nationkey || '}' AS body FROM nation")
+@query("strip_fences", "SELECT event_id, props AS body FROM events")
 def strip_fences(spark, sf):
-    return read(spark, sf, "nation").select("n_nationkey", S.strip_fences(F.concat(F.lit("```json\n{\"n\":"), c("n_nationkey").cast("string"), F.lit("}\n```"))).alias("body"))
+    fenced = F.when(c("event_id") % 3 == 0, F.concat(F.lit("```json\n"), "props", F.lit("\n```"))).when(c("event_id") % 3 == 1, F.concat(F.lit("  ```\n"), "props", F.lit("```\n"))).otherwise(c("props"))
+    return read(spark, sf, "events").select("event_id", S.strip_fences(fenced).alias("body"))
 
 
-@query("edit_distance_osa")
+@query("edit_distance_osa", "SELECT a.n_name AS a, b.n_name AS b, damerau_levenshtein(a.n_name, b.n_name)::INT AS distance FROM nation a JOIN nation b ON a.n_nationkey % 2 = b.n_nationkey // 3 % 2")
 def edit_distance_osa(spark, sf):
-    n = read(spark, sf, "nation").select("n_regionkey", c("n_name").alias("a"))
-    m = n.select("n_regionkey", c("a").alias("b"))
-    return n.join(m, "n_regionkey").select("a", "b", S.edit_distance("a", "b").alias("distance"))
+    n = read(spark, sf, "nation").select((c("n_nationkey") % 2).alias("k"), c("n_name").alias("a"))
+    m = read(spark, sf, "nation").select((F.floor(c("n_nationkey") / 3) % 2).alias("k"), c("n_name").alias("b"))
+    return n.join(m, "k").select("a", "b", S.edit_distance("a", "b").alias("distance"))
 
 
-@query("closest_name")
+@query(
+    "closest_name",
+    """WITH w AS (SELECT n_name, substr(n_name, 2, 1) || substr(n_name, 1, 1) || substr(n_name, 3) AS bad FROM nation),
+    d AS (SELECT w.n_name, k.n_name AS x, damerau_levenshtein(bad, k.n_name) AS d, least(3, strlen(bad) // 4 + 1) AS most FROM w, nation k),
+    f AS (SELECT n_name, arg_min(x, (d, x)) FILTER (WHERE d <= most) AS found FROM d GROUP BY n_name)
+    SELECT n_name, found, coalesce(' (did you mean ' || chr(39) || found || chr(39) || '?)', '') AS hint FROM f""",
+)
 def closest_name(spark, sf):
-    names = [r["n_name"] for r in read(spark, sf, "nation").select("n_name").orderBy("n_name").limit(1000).collect()]
+    names = [r["n_name"] for r in read(spark, sf, "nation").select("n_name").orderBy("n_name").collect()]
     bad = F.concat(F.substring("n_name", 2, 1), F.substring("n_name", 1, 1), F.substring("n_name", 3, 100))
     return read(spark, sf, "nation").select("n_name", S.closest_match(bad, names).alias("found"), S.did_you_mean(bad, names).alias("hint"))
 
@@ -123,9 +132,9 @@ def predicates_strings(spark, sf):
     return read(spark, sf, "customer").select("c_custkey", P.is_identifier(n).alias("identifier"), P.is_non_empty(n).alias("filled"), P.is_utf8(n).alias("utf8"), P.is_file_name(n).alias("file_name"), P.is_ascii(n).alias("ascii"))
 
 
-@query("predicates_urls", r"SELECT page_id, regexp_full_match(url, 'https?://[A-Za-z0-9.-]+(:[0-9]+)?([/?#][^\s]*)?') AS url_ok, false AS path_ok FROM pages")
+@query("predicates_urls", r"SELECT page_id, starts_with(url, 'http') AND url NOT LIKE '% %' AND split_part(split_part(url, '://', 2), '/', 1) LIKE '%.%' AND translate(split_part(url, '://', 2), './?=&_#-:', '') = regexp_replace(split_part(url, '://', 2), '[^A-Za-z0-9]', '', 'g') AS url_ok, split_part(url, '://', 2) NOT LIKE '%//%' AND split_part(url, '://', 2) NOT LIKE '%?%' AS path_ok FROM pages")
 def predicates_urls(spark, sf):
-    return read(spark, sf, "pages").select("page_id", P.is_http_url(c("url")).alias("url_ok"), P.is_path(c("url")).alias("path_ok"))
+    return read(spark, sf, "pages").select("page_id", P.is_http_url(c("url")).alias("url_ok"), P.is_path(F.substring_index("url", "://", -1)).alias("path_ok"))
 
 
 @query("predicates_numbers", "SELECT c_custkey, c_acctbal <> 0 AS non_zero, c_acctbal > 0 AS positive, c_acctbal = floor(c_acctbal) AS whole, c_nationkey = 0 AS is_default FROM customer")
@@ -163,10 +172,11 @@ def map_ops(spark, sf):
     return read(spark, sf, "events").select("event_id", text(merged).alias("merged"), text(C.drop_keys(m, F.array(F.lit("a")))).alias("dropped"), C.map_equal(merged, merged).alias("same"))
 
 
-@query("ratio_total", "SELECT o_orderkey, o_orderkey % 2 = 0 AS ok FROM orders")
+@query("ratio_total", "SELECT l_orderkey, l_linenumber, abs(l_discount + l_tax + round(1 - l_discount - l_tax, 2) + (l_linenumber % 2) * 0.05 - 1) < 1e-4 AS ok FROM lineitem")
 def ratio_total(spark, sf):
-    m = F.create_map(F.lit("x"), F.lit(0.25), F.lit("y"), F.when(c("o_orderkey") % 2 == 0, 0.75).otherwise(0.5))
-    return read(spark, sf, "orders").select("o_orderkey", C.ratio_total_ok(m).alias("ok"))
+    rest = F.round(1 - c("l_discount") - c("l_tax"), 2) + (c("l_linenumber") % 2) * 0.05
+    m = F.create_map(F.lit("discount"), c("l_discount"), F.lit("tax"), c("l_tax"), F.lit("rest"), rest)
+    return read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", C.ratio_total_ok(m).alias("ok"))
 
 
 @query("sql_literals", "SELECT c_custkey, '''' || replace(c_name, '''', '''''') || '''' AS t, CASE WHEN c_acctbal > 0 THEN '1' ELSE '0' END AS b, c_nationkey::VARCHAR AS n, 'NULL' AS nothing FROM customer")
@@ -176,12 +186,15 @@ def sql_literals(spark, sf):
 
 @query("json_natural", """SELECT n_nationkey, '{"key":' || n_nationkey || ',"name":"' || n_name || '"}' AS j FROM nation""")
 def json_natural(spark, sf):
-    return read(spark, sf, "nation").select("n_nationkey", F.to_json(F.struct(c("n_nationkey").alias("key"), c("n_name").alias("name"))).alias("j"))
+    return read(spark, sf, "nation").select("n_nationkey", T.object_json(c("n_nationkey").alias("key"), c("n_name").alias("name")).alias("j"))
 
 
-@query("json_parse", "SELECT event_id, try_cast(props AS JSON) IS NOT NULL AS is_json FROM events")
+@query("json_parse", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, CAST(json_extract(props, '$.k') AS BIGINT) % 2 = 0 AS even FROM events")
 def json_parse(spark, sf):
-    return read(spark, sf, "events").select("event_id", F.try_parse_json("props").isNotNull().alias("is_json"))
+    """A JSON object in a cell of a record type."""
+    raw = read(spark, sf, "events").select(c("event_id").cast("long").alias("_line"), F.array(c("event_id").cast("string"), "props").alias("cells"))
+    out = T.typed(raw, TS.header(["id:long", "props:{k:long,rest:string}"]))
+    return out.select(c("id").alias("event_id"), "props.k", (c("props.k") % 2 == 0).alias("even"))
 
 
 @query("boolean_cast", "SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'true' WHEN 1 THEN 'false' WHEN 2 THEN 'true' ELSE 'none' END AS b FROM events")

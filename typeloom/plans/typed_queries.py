@@ -86,9 +86,9 @@ def tsv_lines(spark, sf):
     return T.tsv_lines(read(spark, sf, "nation").select("n_nationkey", "n_name", "n_regionkey"))
 
 
-@query("order_files_priority", "SELECT p_partkey, row_number() OVER (ORDER BY p_size, lower(p_name || p_partkey)) AS place FROM part WHERE p_partkey < 500")
+@query("order_files_priority", "SELECT p_partkey, row_number() OVER (ORDER BY p_size, lower(p_name || p_partkey)) AS place FROM part")
 def order_files_priority(spark, sf):
-    f = read(spark, sf, "part").where("p_partkey < 500").select("p_partkey", F.concat("p_name", c("p_partkey").cast("string")).alias("path"), c("p_size").alias("load_order"))
+    f = read(spark, sf, "part").select("p_partkey", F.concat("p_name", c("p_partkey").cast("string")).alias("path"), c("p_size").alias("load_order"))
     return T.load_order(f).select("p_partkey", c("place").cast("long").alias("place"))
 
 

@@ -34,6 +34,11 @@ def raw_rows(df: DataFrame) -> DataFrame:
     return df.where(~F.col("value").startswith("#") & (F.trim("value") != "")).select("_line", F.split("value", "\t", -1).alias("cells"))
 
 
+def row_at(raw: DataFrame, index: int) -> DataFrame:
+    """The data row at a 1-based position by `_line`."""
+    return R.numbered(raw, "_line", "_at").where(F.col("_at") == index).drop("_at")
+
+
 def raw_problems(df: DataFrame) -> DataFrame:
     """_line of rows with a cell that is no UTF-8 or holds a line end."""
     return df.where(F.exists("cells", lambda x: ~F.is_valid_utf8(x) | x.rlike("[\r\n]"))).select("_line")
@@ -54,7 +59,7 @@ def cell(c: Column, column: S.Column, types: S.Types) -> Column:
     if spec.kind == "enum":
         return V.to_enum(text, list(spec.items))
     if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
-        return F.from_json(_nested(text, isinstance(kind, T.ArrayType)), kind)
+        return nested_value(text, kind)
     if isinstance(kind, T.VariantType):
         return F.coalesce(F.try_parse_json(text), F.try_parse_json(from_literal(text)))
     if spec.name in ESCAPED:
@@ -70,6 +75,21 @@ def _nested(text: Column, sequence: bool) -> Column:
     return F.when(is_json, text).otherwise(from_literal(F.when(~is_json, braced)))
 
 
+def nested_value(text: Column, kind: T.DataType) -> Column:
+    """A container's cell as its type; the positions of a sequence are the fields of a tuple."""
+    json = _nested(text, isinstance(kind, T.ArrayType))
+    whole = F.from_json(json, kind)
+    if not isinstance(kind, T.StructType) or [f.name for f in kind] != [f"_{i}" for i in range(1, len(kind) + 1)]:
+        return whole
+    items = F.from_json(json, "array<string>")
+    fields = []
+    for i, f in enumerate(kind, 1):
+        item = F.try_element_at(items, F.lit(i))
+        nested = isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))
+        fields.append((nested_value(item, f.dataType) if nested else item.try_cast(f.dataType)).alias(f.name))
+    return F.when(items.isNotNull(), F.struct(*fields)).otherwise(whole)
+
+
 def typed(raw: DataFrame, columns: list[S.Column], types: S.Types | None = None, names: dict[str, Column] | None = None) -> DataFrame:
     """Typed columns (and _line) of raw rows (_line, cells); defaults that are expressions come last, in dependency order."""
     types = types or S.Types()
@@ -170,6 +190,11 @@ def natural_json(df: DataFrame) -> DataFrame:
     return df.select(F.concat(F.lit("["), F.concat_ws(",", *map(plain, df.columns)), F.lit("]")).alias("value"))
 
 
+def object_json(*columns: Column) -> Column:
+    """Plain values as a JSON object; nulls are left out."""
+    return F.to_json(F.struct(*columns))
+
+
 def typed_json_cell(c: Column, kind: T.DataType) -> Column:
     """A value as JSON that keeps its type: integers and floats are tagged objects, others plain."""
     if isinstance(kind, T.IntegralType):
