@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .relational import numbered
 from .stable import cut
 
 
@@ -210,9 +211,22 @@ def bfs_layers(nodes: DataFrame, edges: DataFrame, component: DataFrame) -> Data
 
 
 def dfs(edges: DataFrame, starts: DataFrame) -> DataFrame:
-    """start, node, order: pre-order from each start, first link first. The edges a start reaches are walked in that start's group."""
+    """start, node, order: pre-order from each start, first link first (by pos, then dst).
+
+    Where no node is reached twice, nodes are ordered by their paths, on all executors. Elsewhere pre-order is sequential by
+    nature: the edges a start reaches are then walked in that start's group."""
     reach = bfs(edges, starts).select("start", "node")
-    own = reach.join(edges.select(F.col("src").alias("node"), "dst", "pos"), "node", "left").select("start", "node", "dst", "pos")
+    own = cut(reach.join(edges.select(F.col("src").alias("node"), "dst", "pos"), "node", "left").select("start", "node", "dst", "pos"))
+    found = own.where("dst is not null")
+    if found.groupBy("start", "dst").agg(F.count("*").alias("n")).where("n > 1 or start = dst").isEmpty():
+        step = lambda: F.array(F.struct("pos", "dst"))
+        out = front = cut(own.select("start", F.col("start").alias("node")).distinct().select("*", F.array().cast(found.select(step().alias("p")).schema["p"].dataType).alias("path")))
+        while not front.isEmpty():
+            front = cut(front.join(found, ["start", "node"]).select("start", F.col("dst").alias("node"), F.concat("path", step()).alias("path")))
+            out = out.unionByName(front)
+        placed = numbered(out, ["start", "path"], "_at")
+        first = placed.groupBy("start").agg(F.min("_at").alias("_first"))
+        return placed.join(first, "start").select("start", "node", (F.col("_at") - F.col("_first")).alias("order"))
     kind = own.schema["node"].dataType.simpleString()
 
     def walk(rows: pd.DataFrame) -> pd.DataFrame:

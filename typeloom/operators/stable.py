@@ -1,14 +1,30 @@
-"""Cutting lineage in reliable storage."""
+"""The cluster's shared folder, and lineage cut there."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where none is set, a folder below the warehouse, if driver and executors are one process, else an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not (spark.sparkContext.master + "[").startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
+    return found.rstrip("/")
+
+
+def place(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing else uses."""
+    return f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut in the cluster's shared checkpoint folder (one below the warehouse where none is set)."""
+    """df with its lineage cut in the shared folder."""
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        where = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
-        spark.sparkContext.setCheckpointDir(where)
+        spark.sparkContext.setCheckpointDir(folder(spark))
     return df.checkpoint()

@@ -79,12 +79,12 @@ def graph_ancestors(spark, sf):
     return G.ancestors(_edges(spark, sf), starts).select("start", "node")
 
 
-@query("graph_shortest_path", "SELECT 1 AS start, 150 AS goal, '1,2,4,9,18,37,75,150' AS path")
+@query("graph_shortest_path", f"WITH RECURSIVE {_TREE}, r AS (SELECT k, up, k::VARCHAR AS path FROM t WHERE k = 150 UNION ALL SELECT t.k, t.up, t.k || ',' || path FROM r JOIN t ON t.k = r.up) SELECT 1 AS start, 150 AS goal, up || ',' || path AS path FROM r WHERE up = 1")
 def graph_shortest_path(spark, sf):
     return G.shortest_path(_edges(spark, sf), 1, 150).select("start", "goal", F.array_join(c("path").cast("array<string>"), ",").alias("path"))
 
 
-@query("graph_cycle", "SELECT '2,5,10,2' AS path")
+@query("graph_cycle", f"WITH RECURSIVE {_TREE}, r AS (SELECT k, up, k::VARCHAR AS path FROM t WHERE k = 10 UNION ALL SELECT t.k, t.up, t.k || ',' || path FROM r JOIN t ON t.k = r.up) SELECT path || ',2' AS path FROM r WHERE k = 2")
 def graph_cycle(spark, sf):
     e = _edges(spark, sf).unionByName(spark.range(1).select(F.lit(10).cast("long").alias("src"), F.lit(2).cast("long").alias("dst")))
     return G.find_cycle(e).select(F.array_join(c("path").cast("array<string>"), ",").alias("path"))
@@ -96,7 +96,7 @@ def graph_layers(spark, sf):
     return G.layers(nodes, _edges(spark, sf))
 
 
-@query("graph_dfs")
+@query("graph_dfs", f"WITH RECURSIVE {_TREE}, r AS (SELECT 3::BIGINT AS node, '' AS path UNION ALL SELECT t.k, path || (t.k % 2)::VARCHAR FROM r JOIN t ON t.up = r.node) SELECT 3 AS start, node, row_number() OVER (ORDER BY path) - 1 AS \"order\" FROM r")
 def graph_dfs(spark, sf):
     e = _edges(spark, sf).select("src", "dst", (c("dst") % 2).cast("int").alias("pos"))
     return G.dfs(e, spark.range(1).select(F.lit(3).cast("long").alias("node")))

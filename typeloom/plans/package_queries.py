@@ -11,7 +11,9 @@ from typeloom.functions import predicates as P
 from typeloom.functions import strings as S
 from typeloom.operators import ordering as O
 from typeloom.operators import relational as R
+from typeloom.operators.stable import place
 from typeloom.sources import customtypes as CT
+from typeloom.sources import files as FL
 from typeloom.sources import packages as PK
 from typeloom.sources import tables as TB
 from typeloom.sources import typespec as TS
@@ -263,3 +265,79 @@ def expressions_by_operand(spark, sf):
     e = read(spark, sf, "events").select("event_id", F.when(c("event_id") % 4 > 0, c("value")).alias("raw"), "event_type")
     out = derive(e, {"v": "=self.raw or 5", "word": "=self.raw and 'set' or 'unset'", "absent": "=not self.raw", "size": "=#self.event_type + 1"})
     return out.select("event_id", "v", "word", "absent", c("size").cast("long").alias("size"))
+
+
+@query("tsv_gzip_round_trip", "SELECT s_suppkey + 1 AS _line, s_suppkey, s_name, CASE WHEN s_acctbal > 0 THEN s_acctbal END AS s_acctbal FROM supplier")
+def tsv_gzip_round_trip(spark, sf):
+    """A typed table written as compressed lines, and read back with its types."""
+    df = read(spark, sf, "supplier").select("s_suppkey", "s_name", F.when(c("s_acctbal") > 0, c("s_acctbal")).alias("s_acctbal"))
+    path = place(spark, "tsv")
+    TB.write_tsv(df.orderBy("s_suppkey").coalesce(1), path, "gzip")
+    back = TB.typed(TB.raw_rows(TB.lines(spark, path)), TS.header(["s_suppkey:long", "s_name:string", "s_acctbal:float|nil"]))
+    return back
+
+
+@query("triples_file", "SELECT p_partkey::VARCHAR AS entity, p_type AS kind, CASE WHEN p_size > 9 THEN p_size::VARCHAR ELSE '' END AS size FROM part")
+def triples_file(spark, sf):
+    """A wide table as triples in a file, and wide again."""
+    p = read(spark, sf, "part").select("p_partkey", c("p_type").alias("kind"), F.when(c("p_size") > 9, c("p_size").cast("string")).alias("size"))
+    path = place(spark, "eav")
+    long = R.unpivot(p, "p_partkey")
+    long.select(F.concat_ws("\t", "entity", "attribute", "value").alias("value")).orderBy("value").coalesce(1).write.text(path)
+    return TB.read_triples(spark, path).select("entity", "kind", "size")
+
+
+@query("xml_round_trip", "SELECT c_custkey, c_name, c_mktsegment FROM customer")
+def xml_round_trip(spark, sf):
+    df = read(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    path = place(spark, "xml")
+    TB.write_xml(df, path)
+    return TB.read_xml(spark, path, df.schema)
+
+
+@query("sql_text_round_trip", "SELECT p_partkey, p_name || chr(39) || p_brand AS name, p_size, p_retailprice FROM part")
+def sql_text_round_trip(spark, sf):
+    df = read(spark, sf, "part").select("p_partkey", F.concat_ws("'", "p_name", "p_brand").alias("name"), "p_size", "p_retailprice")
+    path = place(spark, "sql")
+    TB.insert_lines(df, "part").write.text(path)
+    return FL.read_inserts(spark.read.text(path), "part", df.schema)
+
+
+@query("json_layouts", "SELECT n_nationkey, n_name, n_nationkey AS in_rows, n_name AS in_columns FROM nation")
+def json_layouts(spark, sf):
+    """One table as a JSON file of objects, of rows and of columns, each read back."""
+    columns = TS.header(["n_nationkey:long", "n_name:string"])
+    n = read(spark, sf, "nation").select("n_nationkey", "n_name")
+    texts = {
+        "objects": n.agg(F.to_json(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name")))).alias("value")),
+        "rows": n.agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda x: F.array(x["n_nationkey"].cast("string"), x["n_name"]))).alias("value")),
+        "columns": n.agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("x")).select(F.to_json(F.array(F.transform("x", lambda x: x["n_nationkey"].cast("string")), F.transform("x", lambda x: x["n_name"]))).alias("value")),
+    }
+    read_back = {}
+    for layout, text in texts.items():
+        path = place(spark, "json")
+        text.coalesce(1).write.text(path)
+        read_back[layout] = TB.parse_json(spark, path, layout, columns)
+    out = read_back["objects"].select("n_nationkey", "n_name")
+    out = out.join(read_back["rows"].select("n_nationkey", c("n_nationkey").alias("in_rows")), "n_nationkey")
+    return out.join(read_back["columns"].select("n_nationkey", c("n_name").alias("in_columns")), "n_nationkey")
+
+
+@query("type_lattice", "SELECT event_id, event_id % 3 = 0 AS narrower, event_id % 3 <> 2 AS nullable FROM events WHERE event_id < 3")
+def type_lattice(spark, sf):
+    """Subtype and null tests of type texts, which stand in a table."""
+    types = TS.Types({"price": "uint|nil", "names": "{name}"})
+    cases = [("ubyte", "integer", "price"), ("{string}", "names", "nil|string"), ("string", "number", "number")]
+    rows = [(i, types.narrower(a, b), types.nullable(n)) for i, (a, b, n) in enumerate(cases)]
+    return spark.createDataFrame(rows, "event_id long, narrower boolean, nullable boolean")
+
+
+@query("exploded_columns", "SELECT c_custkey, c_nationkey AS level, c_acctbal AS x, c_custkey % 7 AS y FROM customer")
+def exploded_columns(spark, sf):
+    """Columns spelled out in a header, put together as one nested value and taken apart again."""
+    df = read(spark, sf, "customer").select("c_custkey", c("c_nationkey").alias("at.level"), c("c_acctbal").alias("pos._1"), (c("c_custkey") % 7).alias("pos._2"))
+    found = TS.exploded(df.columns)
+    made = df.toDF("c_custkey", "level", "x", "y")
+    out = R.implode(made, "pos", {"_1": "x", "_2": "y"}, found["pos"]["kind"])
+    out = R.implode(out, "at", {"level": "level"}, found["at"]["kind"])
+    return out.select("c_custkey", "at.level", c("pos._1").alias("x"), c("pos._2").alias("y"))

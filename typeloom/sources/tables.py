@@ -23,10 +23,9 @@ ESCAPED = {"text", "asciitext", "markdown", "asciimarkdown"}
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """_line (1-based) and value of one text file; line ends of any kind. A file is split into lines where it is read."""
-    whole = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", "\r\n?", "\n").alias("v"))
-    rows = whole.select(F.posexplode(F.split(F.regexp_replace("v", "\n\\z", ""), "\n")).alias("_line", "value"))
-    return rows.select((F.col("_line") + 1).cast("long").alias("_line"), "value")
+    """_line (1-based) and value of one text file; line ends of any kind. Large files are read in splits: lines are put in order by split and place in it, and counted in two levels."""
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
+    return R.numbered(rows, ["_block", "_at"], "_line").select("_line", "value")
 
 
 def raw_rows(df: DataFrame) -> DataFrame:
@@ -123,16 +122,26 @@ def read_transposed(spark: SparkSession, path: str, types: S.Types | None = None
 
 
 def read_triples(spark: SparkSession, path: str, on_conflict: str = "error") -> DataFrame:
-    """A wide table of text cells from entity, attribute, value lines; columns in order of first appearance."""
-    t = raw_rows(lines(spark, path)).select("_line", F.col("cells")[0].alias("entity"), F.col("cells")[1].alias("attribute"), F.col("cells")[2].alias("value"))
+    """A wide table of text cells from entity, attribute, value lines; columns in order of first appearance. Lines that are no triple are an error."""
+    raw = raw_rows(lines(spark, path))
+    if not (bad := triple_problems(raw)).isEmpty():
+        first = bad.orderBy("_line").first()
+        raise ValueError(f"{path}: line {first['_line']}: {first['problem']}")
+    t = raw.select("_line", F.col("cells")[0].alias("entity"), F.col("cells")[1].alias("attribute"), F.col("cells")[2].alias("value"))
     if on_conflict == "error" and not R.conflicts(t).isEmpty():
         raise ValueError(f"{path}: a cell is given twice")
     return R.pivot(t, "_line", R.attributes_in_order(t, "_line"), on_conflict)
 
 
+def triple_problems(raw: DataFrame) -> DataFrame:
+    """_line, problem of rows that are no entity, attribute, value."""
+    n = F.size("cells")
+    problem = F.when(n != 3, F.concat(n.cast("string"), F.lit(" cells"))).when(F.col("cells")[0] == "", "no entity").when(F.try_element_at("cells", F.lit(2)) == "", "no attribute")
+    return raw.select("_line", problem.alias("problem")).where("problem is not null")
+
+
 def is_triples(raw: DataFrame) -> bool:
-    bad = raw.where((F.size("cells") != 3) | (F.col("cells")[0] == "") | (F.col("cells")[1] == ""))
-    return bad.isEmpty()
+    return triple_problems(raw).isEmpty()
 
 
 def parse_json(spark: SparkSession, path: str, layout: str, columns: list[S.Column], types: S.Types | None = None) -> DataFrame:
