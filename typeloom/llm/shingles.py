@@ -20,10 +20,10 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class _Hashes(dict):
-    """Word -> hash, remembering up to a million words."""
+    """Word -> hash, remembering up to 200,000 words."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1_000_000:
+        if len(self) >= 200_000:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h

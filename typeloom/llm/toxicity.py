@@ -119,7 +119,7 @@ class Scorer:
             for n in self.sizes:
                 if len(word) > n:
                     v = max(v, self.stems.get(word[:n], 0.0))
-            if len(self.known) > 500_000:
+            if len(self.known) > 100_000:
                 self.known.clear()
             self.known[word] = v
         return v
