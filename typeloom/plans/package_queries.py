@@ -14,6 +14,7 @@ from typeloom.operators import relational as R
 from typeloom.operators.stable import place
 from typeloom.sources import customtypes as CT
 from typeloom.sources import files as FL
+from typeloom.sources import formats as FM
 from typeloom.sources import packages as PK
 from typeloom.sources import tables as TB
 from typeloom.sources import typespec as TS
@@ -341,3 +342,37 @@ def exploded_columns(spark, sf):
     out = R.implode(made, "pos", {"_1": "x", "_2": "y"}, found["pos"]["kind"])
     out = R.implode(out, "at", {"level": "level"}, found["at"]["kind"])
     return out.select("c_custkey", "at.level", c("pos._1").alias("x"), c("pos._2").alias("y"))
+
+
+@query("format_round_trips", "SELECT f AS format, (SELECT count(*) FROM customer) AS n, 0 AS problems FROM (VALUES ('tsv'), ('literal_tsv'), ('eav'), ('jsonl'), ('typed_jsonl'), ('xml'), ('sql')) t(f)")
+def format_round_trips(spark, sf):
+    """The customers through every format and back: rows read, cells that changed."""
+    df = read(spark, sf, "customer").select("c_custkey", "c_name", c("c_nationkey").cast("long").alias("c_nationkey"), (c("c_acctbal") * 1.0).alias("c_acctbal"))
+    columns = TS.header(["c_custkey:long", "c_name:string", "c_nationkey:long", "c_acctbal:float"])
+    out = None
+    for kind in FM.FORMATS:
+        path = place(spark, kind)
+        FM.write(df, path, kind)
+        back = FM.read(spark, path, columns, kind)
+        problems = FM.round_trip_problems(df, back, "c_custkey").agg(F.count("*").alias("problems"))
+        row = back.agg(F.count("*").alias("n")).join(F.broadcast(problems)).select(F.lit(kind).alias("format"), "n", "problems")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query("round_trip_compare", "SELECT s_suppkey::VARCHAR AS key, CASE WHEN s_suppkey % 10 <> 0 THEN 's_acctbal' END AS \"column\" FROM supplier WHERE s_suppkey % 10 = 0 OR s_suppkey % 4 = 1")
+def round_trip_compare(spark, sf):
+    s = read(spark, sf, "supplier")
+    changed = s.where("s_suppkey % 10 <> 0").withColumn("s_acctbal", F.when(c("s_suppkey") % 4 == 1, c("s_acctbal") + 1).otherwise(c("s_acctbal")))
+    return FM.round_trip_problems(s, changed, "s_suppkey")
+
+
+@query("typed_json_check", "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'c_nationkey' ELSE 'c_name' END AS \"column\" FROM customer WHERE c_custkey % 3 < 2")
+def typed_json_check(spark, sf):
+    df = read(spark, sf, "customer").select("c_custkey", "c_name", c("c_nationkey").cast("long").alias("c_nationkey"))
+    good = TB.typed_json(df)
+    k = F.regexp_extract("value", "^\\[\\{\"integer\":\"([0-9]+)\"", 1).cast("long")
+    # every third customer's nation is written as a bare number, every third one's name as a number
+    broken = good.select(F.when(k % 3 == 0, F.regexp_replace("value", "\\{\"integer\":\"([0-9]+)\"\\}\\]$", "$1]")).when(k % 3 == 1, F.regexp_replace("value", ",\"[^\"]*\",", ",5,")).otherwise(c("value")).alias("value"))
+    out = FM.typed_json_problems(broken, df.schema)
+    return out.select(F.regexp_extract("value", "^\\[\\{\"integer\":\"([0-9]+)\"", 1).cast("long").alias("c_custkey"), "column")

@@ -4,10 +4,11 @@ a table with a row for each package. All are DataFrames in and out: problems are
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from typeloom.functions.strings import did_you_mean, parse_version, version_satisfies
+from typeloom.operators.relational import numbered
 
 PROBLEM = "subject string, problem string"
 
@@ -122,7 +123,7 @@ def undeclared(files: DataFrame, catalog: DataFrame) -> DataFrame:
 def breadth_first(files: DataFrame) -> DataFrame:
     """files (path) with place: fewest separators first, then by name."""
     depth = F.length("path") - F.length(F.replace("path", F.lit("/")))
-    return files.withColumn("place", F.row_number().over(Window.orderBy(depth, "path")))
+    return numbered(files.withColumn("_depth", depth), ["_depth", "path"], "place").drop("_depth")
 
 
 # -- processors and validators over several tables --

@@ -7,7 +7,7 @@ Files that have to be read whole (triples in order, transposed tables) keep `_li
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -296,8 +296,8 @@ def topological(graph: dict[str, set[str]], rank: dict[str, int] | None = None)
 
 def load_order(files: DataFrame) -> DataFrame:
     """files (path, load_order) with place: by load order (default 1), then path, case aside."""
-    order = Window.orderBy(F.coalesce("load_order", F.lit(1)), F.lower("path"))
-    return files.withColumn("place", F.row_number().over(order))
+    keyed = files.withColumn("_order", F.coalesce("load_order", F.lit(1))).withColumn("_path", F.lower("path"))
+    return R.numbered(keyed, ["_order", "_path"], "place").drop("_order", "_path")
 
 
 def active(files: DataFrame, variants: set[str], packages: set[str]) -> DataFrame:
