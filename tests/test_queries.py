@@ -25,3 +25,20 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_entry_without_the_corpus_package(monkeypatch):
+    """A missing subpackage, or a library that it needs, takes only its own queries away."""
+    import importlib
+
+    import __spark_entry__
+
+    real = importlib.import_module
+
+    def missing(name, *args):
+        if name.startswith("typeloom.llm"):
+            raise ImportError(name)
+        return real(name, *args)
+
+    monkeypatch.setattr(importlib, "import_module", missing)
+    assert set(__spark_entry__.queries()) == set(QUERIES) and set(__spark_entry__.oracle_sql()) == set(SQL)

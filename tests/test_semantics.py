@@ -365,3 +365,38 @@ def test_transposed_tables(spark, tmp_path):
     (tmp_path / "t.tsv").write_text("\n".join(lines) + "\n")
     out = TB.read_transposed(spark, str(tmp_path / "t.tsv")).orderBy("_line").collect()
     assert [(r["id"], r["name"], r["size"]) for r in out] == [(1, "a", 9), (2, "b", 5), (3, "", 6)]
+
+
+def test_catalog_checks(spark):
+    from typeloom.sources import packages as PK
+
+    files = spark.createDataFrame([("b/z",), ("a",), ("b/c/d",), ("b/a",)], "path string")
+    assert [r["path"] for r in PK.breadth_first(files).orderBy("place").collect()] == ["a", "b/a", "b/z", "b/c/d"]
+    gates = spark.createDataFrame([("winter",), ("wintr",), (None,), ("winter",)], "gate string")
+    assert [tuple(r) for r in PK.unknown_names(gates, "gate", ["winter", "summer"]).collect()] == [("wintr", "unknown (did you mean 'winter'?)")]
+    wanted = spark.createDataFrame([("D",), ("c/d",), ("nothing",)], "name string")
+    assert {r["name"]: r["path"] for r in PK.resolve_paths(wanted, files).collect()} == {"D": "b/c/d", "c/d": "b/c/d", "nothing": None}
+    owned = PK.owners(files, spark.createDataFrame([("outer", "B/"), ("inner", "b/c")], "id string, path string"))
+    assert {r["path"]: r["package"] for r in owned.collect()} == {"a": None, "b/z": "outer", "b/a": "outer", "b/c/d": "inner"}
+
+
+def test_values_in_order(spark):
+    from pyspark.sql import types as T
+
+    from typeloom.operators import ordering as O
+
+    kind = T.StructType([T.StructField("a", T.StringType()), T.StructField("m", T.MapType(T.StringType(), T.LongType()))])
+    rows = [(1, ("b", {"x": 1})), (2, ("B", {"x": 1, "a": 9})), (3, (None, {"z": 1})), (4, None), (5, ("b", None)), (6, ("a", {"q": 5}))]
+    df = spark.createDataFrame(rows, T.StructType([T.StructField("i", T.LongType()), T.StructField("v", kind)]))
+    assert [r["i"] for r in df.orderBy(*O.sort_keys(df, ["v"]), "i").collect()] == [4, 3, 6, 5, 2, 1]
+    same = df.select(O.same(F.col("v"), F.col("v"), kind), O.compare(F.col("v"), F.lit(None).cast(kind), kind)).collect()
+    assert all(r[0] for r in same) and [r[1] for r in same] == [1, 1, 1, 0, 1, 1]
+
+
+def test_patch_targets():
+    from typeloom.operators.plan import resolve
+
+    tables, packages = ["x/Item.tsv", "y/item.tsv", "y/Place.tsv"], {"x/Item.tsv": "X", "y/item.tsv": "Y", "y/Place.tsv": "Y"}
+    assert resolve("place.tsv", tables) == ("y/Place.tsv", "") and resolve("none", tables)[0] is None
+    assert resolve("item.tsv", tables) == ("x/Item.tsv", "one of 2 tables of that name") and resolve("y:ITEM.tsv", tables, packages) == ("y/item.tsv", "")
+    assert resolve("z:item.tsv", tables, packages)[0] is None and resolve("y:item.tsv", tables)[0] is None

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from typeloom.operators import mutate as M
 from typeloom.operators import patch as P
+from typeloom.operators import plan as L
 
 from .base import query, read
 
@@ -161,3 +162,41 @@ def expr_dependency(spark, sf):
 
     out = derive(read(spark, sf, "lineitem"), {"gross0": "=self.net0 * (1 + self.l_tax)", "net0": "=self.l_extendedprice * (1 - self.l_discount)", "bulky": "=self.l_quantity > 25"})
     return out.select("l_orderkey", "l_linenumber", F.round("net0", 4).alias("net"), F.round("gross0", 6).alias("gross"), "bulky")
+
+
+@query(
+    "patch_plan",
+    """WITH a AS (SELECT s_suppkey, s_name, s_acctbal FROM supplier WHERE s_suppkey % 7 <> 3),
+    b AS (SELECT s_suppkey, CASE WHEN s_suppkey % 5 = 0 THEN 'renamed ' || s_suppkey ELSE s_name END AS s_name, CASE WHEN s_suppkey % 5 = 0 THEN 500.0 ELSE s_acctbal END AS s_acctbal FROM a)
+    SELECT s_suppkey, s_name, CASE WHEN s_acctbal < 0 THEN 0 ELSE s_acctbal + 1 END AS s_acctbal FROM b""",
+)
+def patch_plan(spark, sf):
+    """Patches of three packages to one table in load order: removals, updates of what is left, a rule over all; one is gated, one has no target."""
+    s = read(spark, sf, "supplier").select("s_suppkey", "s_name", "s_acctbal")
+    k = F.col("s_suppkey")
+    late = L.Patch("z rule", "Supplier", rules=(P.Rule(F.col("s_acctbal") < 0, {"s_acctbal": F.lit(-1.0)}), P.Rule(F.lit(True), {"s_acctbal": F.col("s_acctbal") + 1})), package="last")
+    early = L.Patch("drop", "base:supplier", rows=s.where("s_suppkey % 7 = 3").select("s_suppkey", F.lit("remove").alias("patchOp")), package="first", order=1)
+    update = L.Patch("names", "data/SUPPLIER", rows=s.where("s_suppkey % 5 = 0").select("s_suppkey", F.concat(F.lit("renamed "), k.cast("string")).alias("s_name"), F.lit("500.0").alias("s_acctbal")), package="second")
+    gated = L.Patch("gated", "supplier", rules=(P.Rule(F.lit(True), remove=True),), if_packages=("absent",))
+    lost = L.Patch("lost", "nowhere", rules=(P.Rule(F.lit(True), remove=True),))
+    out, _ = L.apply_plan({"base/supplier": s}, [late, lost, update, gated, early], ["first", "second", "last"], {"base/supplier": "base"})
+    return out["base/supplier"]
+
+
+@query(
+    "patch_plan_problems",
+    """SELECT 'names' AS patch, s_suppkey::VARCHAR AS key, 'error' AS level, 'no such key' AS message FROM supplier WHERE s_suppkey % 7 = 3 AND s_suppkey % 5 = 0
+    UNION ALL VALUES ('gated', NULL, 'info', 'needs absent'), ('lost', NULL, 'error', 'no such table'), ('drop', NULL, 'warn', 'one of 2 tables of that name'), ('foreign', NULL, 'error', 'not in package other')""",
+)
+def patch_plan_problems(spark, sf):
+    s = read(spark, sf, "supplier").select("s_suppkey", "s_name")
+    everything = (P.Rule(F.lit(False), remove=True),)
+    plan = [
+        L.Patch("drop", "supplier", rows=s.where("s_suppkey % 7 = 3").select("s_suppkey", F.lit("remove").alias("patchOp"))),
+        L.Patch("names", "base:supplier", rows=s.where("s_suppkey % 5 = 0").select("s_suppkey", F.lit("x").alias("s_name")), order=1),
+        L.Patch("gated", "supplier", rules=everything, if_packages=("absent",)),
+        L.Patch("lost", "nowhere", rules=everything),
+        L.Patch("foreign", "other:supplier", rules=everything),
+    ]
+    _, problems = L.apply_plan({"base/supplier": s, "more/supplier": s}, plan, [], {"base/supplier": "base", "more/supplier": "more"})
+    return problems.select("patch", "key", "level", "message")
