@@ -15,7 +15,7 @@ from pyspark.sql.types import ArrayType, MapType
 
 from typeloom.functions import collections as C
 
-#: Column prefixes of deltas, longest first where one begins another.
+#: Column prefixes of deltas, longest first where one begins another. Fixed values.
 VERBS = ("replace_last_oldvalue_", "replace_last_newvalue_", "replace_oldvalue_", "replace_newvalue_", "remove_last_", "prepend_", "append_", "replace_", "remove_")
 
 
