@@ -124,6 +124,8 @@ def slots(sources: DataFrame, cap: int = CAP, block_words: int = BLOCK_WORDS, se
     inside = Window.partitionBy("sid", "part").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)
     ranges = counts.select("*", F.sum("count").over(inside).alias("_upto")).join(begins, ["sid", "part"]).join(own.select("sid", "b"), "sid")
     ranges = ranges.select("shard", "sid", "b", (F.col("_before") + F.col("_upto") - F.col("count")).alias("begin"), "count")
+    # a fixed number of tasks: a row stands for up to SHARD_SLOTS slots
+    ranges = ranges.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "sid", "shard")
     indices = ranges.select("shard", "sid", "b", F.explode(F.sequence(F.col("begin"), F.col("begin") + F.col("count") - 1)).alias("slot")).where(F.col("slot") < cap * F.col("b"))
     return indices.select("shard", "sid", "slot", permuted(F.expr("slot % b"), F.col("b"), F.lit(seed + 1), F.col("sid"), F.expr("slot div b")).alias("block"))
 
