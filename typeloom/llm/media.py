@@ -159,7 +159,7 @@ def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct("row", "doc_id", "n_bytes", F.octet_length("p").alias("payload_size")).alias("key"),
         F.sha2("p", 256).alias("digest"), write_pgm(F.col("p")).alias("media"), F.sha2(F.concat(F.lit("tail "), tail), 256).alias("tail_digest"), write_pgm(tail).alias("tail_media"),
     )
-    stored = written(made, "media")
+    stored = written(made, "media", "zstd")
     names = [f.split()[0] for f in FEATURES.split(", ")]
     each = stored.select(F.explode(F.array(F.struct("digest", "media"), F.struct(F.col("tail_digest").alias("digest"), F.col("tail_media").alias("media")))).alias("m")).select("m.*")
     found = media_features(each).groupBy("digest").agg(*[F.min(n).alias(n) for n in names])
