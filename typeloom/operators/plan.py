@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .patch import Rule, bulk_patch, patch_problems, row_patch
@@ -60,7 +60,6 @@ def in_order(patches: list[Patch], packages: list[str]) -> list[Patch]:
 def apply_plan(tables: dict[str, DataFrame], patches: list[Patch], packages: list[str] = (), package_of: dict[str, str] | None = None) -> tuple[dict[str, DataFrame], DataFrame | None]:
     """The tables after all patches, and what did not apply (PROBLEM rows; None for an empty plan)."""
     out, problems, applied, notes = dict(tables), None, {}, []
-    spark = next(iter(tables.values())).sparkSession
     for p in in_order(patches, list(packages)):
         if missing := [x for x in p.if_packages if x not in packages]:
             notes.append((p.name, p.target, None, "info", f"needs {', '.join(missing)}"))
@@ -80,6 +79,6 @@ def apply_plan(tables: dict[str, DataFrame], patches: list[Patch], packages: lis
         if applied[name] % CUT == 0:
             out[name] = cut(out[name])
     if notes:
-        more = spark.createDataFrame(notes, PROBLEM)
+        more = (next(iter(tables.values())).sparkSession if tables else SparkSession.active()).createDataFrame(notes, PROBLEM)
         problems = more if problems is None else problems.unionByName(more)
     return out, problems

@@ -296,12 +296,13 @@ def xml_round_trip(spark, sf):
     return TB.read_xml(spark, path, df.schema)
 
 
-@query("sql_text_round_trip", "SELECT p_partkey, p_name || chr(39) || p_brand AS name, p_size, p_retailprice FROM part")
+@query("sql_text_round_trip", "SELECT doc_id, concat(chr(39), text, chr(10), ', ', source, chr(39)) AS text, lang, n_chars FROM documents")
 def sql_text_round_trip(spark, sf):
-    df = read(spark, sf, "part").select("p_partkey", F.concat_ws("'", "p_name", "p_brand").alias("name"), "p_size", "p_retailprice")
+    """Texts with line ends, commas and quotes as statements that span lines, and back."""
+    df = read(spark, sf, "documents").select("doc_id", F.concat(F.lit("'"), F.coalesce("text", F.lit("")), F.lit("\n, "), F.coalesce("source", F.lit("")), F.lit("'")).alias("text"), "lang", "n_chars")
     path = place(spark, "sql")
-    TB.insert_lines(df, "part").write.text(path)
-    return FL.read_inserts(spark.read.text(path), "part", df.schema)
+    TB.insert_lines(df, "documents").write.text(path)
+    return FL.read_inserts(FL.statements(spark, path), "documents", df.schema)
 
 
 @query("json_layouts", "SELECT n_nationkey, n_name, n_nationkey AS in_rows, n_name AS in_columns FROM nation")
@@ -344,18 +345,29 @@ def exploded_columns(spark, sf):
     return out.select("c_custkey", "at.level", c("pos._1").alias("x"), c("pos._2").alias("y"))
 
 
-@query("format_round_trips", "SELECT f AS format, (SELECT count(*) FROM customer) AS n, 0 AS problems FROM (VALUES ('tsv'), ('literal_tsv'), ('eav'), ('jsonl'), ('typed_jsonl'), ('xml'), ('sql')) t(f)")
+_PLANTED = r"""CASE doc_id % 5 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN concat('  ', chr(9), text, chr(10), chr(92), 't', chr(92), 'N', chr(39), '); -- ', chr(13), ' ')
+  WHEN 3 THEN concat(chr(39), chr(10), text, chr(39), chr(39), ',', chr(10), chr(92), chr(92), 'n <b>&', chr(34), chr(11)) ELSE text END"""
+
+
+@query("format_round_trips", f"""WITH d AS (SELECT doc_id, {_PLANTED} AS text FROM documents),
+t AS (SELECT count(*) AS n, count(*) - count(text) AS nulls, count(*) FILTER (WHERE text = '') AS empty, sum(length(text))::BIGINT AS chars, sum(length(text) - length(replace(text, chr(10), '')))::BIGINT AS line_ends FROM d)
+SELECT f AS format, n, nulls, empty, chars, line_ends, 0 AS problems FROM t, (VALUES ('tsv'), ('literal_tsv'), ('eav'), ('jsonl'), ('typed_jsonl'), ('xml'), ('sql')) v(f)""")
 def format_round_trips(spark, sf):
-    """The customers through every format and back: rows read, cells that changed."""
-    df = read(spark, sf, "customer").select("c_custkey", "c_name", c("c_nationkey").cast("long").alias("c_nationkey"), (c("c_acctbal") * 1.0).alias("c_acctbal"))
-    columns = TS.header(["c_custkey:long", "c_name:string", "c_nationkey:long", "c_acctbal:float"])
+    """The documents, with tabs, line ends, quotes, backslashes, blanks, empty and null texts planted, through every format and back: what was read, and cells that changed."""
+    df = read(spark, sf, "documents").select("doc_id", F.expr(_PLANTED.replace("chr(92)", "char(92)")).alias("text"), "n_chars", (c("n_chars") / 7).alias("share"))
+    columns = TS.header(["doc_id:long", "text:string", "n_chars:long", "share:float"])
     out = None
     for kind in FM.FORMATS:
         path = place(spark, kind)
         FM.write(df, path, kind)
         back = FM.read(spark, path, columns, kind)
-        problems = FM.round_trip_problems(df, back, "c_custkey").agg(F.count("*").alias("problems"))
-        row = back.agg(F.count("*").alias("n")).join(F.broadcast(problems)).select(F.lit(kind).alias("format"), "n", "problems")
+        problems = FM.round_trip_problems(df, back, "doc_id").agg(F.count("*").alias("problems"))
+        text = c("text")
+        seen = back.agg(
+            F.count("*").alias("n"), F.count_if(text.isNull()).alias("nulls"), F.count_if(text == "").alias("empty"), F.sum(F.char_length(text)).alias("chars"),
+            F.sum(F.char_length(text) - F.char_length(F.replace(text, F.lit("\n"), F.lit("")))).alias("line_ends"),
+        )
+        row = seen.join(F.broadcast(problems)).select(F.lit(kind).alias("format"), *seen.columns, "problems")
         out = row if out is None else out.unionByName(row)
     return out
 

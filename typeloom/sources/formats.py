@@ -1,13 +1,15 @@
 """One way in and out for all table formats, and checks of what was written.
 
 write() makes part files in parallel; read() gives the same typed rows back, whatever the format: tab-separated lines (with JSON or literal
-cells), triples, JSON lines (natural or typed), XML, SQL text. All read their files in splits. round_trip_problems() compares
+cells), triples, JSON lines (natural or typed), XML, SQL text. All read their files in splits, but for XML rows. Texts come back to the character, whatever tabs, line
+ends, quotes, backslashes or blanks they hold, and null texts stay apart from empty ones: in lines, triples and XML a text has
+backslash escapes, and null is a backslash and N. Triples hold one row an entity. round_trip_problems() compares
 two tables deeply, cell by cell, with one join.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,21 +37,73 @@ def schema_of(columns: list[S.Column], types: S.Types | None = None) -> T.Struct
     return T.StructType([T.StructField(c.name, types.spark(c.spec)) for c in columns])
 
 
+#: Control characters that XML cannot hold. Fixed values.
+_CONTROLS = [chr(i) for i in range(32) if chr(i) not in "\t\n\r"] + ["\ufffe", "\uffff"]
+_ESCAPES = {"\t": "t", "\n": "n", "\r": "r"} | {ch: f"u{ord(ch):04x}" for ch in _CONTROLS}
+NULL = "\\N"
+
+
+def escaped(c: Column) -> Column:
+    """A text in one line of characters that any format can hold; null is a mark that no text gives."""
+    out = F.replace(c, F.lit("\\"), F.lit("\\\\"))
+    for ch in "\t\n\r":
+        out = F.replace(out, F.lit(ch), F.lit("\\" + _ESCAPES[ch]))
+    rare = out
+    for ch in _CONTROLS:
+        rare = F.replace(rare, F.lit(ch), F.lit("\\" + _ESCAPES[ch]))
+    return F.coalesce(F.when(out.rlike("[\\x00-\\x1f\ufffe\uffff]"), rare).otherwise(out), F.lit(NULL))
+
+
+def unescaped(c: Column) -> Column:
+    """The inverse of escaped(). Doubled backslashes are cut out first, so that an escaped backslash before a t stays one."""
+
+    def plain(part: Column) -> Column:
+        some = part
+        for ch in "\t\n\r":
+            some = F.replace(some, F.lit("\\" + _ESCAPES[ch]), F.lit(ch))
+        rare = some
+        for ch in _CONTROLS:
+            rare = F.replace(rare, F.lit("\\" + _ESCAPES[ch]), F.lit(ch))
+        return F.when(part.contains("\\"), F.when(some.contains("\\u"), rare).otherwise(some)).otherwise(part)
+
+    return F.when(c == NULL, F.lit(None)).when(c.contains("\\"), F.array_join(F.transform(F.split(c, "\\\\\\\\", -1), plain), "\\")).otherwise(c)
+
+
+def _cells(df: DataFrame, nested: str = "json") -> list[Column]:
+    """The columns as escaped text; absent values that are no texts are empty."""
+    return [escaped(F.col(f"`{f.name}`") if isinstance(f.dataType, T.StringType) else TB.cell_text(F.col(f"`{f.name}`"), f.dataType, nested)).alias(f.name) for f in df.schema]
+
+
+def _typed(rows: DataFrame, columns: list[S.Column], types: S.Types | None) -> DataFrame:
+    """Typed rows of texts (cells); texts are taken as they are, null or empty."""
+    types = types or S.Types()
+
+    def is_text(c: S.Column) -> bool:
+        spec = types.resolve(c.spec)
+        members = [m for m in spec.items if str(m) != "nil"] if spec.kind == "union" else []
+        spec = types.resolve(members[0]) if len(members) == 1 else spec
+        return c.default is None and spec.kind not in ("enum", "union") and str(spec) in TB.ESCAPED | {"string"}
+
+    plain = [i for i, c in enumerate(columns) if is_text(c)]
+    out = TB.typed(rows.select(F.monotonically_increasing_id().alias("_line"), "cells", *[F.col("cells")[i].alias(f"_text{i}") for i in plain]), columns, types, keep=[f"_text{i}" for i in plain])
+    return out.select(*[F.col(f"_text{i}").alias(c.name) if i in plain else F.col(f"`{c.name}`") for i, c in enumerate(columns)])
+
+
 def write(df: DataFrame, path: str, kind: str | None = None, table: str = "table") -> None:
     """df in a format (default: by the path's extension). Triples take their entity from the first column."""
     kind = kind or kind_of(path)
     if kind in ("tsv", "literal_tsv"):
-        TB.tsv_lines(df, nested="literal" if kind == "literal_tsv" else "json").write.text(path)
+        df.select(F.concat_ws("\t", *_cells(df, "literal" if kind == "literal_tsv" else "json")).alias("value")).write.text(path)
     elif kind == "eav":
-        key = df.columns[0]
-        text = df.select(*[TB.cell_text(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema])
-        R.unpivot(text, key).select(F.concat_ws("\t", "entity", "attribute", "value").alias("value")).write.text(path)
+        key, first = df.columns[:2]
+        triples = R.unpivot(df.select(*_cells(df)), key, skip_empty=False)  # the first cell is written even if empty, so that no row goes
+        triples.where((F.col("value") != "") | (F.col("attribute") == first)).select(F.concat_ws("\t", "entity", "attribute", "value").alias("value")).write.text(path)
     elif kind == "jsonl":
         TB.natural_json(df).write.text(path)
     elif kind == "typed_jsonl":
         TB.typed_json(df).write.text(path)
     elif kind == "xml":
-        TB.write_xml(df, path)
+        TB.write_xml(df.select(*[escaped(F.col(f"`{f.name}`")).alias(f.name) if isinstance(f.dataType, T.StringType) else F.col(f"`{f.name}`") for f in df.schema]), path)
     elif kind == "sql":
         TB.insert_lines(df, table).write.text(path)
     else:
@@ -60,24 +114,30 @@ def read(spark: SparkSession, path: str, columns: list[S.Column], kind: str | No
     """Typed rows of a file or folder that write() made; columns are its header."""
     kind, schema = kind or kind_of(path), schema_of(columns, types)
     names = [c.name for c in columns]
+    lines = spark.read.option("lineSep", "\n").text(path) if kind not in ("xml", "sql") else None
     if kind in ("tsv", "literal_tsv"):
-        rows = spark.read.text(path).where(F.col("value") != "").select(F.lit(0).cast("long").alias("_line"), F.split("value", "\t", -1).alias("cells"))
+        rows = lines.where(F.col("value") != "") if len(columns) > 1 else lines
+        rows = rows.select(F.transform(F.split("value", "\t", -1), unescaped).alias("cells"))
     elif kind == "eav":
         cells = F.split("value", "\t", -1)
-        long = spark.read.text(path).select(cells[0].alias("entity"), cells[1].alias("attribute"), cells[2].alias("value"))
+        long = lines.select(cells[0].alias("entity"), cells[1].alias("attribute"), cells[2].alias("value"))
+        if not (bad := lines.where((F.size(cells) != 3) | (cells[0] == "") | (cells[1] == ""))).isEmpty():
+            raise ValueError(f"{path}: no triple: {bad.first()['value'][:80]!r}")
         wide = R.pivot(long.withColumn("_line", F.monotonically_increasing_id()), "_line", names[1:], "last")
-        rows = wide.select(F.lit(0).cast("long").alias("_line"), F.array("entity", *[f"`{n}`" for n in names[1:]]).alias("cells"))
+        rows = wide.select(F.transform(F.array("entity", *[f"`{n}`" for n in names[1:]]), unescaped).alias("cells"))
     elif kind == "jsonl":
-        rows = spark.read.text(path).select(F.lit(0).cast("long").alias("_line"), F.transform(F.from_json("value", "array<string>"), lambda x: F.coalesce(x, F.lit(""))).alias("cells"))
+        rows = lines.select(F.from_json("value", "array<string>").alias("cells"))
     elif kind == "typed_jsonl":
-        return TB.read_typed_json(spark.read.text(path), schema)
+        return TB.read_typed_json(lines, schema)
     elif kind == "xml":
-        return TB.read_xml(spark, path, schema)
+        back = TB.read_xml(spark, path, schema)
+        texts = {f.name for f in schema if isinstance(f.dataType, T.StringType)}
+        return back.select(*[unescaped(F.coalesce(F.col(f"`{n}`"), F.lit(""))).alias(n) if n in texts else F.col(f"`{n}`") for n in names])
     elif kind == "sql":
-        return FL.read_inserts(spark.read.text(path), table, schema)
+        return FL.read_inserts(FL.statements(spark, path), table, schema)
     else:
         raise ValueError(f"unknown format {kind}")
-    return TB.typed(rows, columns, types).drop("_line")
+    return _typed(rows, columns, types)
 
 
 def typed_json_problems(lines: DataFrame, schema: T.StructType) -> DataFrame:

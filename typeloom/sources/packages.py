@@ -92,11 +92,11 @@ def overlap_problems(packages: DataFrame) -> DataFrame:
 
 
 def owners(files: DataFrame, packages: DataFrame) -> DataFrame:
-    """files (path) with package: the package (id, path) whose path is the longest ancestor of the file; null without one."""
+    """files (path) with package: the package (id, path) whose path is the longest ancestor of the file, of several with that path the last by id; null without one."""
     parts = F.split(F.lower("path"), "/")
     up = files.select(F.col("path").alias("_file"), F.explode(F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, 1, k), "/")))).alias("_at")).distinct()
     at = packages.select(F.lower(F.regexp_replace("path", "/+\\z", "")).alias("_at"), F.col("id").alias("package"))
-    best = up.join(at, "_at").groupBy("_file").agg(F.max_by("package", F.length("_at")).alias("package"))
+    best = up.join(at, "_at").groupBy("_file").agg(F.max(F.struct(F.length("_at").alias("n"), "package")).alias("m")).select("_file", "m.package")
     return files.join(best, files["path"] == best["_file"], "left").drop("_file")
 
 
@@ -160,10 +160,10 @@ def package_violations(tables: dict, validators: list[tuple], source: str = "")
 
 
 def match_results(asked: DataFrame, results: DataFrame, key: str) -> DataFrame:
-    """asked (key, _pos) with the result columns of results (key, _pos, ...): by trimmed name without case, else by position."""
+    """asked (key, _pos) with the result columns of results (key, _pos, ...): by trimmed name without case, else by position; of several results at one position the least counts."""
     rest = [c for c in results.columns if c not in (key, "_pos")]
     clean = lambda c: F.lower(F.btrim(c))
     named = results.groupBy(clean(F.col(key)).alias("_k")).agg(F.min_by(F.struct(*rest), "_pos").alias("named"))
-    placed = results.groupBy(F.col("_pos").alias("_p")).agg(F.first(F.struct(*rest)).alias("placed"))
+    placed = results.groupBy(F.col("_pos").alias("_p")).agg(F.min(F.struct(*rest)).alias("placed"))
     both = asked.join(named, clean(F.col(key)) == F.col("_k"), "left").join(placed, F.col("_pos") == F.col("_p"), "left")
     return both.select(*asked.columns, F.coalesce("named", "placed").alias("_r")).select(*asked.columns, "_r.*")

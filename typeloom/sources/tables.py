@@ -89,10 +89,10 @@ def nested_value(text: Column, kind: T.DataType) -> Column:
     return F.when(items.isNotNull(), F.struct(*fields)).otherwise(whole)
 
 
-def typed(raw: DataFrame, columns: list[S.Column], types: S.Types | None = None, names: dict[str, Column] | None = None) -> DataFrame:
-    """Typed columns (and _line) of raw rows (_line, cells); defaults that are expressions come last, in dependency order."""
+def typed(raw: DataFrame, columns: list[S.Column], types: S.Types | None = None, names: dict[str, Column] | None = None, keep: list[str] | None = None) -> DataFrame:
+    """Typed columns (and _line, and those of keep) of raw rows (_line, cells); defaults that are expressions come last, in dependency order."""
     types = types or S.Types()
-    out = raw.select("_line", *[cell(F.try_element_at("cells", F.lit(i + 1)), c, types).alias(c.name) for i, c in enumerate(columns)])
+    out = raw.select("_line", *(keep or []), *[cell(F.try_element_at("cells", F.lit(i + 1)), c, types).alias(c.name) for i, c in enumerate(columns)])
     computed = {c.name: c.default for c in columns if c.default and c.default.startswith("=")}
     for name in in_order(computed) if computed else []:
         kind = types.spark(next(c.spec for c in columns if c.name == name))
@@ -145,18 +145,26 @@ def is_triples(raw: DataFrame) -> bool:
 
 
 def parse_json(spark: SparkSession, path: str, layout: str, columns: list[S.Column], types: S.Types | None = None) -> DataFrame:
-    """A JSON file as objects ([{...}]), rows ([[...]]) or columns ([[...], ...]); absent and null values are empty."""
+    """A JSON file as objects ([{...}]), rows ([[...]]) or columns ([[...], ...]); absent and null values are empty. Text that is no such JSON, values past the header and missing columns are errors when the rows are read."""
     types = types or S.Types()
     whole = spark.read.text(path, wholetext=True)
+    fast = {"mode": "FAILFAST"}
+
+    def checked(problem, text: str) -> Column:
+        """The arrays of t; one with the problem is an error."""
+        return F.transform("t", lambda x: F.when(problem(x), F.raise_error(F.lit(f"{path}: {text}")).cast("array<string>")).otherwise(x))
+
     if layout == "objects":
         shape = "array<struct<" + ",".join(f"`{c.name}`:string" for c in columns) + ">>"
-        rows = whole.select(F.posexplode(F.from_json("value", shape)).alias("_line", "o"))
+        rows = whole.select(F.posexplode(F.from_json("value", shape, fast)).alias("_line", "o"))
         raw = rows.select((F.col("_line") + 1).cast("long").alias("_line"), F.array(*[F.coalesce(F.col(f"o.`{c.name}`"), F.lit("")) for c in columns]).alias("cells"))
     elif layout == "rows":
-        rows = whole.select(F.posexplode(F.from_json("value", "array<array<string>>")).alias("_line", "r"))
+        found = whole.select(F.from_json("value", "array<array<string>>", fast).alias("t"))
+        rows = found.select(F.posexplode(checked(lambda x: F.size(x) > len(columns), "a row has more values than the header")).alias("_line", "r"))
         raw = rows.select((F.col("_line") + 1).cast("long").alias("_line"), F.transform("r", lambda x: F.coalesce(x, F.lit(""))).alias("cells"))
     else:
-        table = whole.select(F.from_json("value", "array<array<string>>").alias("t"))
+        found = whole.select(F.from_json("value", "array<array<string>>", fast).alias("t"))
+        table = found.select(checked(lambda x: F.size("t") != len(columns), "not as many columns as the header has").alias("t"))
         n = F.array_max(F.transform("t", lambda x: F.size(x)))
         rows = table.select(F.posexplode(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform("t", lambda x: F.coalesce(F.try_element_at(x, i), F.lit(""))))).alias("_line", "cells"))
         raw = rows.select((F.col("_line") + 1).cast("long").alias("_line"), "cells")
@@ -276,7 +284,7 @@ def write_xml(df: DataFrame, path: str) -> None:
 
 
 def read_xml(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    return spark.read.format("xml").option("rowTag", "row").schema(schema).load(path)
+    return spark.read.format("xml").option("rowTag", "row").option("ignoreSurroundingSpaces", False).schema(schema).load(path)
 
 
 # -- packages: small metadata on the driver --
