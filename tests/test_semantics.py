@@ -329,6 +329,33 @@ def test_operands_of_and_or_not(spark):
     assert [tuple(r)[5:] for r in out] == [(3, False, "some", True, 2, 2), (5, True, "none", False, 0, None), (0, False, "some", False, None, 1)]
 
 
+@pytest.mark.parametrize(
+    ("expression", "expected"),
+    [
+        ("=self.b or 'x'", ["true", "x", "x"]), ("=self.n == 0 and 'zero' or self.n", ["zero", "7", "-5"]), ("=self.v or self.b", ["4.0", "false", "-2.5"]), ("=self.n // 2", ["0", "3", "-3"]),
+        ("=string.upper(self.t)", ["X", None, "12"]), ("=self.t:upper() .. 1 + 2", ["X3", None, "123"]), ("=not self.b == true", ["false", "true", "true"]), ("=#self.a + #self.t", ["3", None, "2"]),
+        ("=(self.b or self.t) == true", ["true", "false", "false"]), ("=(self.b or self.t) .. '!'", [None, None, "12!"]), ("=(self.b or self.n) + 1", [None, "8.0", "-4.0"]), ("=self.t + 1", [None, None, "13.0"]),
+        ("=self.t < self.n", [None] * 3), ("=self[1] * 2", ["0", "14", "-10"]), ("=self.n // 0", [None] * 3), ("=self.n / 0", ["NaN", "Infinity", "-Infinity"]), ("=type(self.b or self.t)", ["boolean", "nil", "string"]),
+        ("=(self.b and self.n) == false", ["false", "true", "false"]), ("=self.v and self.b and 'w' or nil", ["w", None, None]), ("=-self.n ^ 2", ["-0.0", "-49.0", "-25.0"]), ("=self.n == 0 == true", ["true", "false", "false"]),
+        ("=nil == self.v", ["false", "true", "false"]), ("=self.t == self.n", ["false"] * 3), ("=math.max(self.n, self.v or 0)", ["4.0", "7.0", "-2.5"]), ("=self.n + 9223372036854775807", ["9223372036854775807", None, "9223372036854775802"]),
+        ("=tostring(self.v or nil)", ["4.0", "nil", "-2.5"]), ("=(self.v or self.t) < 0", ["false", None, "true"]), ("='a.. b' .. \"not\"", ["a.. bnot"] * 3), ("=P.q * self.n", ["0", "21", "-15"]),
+    ],
+)
+def test_operands_of_several_kinds(spark, expression, expected):
+    df = spark.createDataFrame([(0, 4.0, "x", True, [1, 2]), (7, None, None, False, None), (-5, -2.5, "12", None, [])], "n int, v double, t string, b boolean, a array<int>").coalesce(1)
+    out = E.derive(df, {"o": expression}, {"P.q": F.lit(3)})
+    assert [r[0] for r in out.select(F.col("o").cast("string")).collect()] == expected
+
+
+def test_values_that_do_not_fit_a_column(spark):
+    df = spark.createDataFrame([(1, None, None), (0, None, None), (2, 5, "kept")], "n int, whole int, word string").coalesce(1)
+    out = E.derive(df, {"whole": "=self.n == 1 and 'text' or self.n / 4", "word": "=self.n == 1 or self.n"}).collect()
+    assert [tuple(r) for r in out] == [(1, None, "true"), (0, 0, "0"), (2, 5, "kept")]
+    for bad in ("=self.a & 1", "=self.a = 1", "={a=1}", "=self.x:rep(9)", "=self[9]", "=~self.a", "=+self.a.b"):
+        with pytest.raises((ValueError, SyntaxError)):
+            E.compile_expression(bad, None, {"a": T.IntegerType(), "x": T.StringType()})
+
+
 def test_custom_types(spark):
     from typeloom.sources.customtypes import CustomTypes, Declared
 

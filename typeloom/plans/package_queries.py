@@ -268,6 +268,31 @@ def expressions_by_operand(spark, sf):
     return out.select("event_id", "v", "word", "absent", c("size").cast("long").alias("size"))
 
 
+@query("expressions_mixed", """WITH e AS (SELECT event_id, CASE WHEN event_id % 4 > 0 THEN (event_id % 3 - 1)::BIGINT END AS n, CASE WHEN event_id % 5 > 0 THEN event_id % 2 = 0 END AS b,
+  CASE WHEN event_id % 7 > 0 THEN value END AS v, event_type AS t, CASE WHEN event_id % 2 = 0 THEN (event_id % 100)::VARCHAR ELSE event_type END AS digits FROM events)
+SELECT event_id, CASE WHEN b THEN 'true' ELSE t END AS flag_or_text, CASE WHEN n = 0 THEN 'zero' ELSE n::VARCHAR END AS zero_or_n, typeof_ AS kind,
+  floor(n / 2)::BIGINT AS halves, upper(t) || ((n + 2)::VARCHAR) AS loud, CASE WHEN b IS NULL THEN false ELSE b = coalesce(n = 0, false) END AS chained,
+  CASE WHEN coalesce(b, false) THEN NULL ELSE n + 1 END::DOUBLE AS sum, TRY_CAST(digits AS DOUBLE) * 2 AS doubled, coalesce(n = TRY_CAST(digits AS BIGINT), false) AND false AS never,
+  substr(t, length(t) - 1) AS tail, n * 2 AS by_place, 10 + coalesce(v, 0.5) * 2 AS published
+FROM (SELECT *, CASE WHEN coalesce(b, false) THEN 'boolean' WHEN v IS NOT NULL THEN 'number' ELSE 'string' END AS typeof_ FROM e)""")
+def expressions_mixed(spark, sf):
+    """Operands of several kinds: what each row holds decides, and what the language refuses is null in that row."""
+    from typeloom.operators.expression import derive
+
+    k = c("event_id")
+    e = read(spark, sf, "events").select(
+        F.when(k % 4 > 0, (k % 3 - 1).cast("long")).alias("n"), F.when(k % 5 > 0, k % 2 == 0).alias("b"), F.when(k % 7 > 0, c("value")).alias("v"),
+        c("event_type").alias("t"), F.when(k % 2 == 0, (k % 100).cast("string")).otherwise(c("event_type")).alias("digits"), k.alias("event_id"),
+    )
+    made = {
+        "flag_or_text": "=self.b or self.t", "zero_or_n": "=self.n == 0 and 'zero' or self.n", "kind": "=type(self.b or self.v or self.t)", "halves": "=self.n // 2",
+        "loud": "=string.upper(self.t) .. self.n + 2", "chained": "=self.b ~= nil and self.b == (self.n == 0)", "sum": "=(self.b or self.n) + 1", "doubled": "=self.digits * 2",
+        "never": "=self.n == self.digits", "tail": "=self.t:sub(-2)", "by_place": "=self[1] * 2", "published": "=Base.Level.start + (self.v or 0.5) * 2",
+    }
+    out = derive(e, made, {"Base.Level.start": F.lit(10)})
+    return out.select("event_id", c("flag_or_text").cast("string").alias("flag_or_text"), c("zero_or_n").cast("string").alias("zero_or_n"), *[n for n in made if n not in ("flag_or_text", "zero_or_n")])
+
+
 @query("tsv_gzip_round_trip", "SELECT s_suppkey + 1 AS _line, s_suppkey, s_name, CASE WHEN s_acctbal > 0 THEN s_acctbal END AS s_acctbal FROM supplier")
 def tsv_gzip_round_trip(spark, sf):
     """A typed table written as compressed lines, and read back with its types."""

@@ -94,9 +94,9 @@ def typed(raw: DataFrame, columns: list[S.Column], types: S.Types | None = None,
     types = types or S.Types()
     out = raw.select("_line", *(keep or []), *[cell(F.try_element_at("cells", F.lit(i + 1)), c, types).alias(c.name) for i, c in enumerate(columns)])
     computed = {c.name: c.default for c in columns if c.default and c.default.startswith("=")}
-    for name in in_order(computed) if computed else []:
+    for name in in_order(computed, [c.name for c in columns]) if computed else []:
         kind = types.spark(next(c.spec for c in columns if c.name == name))
-        out = out.withColumn(name, F.coalesce(F.col(f"`{name}`"), compile_expression(computed[name], names, {f.name: f.dataType for f in out.schema}).cast(kind)))
+        out = out.withColumn(name, F.coalesce(F.col(f"`{name}`"), compile_expression(computed[name], names, {f.name: f.dataType for f in out.schema if f.name not in (keep or [])}, kind)))
     return out
 
 
