@@ -97,15 +97,16 @@ def test_trees_find_what_brute_force_finds():
     place[order] = np.arange(len(order))
     shape = {"vantage": place[tree.vantage], "inner": tree.inner, "near": tree.near, "far": tree.far, "sides": np.ravel(tree.sides), "begin": np.cumsum([0, *map(len, tree.rows)])}
     chunk = Chunk(space, order, np.zeros(3000, int), b"".join(space.pack(x[order].tolist())), shape)
-    opened = 0
-    for a in range(0, 3000, 100):
-        s = x @ x[a]
-        chunk.meet(x[a].astype(float))
-        for low, high in ((-(2**62), 2**62), (int(s[a]) // 2, int(s[a]) * 9 // 10)):  # both share what they open
-            want = sorted((-int(v), i) for i, v in enumerate(s) if i != a and low <= v <= high)[:3]
-            assert [(v, order[r]) for v, r in chunk.best(a, 0, True, low, high, 3)] == want
-        opened += len(chunk.scored)
-    assert opened < 30 * len(tree.rows) / 4
+    anchors = np.arange(0, 3000, 100)
+    s = x[anchors] @ x.T
+    own = s[np.arange(len(anchors)), anchors]
+    low, high = np.stack((np.full(len(own), -(2**62)), own // 2), 1), np.stack((np.full(len(own), 2**62), own * 9 // 10), 1)
+    found = chunk.best(x[anchors].astype(float), anchors, np.zeros(len(anchors), int), low, high, True, 3)
+    for w in (0, 1):
+        for n, a in enumerate(anchors):
+            want = sorted((-int(v), i) for i, v in enumerate(s[n]) if i != a and low[n, w] <= v <= high[n, w])[:3]
+            assert [(-v, order[r]) for i, r, v in zip(*found[w], strict=True) if i == n] == want
+    assert chunk.opened < len(anchors) * len(tree.rows) / 4
 
 
 # -- 12 --

@@ -10,7 +10,8 @@ low to high percent of the positive's are its hard negatives. Higher scores come
 2. A chunk has a vantage-point tree of its own, with the least and greatest distance of either side of a vantage point.
 3. An anchor first meets the chunk that it lies in. What it finds there narrows its annulus before it meets the other chunks, of which the top
    tree leaves those whose leaf can hold a row in it.
-4. In a chunk the tree is walked nearest first from a heap of lower bounds: sides outside the annulus are never entered, the k-th row found pulls the outer radius in, and the walk ends beyond it.
+4. In a chunk anchors walk the tree's leaves nearest first, by the lower bounds of the path to each, together: leaves outside an anchor's annulus are never opened for it, the k-th row found
+   pulls the outer radius in, and the walk ends beyond it.
 
 The search is exact: recall is 1. Radii only prune, with a margin for rounding; rows are compared by integer scores.
 
@@ -24,7 +25,6 @@ come back, cut to the k best before they are shuffled. The sample, the top tree
 
 from __future__ import annotations
 
-import heapq
 import math
 from collections.abc import Iterator
 
@@ -143,48 +143,75 @@ class Chunk:
 
     def __init__(self, space: Space, ids: np.ndarray, labels: np.ndarray, vectors: bytes, tree: dict):
         self.space, self.ids, self.labels = space, ids, labels
+        self.place = np.argsort(np.argsort(ids, kind="stable"), kind="stable")
         self.x = np.frombuffer(vectors, space.stored).reshape(len(ids), space.length).astype(space.number)
         self.vantage, self.inner, self.near, self.far = (np.asarray(tree[c]) for c in ("vantage", "inner", "near", "far"))
         self.sides, self.begin = np.asarray(tree["sides"]).reshape(-1, 2).tolist(), np.asarray(tree["begin"]).tolist()
-        self.points = self.x[self.vantage]
-
-    def meet(self, q: np.ndarray) -> None:
-        """From now on q is the anchor."""
-        self.q, self.own = q, float((q.astype(np.float64) ** 2).sum())
-        self.reach = self.space.from_score(self.own, self.points @ q).tolist()
-        self.scored: dict[int, np.ndarray] = {}
-
-    def scores(self, leaf: int) -> np.ndarray:
-        if leaf not in self.scored:
-            self.scored[leaf] = (self.x[self.begin[leaf] : self.begin[leaf + 1]] @ self.q).astype(np.int64)
-        return self.scored[leaf]
-
-    def best(self, own_id, label, same: bool, low: int, high: int, k: int) -> list[tuple[int, int]]:
-        """(-score, row) of the k first rows of the same or another label with low <= score <= high."""
-        margin, found = self.space.margin, []
-        inner = float(self.space.from_score(self.own, high)) - margin
-        outer = float(self.space.from_score(self.own, low)) + margin
-        heap = [(0.0, 0 if self.sides else -1)]
-        while heap:
-            least, node = heapq.heappop(heap)
-            if least > outer:
+        self.points, self.opened = self.x[self.vantage], 0
+
+    def reach(self, q: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Least and greatest distance at which each anchor can have rows of each leaf."""
+        leaves = len(self.begin) - 1
+        least, most = np.zeros((len(q), leaves)), np.full((len(q), leaves), np.inf)
+        d = self.space.from_score(own[:, None], q @ self.points.T)
+        above = {0: (np.zeros(len(q)), np.full(len(q), np.inf))}
+        for node, sides in enumerate(self.sides):  # a node stands after the one above it
+            low, high = above.pop(node)
+            inside = np.maximum(low, d[:, node] - self.inner[node]), np.minimum(high, d[:, node] + self.inner[node])
+            outside = np.maximum(np.maximum(low, self.near[node] - d[:, node]), d[:, node] - self.far[node]), np.minimum(high, d[:, node] + self.far[node])
+            for to, bounds in zip(sides, (inside, outside), strict=True):
+                if to < 0:
+                    least[:, ~to], most[:, ~to] = bounds
+                else:
+                    above[to] = bounds
+        return least, most
+
+    def best(self, q: np.ndarray, own_ids: np.ndarray, labels: np.ndarray, low: np.ndarray, high: np.ndarray, same: bool, k: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(anchor, row, score) for each window: the k first rows of the same or another label with low <= score <= high. low, high: by anchor and window.
+
+        All anchors walk together, each nearest leaf first, some leaves at a time and then twice as many: a leaf is opened for the anchors of which a window's annulus, as narrow as
+        what they have found made it, reaches into it."""
+        own, low, margin = (q.astype(np.float64) ** 2).sum(1), low.copy(), self.space.margin
+        least, most = self.reach(q, own)
+        inner = self.space.from_score(own[:, None], high) - margin
+        nearest, anchors = np.argsort(least, axis=1, kind="stable"), np.arange(len(q))[:, None]
+        kept = [tuple(np.zeros(0, np.int64) for _ in range(3)) for _ in range(low.shape[1])]
+        at, step = 0, 4
+        while at < least.shape[1]:
+            outer = np.where(low <= high, self.space.from_score(own[:, None], low) + margin, -1.0)
+            if not (np.take_along_axis(least, nearest[:, at : at + 1], 1) <= outer.max(1, keepdims=True)).any():
                 break
-            if node < 0:
-                a, s = self.begin[~node], self.scores(~node)
-                labels = self.labels[a : a + len(s)]
-                fit = np.flatnonzero(((labels == label) == same) & (s >= low) & (s <= high) & (self.ids[a : a + len(s)] != own_id))
-                if len(fit):
-                    found = sorted(found + [(-int(s[i]), self.ids[a + i], a + int(i)) for i in fit])[:k]
-                    if len(found) == k:
-                        low = max(low, -found[-1][0])
-                        outer = float(self.space.from_score(self.own, low)) + margin
+            turn = np.zeros(least.shape, bool)
+            turn[anchors, nearest[:, at : at + step]] = True
+            reached = np.zeros(least.shape, bool)
+            for w in range(low.shape[1]):
+                reached |= (least <= outer[:, w : w + 1]) & (most >= inner[:, w : w + 1])
+            turn &= reached
+            floor, roof, met = low.min(1), high.max(1), []
+            for leaf in np.flatnonzero(turn.any(0)).tolist():
+                who, a, b = np.flatnonzero(turn[:, leaf]), self.begin[leaf], self.begin[leaf + 1]
+                s = (q[who] @ self.x[a:b].T).astype(np.int64)
+                fit = (s >= floor[who, None]) & (s <= roof[who, None]) & ((self.labels[None, a:b] == labels[who, None]) == same) & (self.ids[None, a:b] != own_ids[who, None])
+                i, j = np.nonzero(fit)
+                met.append((who[i], a + j, s[i, j]))
+                self.opened += len(who)
+            at, step = at + step, 2 * step
+            if not met:
                 continue
-            d, (inside, outside) = self.reach[node], self.sides[node]
-            if d + self.inner[node] >= inner:
-                heapq.heappush(heap, (max(least, d - self.inner[node]), inside))
-            if d + self.far[node] >= inner:
-                heapq.heappush(heap, (max(least, self.near[node] - d, d - self.far[node]), outside))
-        return [(score, row) for score, _, row in found]
+            who, row, score = (np.concatenate([m[i] for m in met]) for i in range(3))
+            for w in range(low.shape[1]):
+                new = (score >= low[who, w]) & (score <= high[who, w])
+                if not new.any():
+                    continue
+                a, r, s = (np.concatenate((old, x[new])) for old, x in zip(kept[w], (who, row, score), strict=True))
+                order = np.lexsort((self.place[r], -s, a))
+                a, r, s = a[order], r[order], s[order]
+                starts = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1])))
+                n = np.arange(len(a)) - np.repeat(starts, np.diff(np.concatenate((starts, [len(a)]))))
+                last = n == k - 1  # the k-th row found pulls the outer radius in
+                low[a[last], w] = np.maximum(low[a[last], w], s[last])
+                kept[w] = a[n < k], r[n < k], s[n < k]
+        return kept
 
 
 _TREE = "vantage array<int>, inner array<double>, near array<double>, far array<double>, sides array<int>, begin array<int>"
@@ -251,15 +278,19 @@ def _found(routed: DataFrame, chunks: DataFrame, space: Space, same: bool, k: in
             ids = row["ids"].values
             tree = {c: row[c].values.to_numpy(zero_copy_only=False) for c in ("vantage", "inner", "near", "far", "sides", "begin")}
             chunk = Chunk(space, ids.to_numpy(zero_copy_only=False), row["labels"].values.to_numpy(zero_copy_only=False), row["vectors"].as_py(), tree)
-            asked, out = row["asked"].as_py(), []
-            for a, q in zip(asked, space.unpack([a["v"] for a in asked]), strict=True):
-                chunk.meet(q)
-                for w in a["wants"]:
-                    out += [(a["anchor"], a["key"], w["tag"], at, -score) for score, at in chunk.best(a["anchor"], a["label"], same, w["low"], w["high"], k)]
-            columns = list(zip(*out, strict=True)) if out else [[]] * 5
-            kinds = (ids.type, pa.int64(), pa.int32())
-            arrays = [pa.array(columns[i], t) for i, t in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([*arrays, ids.take(pa.array(columns[3], pa.int64())), pa.array(columns[4], pa.int64())], names=["anchor", "key", "tag", "id", "score"])
+            asked = row["asked"].values
+            column = lambda c: asked.field(c)
+            wants = column("wants").to_pylist()
+            windows = max(map(len, wants))
+            low, high = np.full((len(wants), windows), 2**62), np.full((len(wants), windows), -(2**62))  # what an anchor has no window for is an empty one
+            for i, some in enumerate(wants):
+                for j, w in enumerate(some):
+                    low[i, j], high[i, j] = w["low"], w["high"]
+            plain = [column(c).to_numpy(zero_copy_only=False) for c in ("anchor", "label")]
+            for j, (who, at, score) in enumerate(chunk.best(space.unpack(column("v").to_pylist()), *plain, low, high, same, k)):
+                who_ = pa.array(who)
+                tags = pa.array([wants[i][j]["tag"] for i in who.tolist()], pa.int32())
+                yield pa.RecordBatch.from_arrays([column("anchor").take(who_), column("key").take(who_), tags, ids.take(pa.array(at)), pa.array(score)], names=["anchor", "key", "tag", "id", "score"])
 
     return met.mapInArrow(run, f"anchor {id_type}, key long, tag int, id {id_type}, score long")
 
