@@ -1,8 +1,9 @@
 """Graphs in adjacency-list columns: completion, checks, traversal, layers.
 
-Traversals are frontier loops of equi-joins; each round is checkpointed in spark.checkpoint.dir (reliable storage), so plans stay short
-and a lost executor costs one round. Visited nodes leave the frontier, so cycles end them. Orders that a
-sequential walk defines (depth first) are made inside the group of one start node, whose size the caller bounds.
+Reachability and ways are frontier loops of equi-joins; each round is checkpointed in spark.checkpoint.dir (reliable storage), so plans stay short
+and a lost executor costs one round. Visited nodes leave the frontier, so cycles end them. Layers, cycles and pre-order do not
+walk level by level: runs of nodes with one parent are contracted by pointer doubling, and the pre-order of a forest is the rank of its edges on an Euler tour, so a chain
+of n nodes takes about log2(n) rounds. Pre-order of other graphs is sequential by nature and made inside the group of one start node, whose size the caller bounds.
 """
 
 from __future__ import annotations
@@ -158,15 +159,13 @@ def shortest_path(edges: DataFrame, start, goal, max_depth: int | None = None) -
 
 
 def in_cycles(edges: DataFrame) -> DataFrame:
-    """src, dst of the edges left when nodes without parents, then nodes without children, are peeled off again and again: those on or between cycles."""
+    """src, dst of the edges on or between cycles: those whose ends can both be reached from a cycle and can both reach one."""
     e = cut(edges.select("src", "dst").distinct())
-    while True:
-        n = e.count()
-        e = e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
-        e = cut(e.join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
-        left = e.count()
-        if left == n or not left:
-            return e
+    for src, dst in (("src", "dst"), ("dst", "src")):
+        nodes = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
+        free = layers(nodes, e.select(F.col(src).alias("src"), F.col(dst).alias("dst"))).select(F.col("node").alias("src"))
+        e = cut(e.join(free, "src", "left_anti").join(free.withColumnRenamed("src", "dst"), "dst", "left_anti").select("src", "dst"))
+    return e
 
 
 def find_cycle(edges: DataFrame) -> DataFrame:
@@ -185,21 +184,62 @@ def is_acyclic(edges: DataFrame) -> bool:
     return in_cycles(edges).isEmpty()
 
 
+def _contracted(f: DataFrame) -> DataFrame:
+    """f (node, up, w, c: the node's layer is max(c, up's layer + w)) with up beyond all nodes of f, by pointer doubling. Nodes on cycles of f, and those hanging from them, keep an up in f."""
+    n, span = f.count(), 1
+    f = cut(f.withColumn("go", F.lit(True)))
+    while span <= 2 * n:
+        step = f.select(F.col("node").alias("up"), F.col("up").alias("up_up"), F.col("w").alias("up_w"), F.col("c").alias("up_c"))
+        moved = f.where("go").join(step, "up", "left")
+        on = F.col("up_up").isNotNull()
+        moved = moved.select(
+            "node", F.coalesce("up_up", "up").alias("up"), F.when(on, F.col("w") + F.col("up_w")).otherwise(F.col("w")).alias("w"),
+            F.when(on, F.greatest("c", F.col("up_c") + F.col("w"))).otherwise(F.col("c")).alias("c"), on.alias("go"),
+        )
+        f = cut(f.where("not go").unionByName(moved))
+        if f.where("go").isEmpty():
+            break
+        span *= 2
+    return f.drop("go")
+
+
 def layers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """node, layer of an acyclic graph: 0 without parents, else one more than the deepest parent. Nodes on cycles are left out."""
-    e = cut(edges.select("src", "dst").distinct())
-    known = None
-    rest = cut(nodes.select("node").distinct())
-    layer = 0
+    """node, layer of an acyclic graph: 0 without parents, else one more than the deepest parent. Nodes on cycles, or below one, are left out.
+
+    In turns, nodes with one parent left are set aside with their layer as a function of the first ancestor that has not just one (runs of them, however long, by doubling), and nodes without parents get
+    theirs. The turns grow with the depth of the graph counted in nodes that keep several parents, and forests take one."""
+    left = cut(nodes.select("node").distinct().withColumn("c", F.lit(0)))
+    e = cut(edges.select("src", "dst", F.lit(1).alias("w")).distinct())
+    aside, done, stuck = [], None, None
     while True:
-        ready = cut(rest.join(e.select(F.col("dst").alias("node")).distinct(), "node", "left_anti").withColumn("layer", F.lit(layer)))
+        single = e.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n"), F.min("src").alias("up"), F.min("w").alias("w")).where("n = 1").drop("n").join(left, "node")
+        single = cut(single if stuck is None else single.join(stuck, "node", "left_anti"))
+        if not single.isEmpty():
+            f = _contracted(single)
+            f = cut(f.join(single.select(F.col("node").alias("up"), F.lit(True).alias("held")), "up", "left"))
+            more, f = f.where("held").select("node"), f.where("held is null").drop("held")
+            stuck = more if stuck is None else cut(stuck.union(more))
+            aside.append(f)
+            left = left.join(f.select("node"), "node", "left_anti")
+            e = e.join(f.select(F.col("node").alias("dst")), "dst", "left_anti")
+            links = e.join(f.select(F.col("node").alias("src"), "up", F.col("w").alias("up_w"), F.col("c").alias("up_c")), "src", "left")
+            links = cut(links.select(F.coalesce("up", "src").alias("src"), "dst", (F.col("w") + F.coalesce("up_w", F.lit(0))).alias("w"), (F.col("up_c") + F.col("w")).alias("least")))
+            least = links.groupBy(F.col("dst").alias("node")).agg(F.max("least").alias("least"))
+            left = cut(left.join(least, "node", "left").select("node", F.greatest("c", F.coalesce("least", F.lit(0))).alias("c")))
+            e = cut(links.groupBy("src", "dst").agg(F.max("w").alias("w")))
+        ready = cut(left.join(e.select(F.col("dst").alias("node")).distinct(), "node", "left_anti"))
         if ready.isEmpty():
             break
-        known = ready if known is None else known.unionByName(ready)
-        rest = cut(rest.join(ready.select("node"), "node", "left_anti"))
-        e = cut(e.join(ready.select(F.col("node").alias("src")), "src", "left_anti").select("src", "dst"))
-        layer += 1
-    return known if known is not None else rest.withColumn("layer", F.lit(0)).limit(0)
+        done = ready if done is None else cut(done.union(ready))
+        pushed = e.join(ready.select(F.col("node").alias("src"), "c"), "src").groupBy(F.col("dst").alias("node")).agg(F.max(F.col("c") + F.col("w")).alias("least"))
+        left = left.join(ready.select("node"), "node", "left_anti").join(pushed, "node", "left")
+        left = cut(left.select("node", F.greatest("c", F.coalesce("least", F.lit(0))).alias("c")))
+        e = cut(e.join(ready.select(F.col("node").alias("src")), "src", "left_anti"))
+    done = left.limit(0) if done is None else done
+    for f in reversed(aside):
+        below = f.join(done.select(F.col("node").alias("up"), F.col("c").alias("up_c")), "up")
+        done = cut(done.union(below.select("node", F.greatest("c", F.col("up_c") + F.col("w")).alias("c"))))
+    return done.select("node", F.col("c").cast("int").alias("layer"))
 
 
 def bfs_layers(nodes: DataFrame, edges: DataFrame, component: DataFrame) -> DataFrame:
@@ -210,23 +250,50 @@ def bfs_layers(nodes: DataFrame, edges: DataFrame, component: DataFrame) -> Data
     return component.join(reached.select("node", F.col("depth").alias("layer")), "node", "left").select("node", "component", "layer")
 
 
+def preorder(edges: DataFrame) -> DataFrame:
+    """node, root, at, size of each node of a forest (src, dst, pos; no node has two parents, no cycles): its place in its tree's pre-order, the root's being 0, and the nodes of its subtree.
+
+    Each edge stands twice on the tour, down and up; after the way down comes the way to the first child, else up; after the way up that to the next sibling, else up from the parent. The ways
+    down that follow each step to the end of the tour are counted by pointer doubling; siblings follow each other in the numbered edges, so no node's children are gathered."""
+    at = cut(numbered(edges.select("src", "dst", "pos"), ["src", "pos", "dst"], "_n"))
+    following = at.select(F.col("src").alias("n_src"), F.col("dst").alias("n_dst"), (F.col("_n") - 1).alias("_n"))
+    at = at.join(following, "_n", "left").select("src", "dst", "_n", F.when(F.col("src") == F.col("n_src"), F.col("n_dst")).alias("sibling"))
+    first = at.groupBy(F.col("src").alias("dst")).agg(F.min_by("dst", "_n").alias("child"))
+    above = at.select(F.col("dst").alias("src"), F.lit(True).alias("inner"))
+    tour = at.join(first, "dst", "left").join(above, "src", "left")
+    yes, no, none = F.lit(True), F.lit(False), F.lit(None).cast("boolean")
+    down = F.struct(F.col("dst").alias("node"), no.alias("up"), F.coalesce("child", "dst").alias("to"), F.col("child").isNull().alias("to_up"), F.lit(1).cast("long").alias("n"), F.lit(None).cast(at.schema["src"].dataType).alias("root"))
+    last = F.col("sibling").isNull() & F.col("inner").isNull()
+    onward = F.when(F.col("sibling").isNotNull(), F.col("sibling")).when(F.col("inner"), F.col("src"))
+    up = F.struct(F.col("dst").alias("node"), yes.alias("up"), onward.alias("to"), F.when(~last, F.col("sibling").isNull()).otherwise(none).alias("to_up"), F.lit(0).cast("long").alias("n"), F.when(last, F.col("src")).alias("root"))
+    t = cut(tour.select(F.inline(F.array(down, up))))
+    while not t.where("root is null").isEmpty():
+        step = t.select(F.col("node").alias("to"), F.col("up").alias("to_up"), F.col("to").alias("next"), F.col("to_up").alias("next_up"), F.col("n").alias("more"), F.col("root").alias("end"))
+        moved = t.where("root is null").join(step, ["to", "to_up"])
+        t = cut(t.where("root is not null").unionByName(moved.select("node", "up", F.col("next").alias("to"), F.col("next_up").alias("to_up"), (F.col("n") + F.col("more")).alias("n"), F.col("end").alias("root"))))
+    ends = t.groupBy("node").agg(F.max("root").alias("root"), F.max("n").alias("left"), F.min("n").alias("after"))
+    whole = cut(ends)
+    trees = whole.groupBy("root").agg(F.count("*").alias("all"))
+    inner = whole.join(trees, "root").select("node", "root", (F.col("all") - F.col("left") + 1).alias("at"), (F.col("left") - F.col("after")).alias("size"))
+    return inner.unionByName(trees.select(F.col("root").alias("node"), "root", F.lit(0).cast("long").alias("at"), (F.col("all") + 1).alias("size")))
+
+
 def dfs(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """start, node, order: pre-order from each start, first link first (by pos, then dst).
 
-    Where no node is reached twice, nodes are ordered by their paths, on all executors. Elsewhere pre-order is sequential by
+    In a forest, a start's nodes are those of its subtree, an interval of its tree's pre-order. Elsewhere pre-order is sequential by
     nature: the edges a start reaches are then walked in that start's group."""
+    edges = cut(edges.select("src", "dst", "pos").where("src is not null and dst is not null"))
+    once = edges.groupBy("dst").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    if once and not edges.isEmpty() and in_cycles(edges).isEmpty():
+        placed = cut(preorder(edges))
+        begun = starts.select(F.col("node").alias("start")).distinct()
+        own = begun.join(placed, F.col("start") == F.col("node")).select("start", "root", F.col("at").alias("_from"), (F.col("at") + F.col("size")).alias("_to"))
+        out = placed.join(own, "root").where((F.col("at") >= F.col("_from")) & (F.col("at") < F.col("_to"))).select("start", "node", (F.col("at") - F.col("_from")).alias("order"))
+        alone = begun.join(placed, F.col("start") == F.col("node"), "left_anti")
+        return out.unionByName(alone.select("start", F.col("start").alias("node"), F.lit(0).cast("long").alias("order")))
     reach = bfs(edges, starts).select("start", "node")
     own = cut(reach.join(edges.select(F.col("src").alias("node"), "dst", "pos"), "node", "left").select("start", "node", "dst", "pos"))
-    found = own.where("dst is not null")
-    if found.groupBy("start", "dst").agg(F.count("*").alias("n")).where("n > 1 or start = dst").isEmpty():
-        step = lambda: F.array(F.struct("pos", "dst"))
-        out = front = cut(own.select("start", F.col("start").alias("node")).distinct().select("*", F.array().cast(found.select(step().alias("p")).schema["p"].dataType).alias("path")))
-        while not front.isEmpty():
-            front = cut(front.join(found, ["start", "node"]).select("start", F.col("dst").alias("node"), F.concat("path", step()).alias("path")))
-            out = out.unionByName(front)
-        placed = numbered(out, ["start", "path"], "_at")
-        first = placed.groupBy("start").agg(F.min("_at").alias("_first"))
-        return placed.join(first, "start").select("start", "node", (F.col("_at") - F.col("_first")).alias("order"))
     kind = own.schema["node"].dataType.simpleString()
 
     def walk(rows: pd.DataFrame) -> pd.DataFrame:

@@ -100,3 +100,35 @@ def graph_layers(spark, sf):
 def graph_dfs(spark, sf):
     e = _edges(spark, sf).select("src", "dst", (c("dst") % 2).cast("int").alias("pos"))
     return G.dfs(e, spark.range(1).select(F.lit(3).cast("long").alias("node")))
+
+
+_CHAIN = "SELECT event_id AS k FROM events"
+
+
+def _chain(spark, sf):
+    """Events as a tree two thirds as deep as they are many: 3k has the children 3k + 1, a leaf, and 3k + 2, which goes on to 3k + 3."""
+    k = read(spark, sf, "events").where("event_id > 0").select(c("event_id").alias("dst"))
+    return k.select((c("dst") - F.when(c("dst") % 3 == 2, 2).otherwise(1)).alias("src"), "dst", (-c("dst")).alias("pos"))
+
+
+@query("graph_deep_layers", f"SELECT k AS node, ((k // 3) * 2 + CASE WHEN k % 3 > 0 THEN 1 ELSE 0 END)::INTEGER AS layer FROM ({_CHAIN})")
+def graph_deep_layers(spark, sf):
+    """Layers of a graph as deep as the table is long; each tenth node also hangs from the root."""
+    more = read(spark, sf, "events").where("event_id % 10 = 0 and event_id > 0").select(F.lit(0).cast("long").alias("src"), c("event_id").alias("dst"))
+    return G.layers(read(spark, sf, "events").select(c("event_id").alias("node")), _chain(spark, sf).select("src", "dst").unionByName(more))
+
+
+@query("graph_deep_dfs", f"""SELECT s AS start, k AS node, row_number() OVER (PARTITION BY s ORDER BY k % 3 = 1, CASE WHEN k % 3 = 1 THEN -k ELSE k END) - 1 AS "order" FROM ({_CHAIN}), (VALUES (0), (300), (600)) t(s) WHERE k >= s""")
+def graph_deep_dfs(spark, sf):
+    """Pre-order from the root and from two nodes below it: down the long way first, then the leaves from below."""
+    starts = read(spark, sf, "events").where("event_id in (0, 300, 600)").select(c("event_id").alias("node"))
+    return G.dfs(_chain(spark, sf), starts)
+
+
+@query("graph_cut_off_cycles", f"SELECT k AS src, CASE WHEN k % 100 = 59 THEN k - 9 ELSE k + 1 END AS dst FROM ({_CHAIN}) WHERE k % 100 BETWEEN 50 AND 59")
+def graph_cut_off_cycles(spark, sf):
+    """Of chains of a hundred events, each with one link back over ten of them, the rings are left."""
+    k = read(spark, sf, "events").select(c("event_id").alias("src"))
+    on = k.where("src % 100 < 99").select("src", (c("src") + 1).alias("dst"))
+    back = k.where("src % 100 = 59").select("src", (c("src") - 9).alias("dst"))
+    return G.in_cycles(on.unionByName(back))
