@@ -147,6 +147,39 @@ def test_html_names_and_malformed_pages():
         assert time.process_time() - begin < 15  # a quadratic scan of these takes minutes
 
 
+def _prose(n, word):
+    return " ".join(f"{word}{i} stands in a sentence that goes on for a while," for i in range(n))
+
+
+_ARTICLE = f"<h1>Title here</h1><p>{_prose(8, 'first')}</p><p>{_prose(7, 'more')}</p><p>Short one.</p><p>{_prose(9, 'last')}</p>"
+_LINES = ["Title here", _prose(8, "first"), _prose(7, "more"), "Short one.", _prose(9, "last")]
+_READERS = '<div id="comments">' + "".join(f'<div class="comment"><p>I think that {_prose(4, "reader")}</p></div>' for _ in range(30)) + "</div>"
+_TEMPLATES = {
+    "one form around the page": (f'<form id="aspnetForm"><nav><a href=x>Home</a></nav><div class="x"><div class="y">{_ARTICLE}</div></div><input name=q><footer>f</footer></form>', []),
+    "a layout class on the page": (f'<div class="page sidebar-right">{_ARTICLE}</div><div class="box"><p>Some unrelated box, brief.</p></div>', []),
+    "prose with such names in an article": (f'<article>{_ARTICLE}<section class="social"><p>{_prose(6, "social")}</p></section><p class="comment">{_prose(6, "note")}</p></article>', [_prose(6, "social"), _prose(6, "note")]),
+    "comments longer than the article": (f'<div class="wrap"><div class="inner">{_ARTICLE}</div>{_READERS}</div>', []),
+    "comments in the article": (f"<article>{_ARTICLE}{_READERS}</article>", []),
+    "a share bar": (f'<article>{_ARTICLE}<div class="share"><a href=1>Send</a><a href=2>Like</a></div></article>', []),
+    "a form in the article": (f"<article>{_ARTICLE}<form><p>Subscribe to our letters now</p><input><button>Go</button></form></article>", []),
+    "a sidebar of prose": (f'<main><div class="c">{_ARTICLE}</div><div class="sidebar"><p>{_prose(3, "side")}</p></div></main>', []),
+    "an advert before": (f'<nav><a href=x>Home</a></nav><div class="ad">Buy this now.</div><div id="main">{_ARTICLE}</div><div class="footer">(c) me</div>', []),
+    "a layout table": (f"<table><tr><td><a href=1>a</a><a href=2>b</a></td><td>{_ARTICLE}</td></tr></table>", []),
+    "a notice of cookies": (f'<div class="cookie-notice"><p>We use cookies to make this better and ask for your consent here.</p></div><div>{_ARTICLE}</div>', []),
+    "a name that says what there is": (f'<div class="has-sidebar"><div>{_ARTICLE}</div></div>', []),
+    "nested divisions": (f"<div><div><div>{_ARTICLE}</div><div><a href=1>x y z</a> <a href=2>more links</a></div></div></div>", []),
+    "roles": (f'<div role="banner">Site name</div><div role="main">{_ARTICLE}</div><div role="contentinfo">Contact us</div>', []),
+}
+
+
+@pytest.mark.parametrize("name", _TEMPLATES)
+def test_html_templates(name):
+    from typeloom.llm.html_extract import main_text
+
+    body, more = _TEMPLATES[name]
+    assert main_text(f"<html><head><title>t</title></head><body>{body}</body></html>").split("\n") == _LINES + more
+
+
 def test_pages_by_plain_extraction(spark, sf):
     """Whole op2 against the article cut out with regular expressions, which the test pages' one template allows."""
     import html

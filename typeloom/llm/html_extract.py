@@ -7,11 +7,11 @@ the main text. It widens to its parent as long as everything else there is a hea
 sparsest node on the path from the body (the body-path threshold); inside an article or main element, which it never leaves, what is sparser
 hinders it only where most of it is links, and is then left out.
 
-Elements that are never main text leave before densities are computed: scripts, styles, forms and their fields,
-navigation, asides, footers, headers outside an article. Classes, ids and roles that name an advert, menu, sidebar, notice, comment section or
-the like count only as whole words: a name of several parts must consist of such words and of neutral ones (site-footer, but not
-notice-of-motion), beside a name such as post or content they count for nothing, a heading never leaves by its name, and a subtree of headings or paragraphs with nine tenths
-of a page's text leaves by its name only if links agree (over half of its characters), or if it holds reader comments.
+Elements that are never main text leave before densities are computed: scripts, styles, form fields, navigation, asides, footers, headers outside an article.
+Forms, and elements whose class, id or role names an advert, menu, sidebar, notice, comment section or the like, are only suspect: densities within them count
+a fifth, so that an equally dense subtree elsewhere wins, and whatever holds the subtree that does win stays, by whatever name. Suspects beside or within it leave, unless they hold most of its text in headings or paragraphs: forms, comment sections and plain adverts, menus and sidebars always; what may as well be prose (a section named social or notice, or a single paragraph with any such name) only if it is less than
+half as dense as the median paragraph or most of it is links. Names count only as whole words: one of several parts must consist of such words and of neutral ones (site-footer, but not
+notice-of-motion, nor has-sidebar), and beside a name such as post or content they count for nothing.
 
 Defined results: null, empty or text-free HTML gives an empty text; unclosed and stray tags are repaired the way
 browsers do for the common cases; a quote without an end is an ordinary character; other columns are ignored; repeated rows give
@@ -43,7 +43,7 @@ BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-DROP = frozenset("head script style noscript template iframe svg canvas object nav aside footer form button select option input textarea menu dialog".split())
+DROP = frozenset("head script style noscript template iframe svg canvas object nav aside footer button select option input textarea menu dialog".split())
 #: Names of elements that are no main text, those of reader comments, and words that may stand beside them in a name.
 COMMENTS = frozenset("comment comments commentlist disqus respond reply replies".split())
 BAD_WORDS = COMMENTS | frozenset(
@@ -51,39 +51,46 @@ BAD_WORDS = COMMENTS | frozenset(
     "footer header masthead cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations widget widgets "
     "pagination pager toolbar skip copyright legal disclaimer".split()
 )
+#: Those of BAD_WORDS that may as well name prose.
+WEAK_WORDS = frozenset("footer header notice notices alert overlay social widget widgets toolbar skip copyright legal disclaimer".split())
+#: Elements of running text, which no name makes an advert or a comment section by itself.
+FLOW = frozenset("p li blockquote pre td th dd dt figcaption span em strong b i u small code q cite mark".split())
+PRIOR, HALF = 0.2, 0.5
 NEUTRAL = frozenset("site page global top bottom left right main primary secondary list box slot wrap wrapper container section block area zone reader readers user users posts articles links link inner outer item items group bar unit row col column panel form thread buttons button icons js id".split())
 CONTENT = frozenset("content article post entry story body text".split())
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
 KEEP_HEADER_IN = frozenset(("article", "main"))
-STRUCTURE = HEADINGS | KEEP_HEADER_IN | {"p"}
 #: A start tag of the key closes an open element of the set, up to the nearest element of the bound.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 SCOPE = frozenset("article main section div td th table body html blockquote li ul ol figure".split())
 
 
 class Node:
-    __slots__ = ("tag", "parent", "kids", "bad", "named", "c", "t", "lc", "lt", "density", "total")
+    __slots__ = ("tag", "parent", "kids", "bad", "suspect", "c", "t", "lc", "lt", "density", "total", "prior")
 
-    def __init__(self, tag: str, parent: Node | None, bad: bool = False, named: str = ""):
-        """bad: no main text; named: "other" or "comments" if only its name says so."""
-        self.tag, self.parent, self.kids, self.bad, self.named = tag, parent, [], bad, named
+    def __init__(self, tag: str, parent: Node | None, bad: bool = False, suspect: str = ""):
+        """bad: no main text; suspect: form, comments, strong or weak, if only a name or a form says so."""
+        self.tag, self.parent, self.kids, self.bad, self.suspect = tag, parent, [], bad, suspect
         self.c = self.t = self.lc = self.lt = 0
         self.density = self.total = 0.0
+        self.prior = 1.0
 
 
 def _bad(tag: str, attrs: str, opened: Counter) -> tuple[bool, str]:
-    """Whether an element is no main text, and the name that says so: "other", "comments" or none."""
+    """Whether an element is no main text, and what makes it suspect."""
     if tag in DROP:
         return True, ""
     if tag == "header":
         return not any(opened[t] for t in KEEP_HEADER_IN), ""
     if not attrs or tag in HEADINGS or tag in ("html", "body"):
-        return False, ""
-    found = ""
+        return False, "form" if tag == "form" else ""
+    found = set()
     for name, value in ATTR.findall(attrs):
         name, value = name.lower(), value.strip("\"'").lower()
-        if name == "role" and value in BAD_ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
+        if name == "hidden" or name == "aria-hidden" and value == "true":
             return True, ""
+        if name == "role" and value in BAD_ROLES:
+            found.add("strong")
         if name in ("class", "id"):
             names = [[w for w in re.split(r"[_\-\d]+", x) if w] for x in value.split()]
             if any(not CONTENT.isdisjoint(x) and BAD_WORDS.isdisjoint(x) for x in names):
@@ -91,10 +98,10 @@ def _bad(tag: str, attrs: str, opened: Counter) -> tuple[bool, str]:
             for x in names:
                 words = BAD_WORDS.intersection(x)
                 if words and all(w in BAD_WORDS or w in NEUTRAL for w in x):
-                    found = "comments" if found == "comments" or not words.isdisjoint(COMMENTS) else "other"
-    if tag in KEEP_HEADER_IN and found != "comments":
-        return False, ""
-    return bool(found), found
+                    found.add("comments" if not words.isdisjoint(COMMENTS) else "weak" if words <= WEAK_WORDS else "strong")
+    if tag in KEEP_HEADER_IN:
+        found &= {"comments"}
+    return False, "form" if tag == "form" else next((k for k in ("comments", "strong", "weak") if k in found), "")
 
 
 def parse(page: str) -> Node:
@@ -171,28 +178,6 @@ def parse(page: str) -> Node:
     return root
 
 
-def weigh_names(root: Node) -> None:
-    """A name counts for nothing on a subtree with headings or paragraphs and nearly all of the page's text, unless links agree or it holds comments."""
-    order, todo = [], [(root, False)]
-    while todo:
-        x, linked = todo.pop()
-        linked = linked or x.tag == "a"
-        order.append((x, linked))
-        todo.extend((k, linked) for k in x.kids if not isinstance(k, str) and (not k.bad or k.named))
-    if not any(x.named == "other" for x, _ in order):
-        return
-    sums: dict[int, tuple[int, int, bool]] = {}
-    for x, linked in reversed(order):
-        c = sum(len("".join(k.split())) for k in x.kids if isinstance(k, str))
-        below = [sums[id(k)] for k in x.kids if not isinstance(k, str) and id(k) in sums]
-        sums[id(x)] = c + sum(s[0] for s in below), (c if linked else 0) + sum(s[1] for s in below), x.tag in STRUCTURE or any(s[2] for s in below)
-    whole = sums[id(root)][0]
-    for x, _ in order:
-        c, lc, structure = sums[id(x)]
-        if x.named == "other" and structure and 10 * c > 9 * whole and 2 * lc <= c:
-            x.bad = False
-
-
 def measure(root: Node) -> list[Node]:
     """Counts of every kept node, children before parents; the kept nodes in page order."""
     order, todo = [], [(root, False)]
@@ -200,6 +185,7 @@ def measure(root: Node) -> list[Node]:
         node, linked = todo.pop()
         order.append(node)
         linked = linked or node.tag == "a"
+        node.prior = (node.parent.prior if node.parent is not None else 1.0) * (PRIOR if node.suspect else 1.0)
         for kid in node.kids:
             if isinstance(kid, str):
                 k = len("".join(kid.split()))
@@ -223,26 +209,62 @@ def measure(root: Node) -> list[Node]:
             node.density = c / t * max(math.log(c / lc * t / lt), 0.0) / max(math.log(base), 0.1)
     for node in order:
         if node.parent is not None and not node.bad:
-            node.parent.total += node.density
+            node.parent.total += node.density * node.prior
     return order
 
 
+def typical(node: Node) -> float:
+    """The median density of the paragraphs and the like in a subtree, without headings and suspects."""
+    found, todo = [], [node]
+    while todo:
+        x = todo.pop()
+        if x.c and x.tag not in HEADINGS and any(isinstance(k, str) and k.strip() for k in x.kids):
+            found.append(x.density)
+        todo.extend(k for k in x.kids if not isinstance(k, str) and not k.bad and not k.suspect)
+    return sorted(found)[len(found) // 2] if found else 0.0
+
+
+def structured(node: Node) -> bool:
+    """Whether a heading or a paragraph stands in a subtree."""
+    todo = [node]
+    while todo:
+        x = todo.pop()
+        if x.tag == "p" or x.tag in HEADINGS or x.tag in KEEP_HEADER_IN:
+            return True
+        todo.extend(k for k in x.kids if not isinstance(k, str) and not k.bad)
+    return False
+
+
+def leaves(node: Node, usual: float, whole: int) -> bool:
+    """Whether a suspect beside or within the main text is no part of it. usual: density of its paragraphs; whole: its characters."""
+    if node.suspect == "form":
+        return 2 * node.c < whole
+    if node.suspect != "comments" and 2 * node.c > whole and 2 * node.lc <= node.c and structured(node):  # most of the text has no other place
+        return False
+    if node.suspect in ("comments", "strong") and node.tag not in FLOW:
+        return True
+    return node.density < HALF * usual or 2 * node.lc > node.c
+
+
 def main_node(root: Node) -> Node:
-    weigh_names(root)
     order = measure(root)
     body = next((n for n in order if n.tag == "body"), root)
-    best = max((n for n in order if n.c), key=lambda n: n.total, default=body)
+    best = max((n for n in order if n.c and (n is not root or n is body)), key=lambda n: n.total, default=body)
     if not best.total:  # text without inner elements: the densest node itself
-        best = max((n for n in order if n.c), key=lambda n: n.density, default=body)
+        best = max((n for n in order if n.c), key=lambda n: n.density * n.prior, default=body)
     threshold, node, holder = best.density, best, None
-    while node is not None:
+    while node is not None:  # what holds the main text is not suspect
         threshold = min(threshold, node.density)
         holder = node if node.tag in KEEP_HEADER_IN else holder
+        node.suspect = ""
         node = node.parent if node is not body else None
+    whole, usual = (holder or best).c, typical(holder or best)
     while best is not body and best is not holder and best.parent not in (None, body):
         up = best.parent
         rest = [k for k in up.kids if not isinstance(k, str) and not k.bad and k is not best and k.c]
-        sparse = [k for k in rest if k.tag not in HEADINGS and k.density < threshold]
+        for k in rest:
+            k.bad = bool(k.suspect) and leaves(k, usual, whole)
+        sparse = [k for k in rest if not k.bad and k.tag not in HEADINGS and k.density < threshold]
         if holder is None and (sparse or any(isinstance(k, str) and k.strip() for k in up.kids)):
             break
         for k in sparse:
@@ -250,6 +272,12 @@ def main_node(root: Node) -> Node:
         best = up
     if best.tag in ("p", "b", "i", "span", "em", "strong") and best.parent is not None:
         best = best.parent
+    todo = [k for k in best.kids if not isinstance(k, str) and not k.bad]
+    while todo:
+        node = todo.pop()
+        node.bad = bool(node.suspect) and leaves(node, usual, whole)
+        if not node.bad:
+            todo.extend(k for k in node.kids if not isinstance(k, str) and not k.bad)
     return best
 
 
