@@ -511,21 +511,25 @@ def test_components(spark):
 
 
 def test_grammar():
-    from typeloom.llm.toxicity import Scorer
+    """Each mark alone, and that plain insults count for nothing however many there are."""
+    from typeloom.llm.toxicity import MARKS, Scorer
 
     s = Scorer({"idiot": 3.0, "fool": 1.0, "wort*": 2.0})
     e = 2.718281828459045
-    marks = lambda t: [round(e**v - 1) for v in s.features(t)[:5]]
-    weights = lambda t: [round(e**v - 1) for v in s.features(t)[5:]]
-    assert marks("some idiot spoke.") == [0] * 5 and marks("idiot") == [0] * 5 and s.features("idiot") == s.features("word")
-    assert marks("some idiot spoke. one fool more. idiot") == [2, 0, 0, 0, 0] and weights("some idiot spoke. one fool more. idiot") == [4, 0, 0, 0]
-    assert marks("you idiot! hello") == [0, 1, 0, 0, 0]
-    assert marks("you idiot. fine") == [0, 1, 0, 0, 0] and marks("an idiot are you") == [0, 1, 0, 0, 0]
-    assert marks("this is not an idiot") == [0, 0, 1, 0, 0] and weights("this is not an idiot") == [0, 0, 3, 0]
-    assert marks("it said the idiot ran") == [0, 0, 0, 1, 0]
-    assert marks("i will kill you") == [0, 0, 0, 0, 1] and marks("kill the process") == [0, 0, 0, 0, 0]
-    assert marks("a fool and an idiot are you") == [0, 1, 0, 0, 0] and weights("a fool and an idiot are you") == [0, 3, 0, 0]
-    assert marks("wortig. worter") == [1, 0, 0, 0, 0] and marks(None) == [0] * 5
+    marks = lambda t: {m: n for m, v in zip(MARKS, s.features(t), strict=False) if (n := round(e**v - 1))}
+    weights = lambda t: [round(e**v - 1) for v in s.features(t)[len(MARKS) :]]
+    plain = "some idiot spoke. one fool more. see wortig here"
+    assert marks(plain) == {} and s.features(plain) == s.features("word") == s.features(None)
+    assert marks("you see some idiot there") == {"A": 1} and marks("some idiot sees you there") == {"A": 1}
+    assert marks("idiot, go") == marks("go now idiot") == marks("well, idiot, go") == marks("idiot") == {"V": 1}
+    assert marks("he is some idiot there") == {"B": 1} and marks("he is by all means some idiot there") == {"A": 1}
+    assert marks("see that idiot there") == {"M": 1} and marks("see that. old idiot there") == {}
+    assert marks("big idiot old fool ran") == {"S": 1} and weights("big idiot old fool ran") == [4, 0, 0]
+    assert marks("this is not an idiot") == {"n": 1} and weights("this is not an idiot") == [0, 3, 0]
+    assert marks("it said the idiot ran") == {"q": 1} and weights("it said the idiot ran") == [0, 0, 3]
+    assert marks("i will kill you") == {"X": 1} and marks("kill the process") == {}
+    assert marks("wortig, go. worter go") == {"V": 2} and weights("wortig, go. some fool spoke") == [2, 0, 0]
+    assert marks("the idiot is that fool there. you fool go") == {"M": 1, "B": 1, "A": 1}
 
 
 def test_toxicity_on_held_out_labels(spark):

@@ -1,11 +1,12 @@
 """Toxicity: a weighted finite-state pattern grammar over clauses.
 
-Words become classes - insult, threat, target, negation, reported speech, other - and six transducers, composed into one
-machine, rewrite the class string of a text: an insult after a negation within three words is marked negated; after
-a reporting verb, reported; with a target word in its clause, aimed; any other is plain, and only from the second plain one on
-a repeated insult; a threat counts only with a target in its clause. A document's features are, for each mark, how often it was put out and the
-lexicon weights of its insults; what a mark says (much for aimed ones, little or nothing for negated ones) is fitted on labelled
-documents. Words alone score nothing: one plain insult gets the base score.
+Words become classes - insult, threat, target, negation, reported speech, copula, determiner, other - and transducers, composed into one
+machine, rewrite the class string of a text. An insult after a negation within three words is marked negated; after
+a reporting verb, reported; within three words after a copula, predicated (you are a ...); right after a determiner, naming (that ...); within three words after another insult, strung; at
+the begin or end of its clause or beside a comma, addressed; with a target word in its clause, aimed. Any other is plain and counts for nothing, however many there are. A
+threat counts only with a target in its clause. A document's features are how often each mark was put out, and the
+lexicon weights of the insults of clauses with a mark, of negated and of reported ones; what each says is fitted on labelled documents. Words alone score nothing: a text of plain insults
+gets the base score.
 
 Insults are learned: of the words and word beginnings (4 to 8 characters, so that inflected forms share one) those stay
 that nearly only labelled-toxic documents have, each with its log odds; near copies count once, as documents count by
@@ -23,7 +24,6 @@ lexicon that the training rows bound: each form is in MIN_DOCS of them or nearly
 from __future__ import annotations
 
 import re
-from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,13 +38,15 @@ TRAIN_ROWS = 20_000
 #: Documents that must have a form (fewer, but 4, where 25 times as many toxic ones are not there), the share of them labelled toxic, lengths of beginnings, words that one must have.
 MIN_DOCS, MIN_PRECISION, STEM, MIN_WORDS = 6, 0.8, (4, 8), 4
 THRESHOLD = 0.7
-_WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[.;:!?\n]+")
+_WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[.;:!?\n]+|,")
 
 #: Fixed word classes.
 WORDS = {
     "T": "you your yours yourself he she they them their him her tu toi vous ton ta votre vos ils elles du dich dir dein deine ihr euch sie él ella ellos usted ustedes vosotros tú ti",
     "N": "not no never isn't aren't wasn't don't nor neither pas jamais nicht kein keine nie nunca tampoco",
     "R": "said says say called calls wrote quoted alleged claimed reported dit disait écrit sagt sagte schrieb nannte dijo dice escribió llamó",
+    "C": "is are was were am be being est sont était es ist sind bist war seid eres soy sois",
+    "D": "a an the this that these those such un une le la les ce cet cette ces der die das ein eine dieser diese dieses el los las una este esta ese esa",
     "H": "kill hurt destroy beat punch stab shoot burn attack tuer frapper détruire töten schlagen vernichten matar golpear destruir",
 }
 #: Insults known without labels, unless the labels say otherwise, and their log odds.
@@ -81,25 +83,36 @@ def compose(first: Transducer, second: Transducer, alphabet: str) -> Transducer:
     return Transducer(start, steps)
 
 
-#: Input classes; $ ends a clause. Marks put out: P repeated, A aimed, n negated, q reported insult, X aimed threat; i, a first plain insult, is none.
-ALPHABET, MARKS, WEIGHED = "ITNRHO$", "PAnqX", "PAnq"
+#: Input classes; $ ends a clause. Marks put out: A aimed, V addressed, B predicated, M naming, S strung, n negated, q reported insult, X aimed threat.
+ALPHABET, MARKS, MATCHED = "ITNRHOCD,$", "AVBMSnqX", frozenset("AVBMS")
 
 
 def grammar() -> Transducer:
-    scope = 3
-    negation = {(0, "N"): (scope, "N"), (0, "$"): (0, "$")}
-    for k in range(1, scope + 1):
-        negation |= {(k, c): (k - 1, c) for c in "THOR"} | {(k, "N"): (scope, "N"), (k, "I"): (k - 1, "n"), (k, "$"): (0, "$")}
+    scope, words = 3, "THORCD,"
+
+    def window(opens: str, mark: str) -> dict:
+        """An insult within `scope` symbols after one that opens is marked."""
+        steps = {(0, c): (scope, c) for c in opens} | {(0, "$"): (0, "$")}
+        for k in range(1, scope + 1):
+            steps |= {(k, c): (k - 1, c) for c in words + "NI" if c not in opens} | {(k, c): (scope, c) for c in opens} | {(k, "I"): (k - 1, mark), (k, "$"): (0, "$")}
+        return steps
+
     reported = {(0, "R"): (1, "R"), (1, "I"): (1, "q"), (1, "$"): (0, "$")}
-    # a target is seen before the insult, or an insult waits for one until its clause ends
-    target = {("", "T"): ("t", ""), ("", "I"): ("i", ""), ("i", "I"): ("i", "I"), ("i", "T"): ("t", "A"), ("i", "$"): ("", "I$"), ("t", "I"): ("t", "A"), ("t", "T"): ("t", ""), ("t", "$"): ("", "$"), ("", "$"): ("", "$")}
+    naming = {(0, "D"): (1, "D"), (1, "I"): (0, "M"), (1, "D"): (1, "D")} | {(1, c): (0, c) for c in "THORCN,$nqB"}
+    # a later insult is strung to one of any kind that is not negated or reported
+    strung = {(k, c): (scope, c if c in "BM" else "S" if k else "I") for k in range(scope + 1) for c in "IBM"}
+    strung |= {(k, c): (k - 1, c) for k in range(1, scope + 1) for c in words + "Nnq"} | {(k, "$"): (0, "$") for k in range(1, scope + 1)}
+    # at the begin of a clause or after a comma at once; else it waits for what follows
+    addressed = {("", "I"): ("m", "V"), ("", "$"): ("", "$"), ("", ","): ("", ","), ("m", "I"): ("w", ""), ("w", "I"): ("w", "I"), ("w", "$"): ("", "V$"), ("w", ","): ("", "V,"), ("m", "$"): ("", "$"), ("m", ","): ("", ",")}
+    addressed |= {(s, c): ("m", ("I" if s == "w" else "") + c) for s in ("", "m", "w") for c in "THORCDNnqBMS"}
     # threats stay marks only where a target stands in the clause: T is kept by this machine, which comes before target's
     threat = {("", "H"): ("h", ""), ("h", "T"): ("x", "XT"), ("h", "H"): ("h", ""), ("", "T"): ("t", "T"), ("t", "H"): ("t", "X"), ("x", "H"): ("x", "X")} | {(s, "$"): ("", "$") for s in ("", "h", "t", "x")}
-    insult = {("", c): ("", "") for c in "NRHO$"}  # only marks remain
-    repeat = {("", "I"): ("r", "i"), ("r", "I"): ("r", "P")}  # beyond clauses
-    machine = compose(Transducer(0, negation), Transducer(0, reported), ALPHABET)
-    for steps in (threat, target, insult, repeat):
-        machine = compose(machine, Transducer("", steps), ALPHABET)
+    # a target is seen before the insult, or an insult waits for one until its clause ends
+    target = {("", "T"): ("t", ""), ("", "I"): ("i", ""), ("i", "I"): ("i", ""), ("i", "T"): ("t", "A"), ("i", "$"): ("", "$"), ("t", "I"): ("t", "A"), ("t", "T"): ("t", ""), ("t", "$"): ("", "$"), ("", "$"): ("", "$")}
+    marks = {("", c): ("", "") for c in "INRHOCDT,"}  # only marks and the ends of clauses remain
+    machine = compose(Transducer(0, window("N", "n")), Transducer(0, reported), ALPHABET)
+    for start, steps in ((0, window("C", "B")), (0, naming), (0, strung), ("", addressed), ("", threat), ("", target), ("", marks)):
+        machine = compose(machine, Transducer(start, steps), ALPHABET)
     return machine
 
 
@@ -125,27 +138,26 @@ class Scorer:
         return v
 
     def features(self, text: str | None) -> list[float]:
-        """The logarithm of each mark's number, then that of the summed weights of the insults with each weighed mark."""
+        """The logarithm of each mark's number, then that of the summed weights of the insults of clauses with a pattern, of negated and of reported ones."""
         words = _WORD.findall((text or "").lower())
         hit = {w: v for w in set(words) if (v := self.insult(w))}
-        out, weight = dict.fromkeys(MARKS, 0), dict.fromkeys(MARKS + "i", 0.0)
+        out, matched, negated, said = dict.fromkeys(MARKS, 0), 0.0, 0.0, 0.0
         if hit or not FIXED_H.isdisjoint(words):
-            state, waiting = self.machine.start, deque()
+            state, clause, marked = self.machine.start, 0.0, False
             for w in [*words, "."]:
-                symbol = "I" if w in hit else "$" if w[0] in ".;:!?\n" else FIXED.get(w, "O")
+                symbol = "I" if w in hit else w if w == "," else "$" if w[0] in ".;:!?\n" else FIXED.get(w, "O")
                 state, put = self.machine.step(state, symbol)
-                if symbol == "I":  # negated and reported ones are marked at once, others perhaps later but in order
-                    at_once = next((m for m in put if m in "nq"), None)
-                    if at_once:
-                        weight[at_once] += hit[w]
-                    else:
-                        waiting.append(hit[w])
+                if symbol == "I":  # negated and reported ones are marked at once
+                    negated += hit[w] * ("n" in put)
+                    said += hit[w] * ("q" in put)
+                    clause += hit[w] * ("n" not in put and "q" not in put)
                 for m in put:
                     if m in out:
                         out[m] += 1
-                    if m in "PAi":
-                        weight[m] += waiting.popleft()
-        return [*(float(np.log1p(v)) for v in out.values()), *(float(np.log1p(weight[m])) for m in WEIGHED)]
+                        marked = marked or m in MATCHED
+                if symbol == "$":
+                    matched, clause, marked = matched + clause * marked, 0.0, False
+        return [*(float(np.log1p(v)) for v in out.values()), *(float(np.log1p(v)) for v in (matched, negated, said))]
 
 
 FIXED_H = frozenset(w for w, c in FIXED.items() if c == "H")
@@ -213,7 +225,7 @@ def score(docs: DataFrame, training: DataFrame, labels: DataFrame, train_rows: i
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             scorer = Scorer(lexicon)
             for b in batches:
-                f = np.array([scorer.features(t.as_py()) for t in b.column("text")]).reshape(b.num_rows, len(MARKS) + len(WEIGHED))
+                f = np.array([scorer.features(t.as_py()) for t in b.column("text")]).reshape(b.num_rows, len(MARKS) + 3)
                 s = np.zeros(b.num_rows) if weights is None else 1 / (1 + np.exp(-np.clip(f @ weights[:-1] + weights[-1], -30, 30)))
                 yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(s), pa.array(list(f), pa.list_(pa.float64()))], names=[*names, "score", "marks"])
 
