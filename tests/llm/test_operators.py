@@ -292,6 +292,27 @@ def test_mined_rules_match_by_brute_force(spark):
         assert got.get(i) == (max(((r[3], r[2]) for r in fit))[::-1] if fit else None)
 
 
+def test_mined_rules_hold_on_hosts_kept_back(spark):
+    """Confirmation by brute force; and that a token of one labelled site judges no other page, while one that many sites share does."""
+    from typeloom.llm.url_filter import confirmed, judge
+
+    rng = random.Random(8)
+    rules = [(i, sorted(rng.sample("abcd", rng.randint(1, 2))), rng.choice(["allow", "block"]), 1.0, 0.1) for i in range(8)]
+    held = [(f"h{rng.randrange(4)}", sorted(rng.sample("abcd", rng.randint(0, 4))), rng.choice(["allow", "block", "block"])) for _ in range(80)]
+    got = {r["rule_id"]: (r["held_rows"], r["precision"]) for r in confirmed(spark.createDataFrame(rules, "rule_id long, items array<string>, verdict string, confidence double, support double"), spark.createDataFrame(held, "host string, items array<string>, verdict string"), 0.6, 10, 3).collect()}
+    want = {}
+    for i, items, v, *_ in rules:
+        hit = [(h, y) for h, x, y in held if set(items) <= set(x)]
+        if len(hit) >= 10 and len({h for h, _ in hit}) >= 3 and sum(y == v for _, y in hit) / len(hit) >= 0.6:
+            want[i] = (len(hit), sum(y == v for _, y in hit) / len(hit))
+    assert got == want and got
+    urls = [f"http://site{i}.net/es/casino/{n}" for i in range(40) for n in range(5)] + [f"http://s{i}.com/a/news/{n}" for i in range(40) for n in range(5)]
+    urls += [f"http://lonely-{w}.net/fr/{n}" for w in ("one", "two") for n in range(40)]
+    asked = ["http://x.org/casino/", "http://x.org/news/", "http://lonely-one.org/q/"]
+    out = {r["page_id"]: (r["verdict"], r["matched"]) for r in judge(spark.createDataFrame(list(enumerate(asked + urls)), "page_id long, url string")).where("page_id < 3").collect()}
+    assert out == {0: ("block", ["p=casino"]), 1: ("allow", ["p=news"]), 2: ("allow", None)}
+
+
 def test_mining_by_brute_force(spark):
     """Supports, confidences and pruning of mined rules against all subsets of all token sets."""
     from itertools import combinations

@@ -3,7 +3,8 @@
 Explicit rules (verdict, host, path prefix) judge first: a rule fits its host and all subdomains when the URL's path
 starts with the rule's path; the longest fitting rule wins. The URLs so judged are the labels from which FP-growth
 mines combinations of the tokens that no explicit rule names (else it would find these rules again); rules "tokens -> verdict" below the support, confidence or lift bound are pruned, as are rules that a
-more general one of no less confidence implies. A URL without an explicit rule gets the verdict of its best mined
+more general one of no less confidence implies. The URLs of a third of the hosts, by hash, are kept back from mining: a rule counts only if it holds among them as well, with the same confidence bound, on at least
+MIN_HELD of their rows and MIN_HOSTS of their hosts, so what merely names a labelled site goes. A URL without an explicit rule gets the verdict of its best mined
 rule: highest confidence, then support, then fewest tokens, then "allow"; without any it is allowed.
 
 Tokens: the host's last label (`h=net`), the hyphen-separated parts of its other labels (`w=casino`), each path segment
@@ -31,6 +32,8 @@ from .common import UPPER, LOWER, table, written
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 MIN_SUPPORT, MIN_CONFIDENCE, MIN_LIFT = 0.005, 0.8, 1.05
 SALTS = 16
+#: One host in KEPT_BACK confirms what the others teach: least rows and hosts there on which a rule has to hold.
+KEPT_BACK, MIN_HELD, MIN_HOSTS = 3, 5, 2
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -86,14 +89,26 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     return kept.select(F.xxhash64("items", "verdict").alias("rule_id"), "items", "verdict", "confidence", "support")
 
 
-def match(items: DataFrame, rules: DataFrame) -> DataFrame:
-    """For each row of items (key, items) the best rule that its items hold: key, verdict, confidence, matched; keys without one are left out."""
-    # each rule is indexed under the one of its tokens that fewest rules have
+def _indexed(rules: DataFrame) -> DataFrame:
+    """Each rule under the one of its tokens that fewest rules have: item, rule_id, rule_items, verdict, confidence, support, ..."""
     listed = rules.select("rule_id", F.explode("items").alias("item"))
     weight = listed.groupBy("item").agg(F.count("*").alias("n"))
     posting = listed.join(weight, "item").groupBy("rule_id").agg(F.min(F.struct("n", "item")).alias("p")).select("rule_id", F.col("p.item").alias("item"))
-    index = rules.select("rule_id", F.col("items").alias("rule_items"), "verdict", "confidence", "support").join(posting, "rule_id")
-    hits = items.select("key", "items", F.explode("items").alias("item")).join(index, "item").where(F.size(F.array_except("rule_items", "items")) == 0)
+    return rules.withColumnRenamed("items", "rule_items").join(posting, "rule_id")
+
+
+def confirmed(rules: DataFrame, held: DataFrame, min_confidence: float = MIN_CONFIDENCE, min_rows: int = MIN_HELD, min_hosts: int = MIN_HOSTS) -> DataFrame:
+    """The rules that hold on rows (host, items, verdict) they were not mined from, with their share of right verdicts there (precision) and the rows it stands on (held_rows)."""
+    sets = held.groupBy("host", "items", "verdict").agg(F.count("*").alias("rows")).select("host", "items", F.col("verdict").alias("true"), "rows", F.explode("items").alias("item"))
+    hits = sets.join(_indexed(rules).select("item", "rule_id", "rule_items", "verdict"), "item").where(F.size(F.array_except("rule_items", "items")) == 0)
+    seen = hits.groupBy("rule_id").agg(F.sum("rows").alias("held_rows"), F.sum(F.when(F.col("true") == F.col("verdict"), F.col("rows")).otherwise(0)).alias("right"), F.count_distinct("host").alias("hosts"))
+    seen = seen.withColumn("precision", F.col("right") / F.col("held_rows")).where((F.col("held_rows") >= min_rows) & (F.col("hosts") >= min_hosts) & (F.col("precision") >= min_confidence))
+    return rules.join(seen.select("rule_id", "precision", "held_rows"), "rule_id")
+
+
+def match(items: DataFrame, rules: DataFrame) -> DataFrame:
+    """For each row of items (key, items) the best rule that its items hold: key, verdict, confidence, matched; keys without one are left out."""
+    hits = items.select("key", "items", F.explode("items").alias("item")).join(_indexed(rules), "item").where(F.size(F.array_except("rule_items", "items")) == 0)
     best = F.max(F.struct("confidence", "support", (-F.size("rule_items")).alias("short"), (F.col("verdict") == "allow").alias("a"), "rule_items", "verdict"))
     return hits.groupBy("key").agg(best.alias("b")).select("key", F.col("b.verdict").alias("verdict"), F.col("b.confidence").alias("confidence"), F.col("b.rule_items").alias("matched"))
 
@@ -113,7 +128,9 @@ def judge(pages: DataFrame, rules=RULES, min_support: float = MIN_SUPPORT, min_c
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
     rows = rows.select("*", explicit(F.col("host"), F.col("path"), rules).alias("x"), tokens(F.col("host"), F.col("path")).alias("items"))
     free = F.array_except("items", F.array(*[F.lit(x) for x in rule_tokens(rules)]).cast("array<string>"))
-    mined = written(mine(rows.where("x is not null").select(free.alias("items"), F.col("x.verdict").alias("verdict")), min_support, min_confidence), "mined")
+    labelled = rows.where("x is not null").select("host", free.alias("items"), F.col("x.verdict").alias("verdict"))
+    back = F.pmod(F.xxhash64("host"), F.lit(KEPT_BACK)) == 0
+    mined = written(confirmed(mine(labelled.where(~back), min_support, min_confidence), labelled.where(back), min_confidence), "mined")
     known = mined.select(F.explode("items").alias("item")).distinct()
     open_rows = rows.where("x is null").select("items").distinct()
     sets = open_rows.select(F.col("items").alias("key"), F.explode("items").alias("item")).join(known, "item").groupBy("key").agg(F.collect_set("item").alias("items"))
