@@ -608,6 +608,21 @@ def test_foreign_texts_are_rejected(spark, docs):
     assert sum(r["rejected"] for r in own) <= 0.1 * len(own)
 
 
+@pytest.mark.parametrize("size", [1, 3, 50])
+def test_slices_change_nothing(spark, monkeypatch, size):
+    """Grams across the borders of slices are counted and scored once, whatever the slices' size."""
+    from typeloom.llm import lang_id as li
+
+    rng = random.Random(size)
+    rows = [(i, rng.choice("xy"), "".join(rng.choice("abcé .\n1") for _ in range(rng.randrange(150)))) for i in range(60)] + [(90, "x", ""), (91, "y", " . "), (92, "x", "a"), (93, None, "bc")]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    counted = lambda: {(r["lang"], r["gram"]): r["n"] for r in li.count_grams(docs).collect()}
+    told = lambda: {r["doc_id"]: (r["lang_pred"], round(r["score"], 9), round(r["cross_entropy"], 9)) for r in li.identify(docs, docs).collect()}
+    whole, answers = counted(), told()
+    monkeypatch.setattr(li, "SLICE", size)
+    assert counted() == whole and told() == answers
+
+
 def test_kneser_ney_by_brute_force(spark, monkeypatch):
     """Probabilities of every character after every context against a direct recursion over dictionaries."""
     import numpy as np
