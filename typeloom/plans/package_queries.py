@@ -15,6 +15,7 @@ from typeloom.operators.stable import place
 from typeloom.sources import customtypes as CT
 from typeloom.sources import files as FL
 from typeloom.sources import formats as FM
+from typeloom.sources import lattice as LT
 from typeloom.sources import packages as PK
 from typeloom.sources import tables as TB
 from typeloom.sources import typespec as TS
@@ -350,13 +351,38 @@ def json_layouts(spark, sf):
     return out.join(read_back["columns"].select("n_nationkey", c("n_name").alias("in_columns")), "n_nationkey")
 
 
-@query("type_lattice", "SELECT event_id, event_id % 3 = 0 AS narrower, event_id % 3 <> 2 AS nullable FROM events WHERE event_id < 3")
+_PART_TYPES = """p AS (SELECT p_partkey, p_type AS t1, p_type || '.' || p_brand AS t2, p_type || '.' || p_brand || '.' || p_size AS t3 FROM part),
+t AS (SELECT DISTINCT t3 AS name, t2 AS parent FROM p UNION SELECT DISTINCT t2, t1 FROM p UNION SELECT DISTINCT t1, 'name' FROM p UNION SELECT 'name', 'ascii' UNION SELECT 'ascii', 'string'),
+c AS (SELECT name, name AS ancestor, 0 AS steps FROM t UNION ALL SELECT c.name, t.parent, steps + 1 FROM c JOIN t ON t.name = c.ancestor)"""
+
+
+def _part_types(spark, sf):
+    """The parts' types (kind, brand and size), and all types: a kind is a name, a brand's kind is narrower than the kind, and so on."""
+    names = [F.concat_ws(".", *[c(x).cast("string") for x in ("p_type", "p_brand", "p_size")[:n]]) for n in (1, 2, 3)]
+    parts = read(spark, sf, "part").select("p_partkey", *[x.alias(f"t{n}") for n, x in enumerate(names, 1)])
+    links = F.array(F.struct(c("t3").alias("name"), c("t2").alias("parent")), F.struct(c("t2").alias("name"), c("t1").alias("parent")), F.struct(c("t1").alias("name"), F.lit("name").alias("parent")))
+    return parts, parts.select(F.inline(links)).distinct().unionByName(LT.built_in(spark))
+
+
+@query("type_lattice", f"""WITH RECURSIVE {_PART_TYPES}, d AS (SELECT name, max(steps) AS depth FROM c GROUP BY name),
+w AS (SELECT DISTINCT p_partkey // 3 AS col, t3 FROM p), n AS (SELECT col, count(*) AS n_types FROM w GROUP BY col),
+m AS (SELECT col, ancestor, count(*) AS hits FROM w JOIN c ON c.name = t3 GROUP BY ALL)
+SELECT col, any_value(n_types) AS n_types, max_by(ancestor, coalesce(depth, 0)) AS type FROM m JOIN n USING (col) LEFT JOIN d ON d.name = ancestor WHERE hits = n_types GROUP BY col""")
 def type_lattice(spark, sf):
-    """Subtype and null tests of type texts, which stand in a table."""
-    types = TS.Types({"price": "uint|nil", "names": "{name}"})
-    cases = [("ubyte", "integer", "price"), ("{string}", "names", "nil|string"), ("string", "number", "number")]
-    rows = [(i, types.narrower(a, b), types.nullable(n)) for i, (a, b, n) in enumerate(cases)]
-    return spark.createDataFrame(rows, "event_id long, narrower boolean, nullable boolean")
+    """Columns that three parts each widen to their own type: the narrowest type for all of them."""
+    parts, types = _part_types(spark, sf)
+    return LT.least_upper(parts.select(F.floor(c("p_partkey") / 3).alias("col"), c("t3").alias("type")), LT.closure(types), ["col"])
+
+
+@query("type_narrower", f"""WITH RECURSIVE {_PART_TYPES}, q AS (SELECT DISTINCT p.t3 AS a, list_element(['ascii', 'integer', p.t1, q.t1, p.t2, q.t2], (p.p_partkey % 6 + 1)::INTEGER) AS b FROM p JOIN p q ON q.p_partkey = p.p_partkey + 1)
+SELECT a, b, EXISTS (SELECT 1 FROM c WHERE c.name = a AND c.ancestor = b) AS narrower FROM q""")
+def type_narrower(spark, sf):
+    """Subtype tests of a table of pairs, built-in and derived types mixed."""
+    parts, types = _part_types(spark, sf)
+    other = parts.select((c("p_partkey") - 1).alias("p_partkey"), c("t1").alias("n1"), c("t2").alias("n2"))
+    b = F.element_at(F.array(F.lit("ascii"), F.lit("integer"), "t1", "n1", "t2", "n2"), (c("p_partkey") % 6 + 1).cast("int"))
+    pairs = parts.join(other, "p_partkey").select(c("t3").alias("a"), b.alias("b")).distinct()
+    return LT.narrower(pairs, LT.closure(types))
 
 
 @query("exploded_columns", "SELECT c_custkey, c_nationkey AS level, c_acctbal AS x, c_custkey % 7 AS y FROM customer")
