@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from typeloom.sources import files as FL
 from typeloom.sources import formats as FM
+from typeloom.sources import jsondocs as JD
 from typeloom.sources import packages as PK
 from typeloom.sources import tables as TB
 from typeloom.sources import typespec as TS
@@ -85,7 +86,7 @@ def test_binary_and_nested_literals(spark, tmp_path):
 
 def test_json_that_is_none(spark, tmp_path):
     columns = TS.header(["a:integer", "b:string"])
-    for layout, text, problem in (("rows", '[[1,"x",3]]', "more values than the header"), ("rows", '[[1,"x"],[2', "MALFORMED"), ("columns", "[[1]]", "not as many columns"), ("objects", '[{"a":1', "MALFORMED")):
+    for layout, text, problem in (("rows", '[[1,"x",3]]', "more values than the header"), ("rows", '[[1,"x"],[2', "cut off"), ("rows", '[[1,"x"],[2 3]]', "MALFORMED"), ("columns", "[[1]]", "not as many columns"), ("objects", '[{"a":1', "cut off"), ("objects", '[{"a":1}] x', "behind its end"), ("objects", '{"a":1}', "behind its end|no array")):
         (tmp_path / "x.json").write_text(text)
         with pytest.raises(Exception, match=problem):
             TB.parse_json(spark, str(tmp_path / "x.json"), layout, columns).collect()
@@ -110,3 +111,34 @@ def test_empty_plan(spark):
     assert apply_plan({}, []) == ({}, None)
     out, problems = apply_plan({}, [Patch(name="p", target="t", package="a")])
     assert out == {} and problems.first()["level"] == "error"
+
+
+@pytest.mark.parametrize("size", [32, 1 << 20])
+@pytest.mark.parametrize("layout", ["objects", "rows", "columns"])
+def test_json_documents_over_splits(spark, tmp_path, layout, size):
+    """Records of documents of any spacing, with brackets, quotes and backslashes in strings, against Python's parser; and the writer's documents, put together, are JSON."""
+    import json
+
+    rng = random.Random(size)
+    text = lambda: "".join(rng.choice(["a", "]", "}", "[", "{", '"', "\\", "\\\"", ",", "é", " "]) for _ in range(rng.randrange(8)))
+    table = [{"a": i, "b": text(), "c": [text(), {"d": text()}]} for i in range(80)]
+    whole = {"objects": table, "rows": [list(r.values()) for r in table], "columns": [[r[k] for r in table] for k in "abc"]}[layout]
+    (tmp_path / "one.json").write_text(json.dumps(whole, indent=rng.choice([None, 1]), ensure_ascii=False) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    spark.conf.set("spark.sql.files.openCostInBytes", 1)
+    try:
+        got = JD.records(spark, str(tmp_path / "one.json"), layout).orderBy("_line").collect()
+        assert [json.loads(r["value"]) for r in got] == whole and [r["_line"] for r in got] == list(range(1, len(whole) + 1)) and not any(r["problem"] for r in got)
+        df = spark.createDataFrame([(i, None if i % 7 == 0 else text(), i / 3) for i in range(50)], "a long, b string, c double").repartition(4)
+        path = tmp_path / "made"
+        JD.write_json(df, str(path), layout, "a")
+        made = json.loads("".join(p.read_text() for p in sorted(path.glob("part-*"))))
+        rows = [tuple(r) for r in df.orderBy("a").collect()]
+        assert made == {"objects": [{k: v for k, v in zip("abc", r, strict=True) if v is not None} for r in rows], "rows": [list(r) for r in rows], "columns": [list(x) for x in zip(*rows, strict=True)]}[layout]
+        back = TB.parse_json(spark, str(path), layout, TS.header(["a:long", "b:text|nil", "c:float"])).orderBy("_line")
+        assert [(r["a"], r["c"]) for r in back.collect()] == [(a, c) for a, _, c in rows] and [r["_line"] for r in back.collect()] == list(range(1, 51))
+        JD.write_json(df.limit(0), str(tmp_path / "none"), layout, "a")
+        assert TB.parse_json(spark, str(tmp_path / "none"), layout, TS.header(["a:long", "b:text|nil", "c:float"])).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")

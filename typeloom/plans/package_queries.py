@@ -15,6 +15,7 @@ from typeloom.operators.stable import place
 from typeloom.sources import customtypes as CT
 from typeloom.sources import files as FL
 from typeloom.sources import formats as FM
+from typeloom.sources import jsondocs as JD
 from typeloom.sources import lattice as LT
 from typeloom.sources import packages as PK
 from typeloom.sources import tables as TB
@@ -331,24 +332,19 @@ def sql_text_round_trip(spark, sf):
     return FL.read_inserts(FL.statements(spark, path), "documents", df.schema)
 
 
-@query("json_layouts", "SELECT n_nationkey, n_name, n_nationkey AS in_rows, n_name AS in_columns FROM nation")
+@query("json_layouts", "SELECT o_orderkey, o_orderstatus || '[' || chr(34) || '}' AS word, o_orderkey AS in_rows, o_totalprice AS price, o_orderstatus || '[' || chr(34) || '}' AS in_columns FROM orders")
 def json_layouts(spark, sf):
-    """One table as a JSON file of objects, of rows and of columns, each read back."""
-    columns = TS.header(["n_nationkey:long", "n_name:string"])
-    n = read(spark, sf, "nation").select("n_nationkey", "n_name")
-    texts = {
-        "objects": n.agg(F.to_json(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name")))).alias("value")),
-        "rows": n.agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda x: F.array(x["n_nationkey"].cast("string"), x["n_name"]))).alias("value")),
-        "columns": n.agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("x")).select(F.to_json(F.array(F.transform("x", lambda x: x["n_nationkey"].cast("string")), F.transform("x", lambda x: x["n_name"]))).alias("value")),
-    }
-    read_back = {}
-    for layout, text in texts.items():
+    """One table as a JSON document of objects, of rows and of columns, each written from ordered parts and read back in splits."""
+    columns = TS.header(["o_orderkey:long", "word:string", "price:float"])
+    o = read(spark, sf, "orders").select("o_orderkey", F.concat("o_orderstatus", F.lit('["}')).alias("word"), (c("o_totalprice") * 1.0).alias("price"))
+    back = {}
+    for layout in ("objects", "rows", "columns"):
         path = place(spark, "json")
-        text.coalesce(1).write.text(path)
-        read_back[layout] = TB.parse_json(spark, path, layout, columns)
-    out = read_back["objects"].select("n_nationkey", "n_name")
-    out = out.join(read_back["rows"].select("n_nationkey", c("n_nationkey").alias("in_rows")), "n_nationkey")
-    return out.join(read_back["columns"].select("n_nationkey", c("n_name").alias("in_columns")), "n_nationkey")
+        JD.write_json(o, path, layout, "o_orderkey")
+        back[layout] = TB.parse_json(spark, path, layout, columns)
+    out = back["objects"].select("_line", "o_orderkey", "word")
+    out = out.join(back["rows"].select("_line", c("o_orderkey").alias("in_rows"), "price"), "_line")
+    return out.join(back["columns"].select("_line", c("word").alias("in_columns")), "_line").drop("_line")
 
 
 _PART_TYPES = """p AS (SELECT p_partkey, p_type AS t1, p_type || '.' || p_brand AS t2, p_type || '.' || p_brand || '.' || p_size AS t3 FROM part),

@@ -17,6 +17,7 @@ from typeloom.operators import relational as R
 from typeloom.operators import validate as V
 from typeloom.operators.expression import compile_expression, in_order
 
+from . import jsondocs as JD
 from . import typespec as S
 
 ESCAPED = {"text", "asciitext", "markdown", "asciimarkdown"}
@@ -145,30 +146,25 @@ def is_triples(raw: DataFrame) -> bool:
 
 
 def parse_json(spark: SparkSession, path: str, layout: str, columns: list[S.Column], types: S.Types | None = None) -> DataFrame:
-    """A JSON file as objects ([{...}]), rows ([[...]]) or columns ([[...], ...]); absent and null values are empty. Text that is no such JSON, values past the header and missing columns are errors when the rows are read."""
+    """A JSON file as objects ([{...}]), rows ([[...]]) or columns ([[...], ...]); absent and null values are empty. Text that is no such JSON, values past the header and missing columns are errors
+    when the rows are read; jsondocs.records() gives them as rows."""
     types = types or S.Types()
-    whole = spark.read.text(path, wholetext=True)
-    fast = {"mode": "FAILFAST"}
-
-    def checked(problem, text: str) -> Column:
-        """The arrays of t; one with the problem is an error."""
-        return F.transform("t", lambda x: F.when(problem(x), F.raise_error(F.lit(f"{path}: {text}")).cast("array<string>")).otherwise(x))
-
+    found = JD.records(spark, path, layout)
+    text = F.when(F.col("problem").isNotNull(), F.raise_error(F.concat(F.lit(f"{path}: "), F.col("problem"))).cast("string")).otherwise(F.col("value"))
+    fast, array = {"mode": "FAILFAST"}, "array<string>"
     if layout == "objects":
-        shape = "array<struct<" + ",".join(f"`{c.name}`:string" for c in columns) + ">>"
-        rows = whole.select(F.posexplode(F.from_json("value", shape, fast)).alias("_line", "o"))
-        raw = rows.select((F.col("_line") + 1).cast("long").alias("_line"), F.array(*[F.coalesce(F.col(f"o.`{c.name}`"), F.lit("")) for c in columns]).alias("cells"))
-    elif layout == "rows":
-        found = whole.select(F.from_json("value", "array<array<string>>", fast).alias("t"))
-        rows = found.select(F.posexplode(checked(lambda x: F.size(x) > len(columns), "a row has more values than the header")).alias("_line", "r"))
-        raw = rows.select((F.col("_line") + 1).cast("long").alias("_line"), F.transform("r", lambda x: F.coalesce(x, F.lit(""))).alias("cells"))
-    else:
-        found = whole.select(F.from_json("value", "array<array<string>>", fast).alias("t"))
-        table = found.select(checked(lambda x: F.size("t") != len(columns), "not as many columns as the header has").alias("t"))
-        n = F.array_max(F.transform("t", lambda x: F.size(x)))
-        rows = table.select(F.posexplode(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform("t", lambda x: F.coalesce(F.try_element_at(x, i), F.lit(""))))).alias("_line", "cells"))
-        raw = rows.select((F.col("_line") + 1).cast("long").alias("_line"), "cells")
-    return typed(raw, columns, types)
+        rows = found.select("_line", F.from_json(text, "struct<" + ",".join(f"`{c.name}`:string" for c in columns) + ">", fast).alias("o"))
+        return typed(rows.select("_line", F.array(*[F.coalesce(F.col(f"o.`{c.name}`"), F.lit("")) for c in columns]).alias("cells")), columns, types)
+    rows = found.select("_line", F.from_json(text, array, fast).alias("x"))
+    if layout == "rows":
+        long = F.raise_error(F.lit(f"{path}: a row has more values than the header")).cast(array)
+        rows = rows.select("_line", F.when(F.size("x") > len(columns), long).otherwise(F.col("x")).alias("x"))
+        return typed(rows.select("_line", F.transform("x", lambda x: F.coalesce(x, F.lit(""))).alias("cells")), columns, types)
+    if (n := rows.count()) != len(columns):
+        raise ValueError(f"{path}: not as many columns as the header has, but {n}")
+    cells = rows.select(F.col("_line").alias("column"), F.posexplode("x").alias("pos", "cell")).groupBy("pos").agg(F.map_from_entries(F.collect_list(F.struct("column", "cell"))).alias("m"))
+    cells = cells.select((F.col("pos") + 1).cast("long").alias("_line"), F.array(*[F.coalesce(F.try_element_at("m", F.lit(i).cast("long")), F.lit("")) for i in range(1, n + 1)]).alias("cells"))
+    return typed(cells, columns, types)
 
 
 # -- writers --
