@@ -30,9 +30,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import discard, hash_sample, table, written
+from .common import discard, hash_sample, slices, table, written
 
 TRAIN_ROWS = 20_000
 #: Documents that must have a form (fewer, but 4, where 25 times as many toxic ones are not there), the share of them labelled toxic, lengths of beginnings, words that one must have.
@@ -213,36 +212,53 @@ def _fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def score(docs: DataFrame, training: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """doc_id, score, marks for each row of docs (doc_id, text); doc_id may be of any type, as a struct of all columns. labels (doc_id, toxic) names the rows of training (doc_id, text) to learn from."""
+def learn(training: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[dict[str, float], np.ndarray | None]:
+    """Lexicon and weights from the rows of training (doc_id, text) that labels (doc_id, toxic) name; no weights where nothing was learned."""
     chosen = hash_sample(labels.where("doc_id is not null and toxic is not null"), "doc_id", train_rows).groupBy("doc_id").agg(F.max("toxic").cast("long").alias("toxic"))
     labelled = training.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     lexicon = learn_lexicon(labelled)
+    if not lexicon:
+        return lexicon, None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(lexicon)
+        for b in slices(batches):
+            marks = [scorer.features(t.as_py()) for t in b.column("text")]
+            yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array(marks, pa.list_(pa.float64()))], names=["toxic", "marks"])
+
+    rows = labelled.select("toxic", "text").mapInArrow(run, "toxic long, marks array<double>").toPandas()
+    return lexicon, _fit(np.array(rows["marks"].tolist()), rows["toxic"].to_numpy(float))
+
 
-    def mapped(rows: DataFrame, extra: str, weights: np.ndarray | None) -> DataFrame:
-        names = ["doc_id", *([extra] if extra else [])]
+def _scores(features: list[list[float]], weights: np.ndarray | None) -> np.ndarray:
+    f = np.array(features).reshape(len(features), len(MARKS) + 3)
+    return np.zeros(len(f)) if weights is None else 1 / (1 + np.exp(-np.clip(f @ weights[:-1] + weights[-1], -30, 30)))
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            scorer = Scorer(lexicon)
-            for b in batches:
-                f = np.array([scorer.features(t.as_py()) for t in b.column("text")]).reshape(b.num_rows, len(MARKS) + 3)
-                s = np.zeros(b.num_rows) if weights is None else 1 / (1 + np.exp(-np.clip(f @ weights[:-1] + weights[-1], -30, 30)))
-                yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(s), pa.array(list(f), pa.list_(pa.float64()))], names=[*names, "score", "marks"])
 
-        types = {"doc_id": rows.schema["doc_id"].dataType, "toxic": T.LongType(), "score": T.DoubleType(), "marks": T.ArrayType(T.DoubleType())}
-        return rows.select(*names, "text").mapInArrow(run, T.StructType([T.StructField(n, types[n]) for n in (*names, "score", "marks")]))
+def score(docs: DataFrame, training: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """doc_id, score, marks for each row of docs (doc_id, text). labels (doc_id, toxic) names the rows of training (doc_id, text) to learn from."""
+    lexicon, weights = learn(training, labels, train_rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(lexicon)
+        for b in slices(batches):
+            marks = [scorer.features(t.as_py()) for t in b.column("text")]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(_scores(marks, weights)), pa.array(marks, pa.list_(pa.float64()))], names=["doc_id", "score", "marks"])
 
-    weights = None
-    if lexicon:
-        rows = mapped(labelled, "toxic", None).select("toxic", "marks").toPandas()
-        weights = _fit(np.array(rows["marks"].tolist()), rows["toxic"].to_numpy(float))
-    return mapped(docs, "", weights)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double, marks array<double>")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that score below threshold, with all their columns. labels (doc_id, toxic) names rows of docs to learn from."""
-    whole = docs.select(F.struct(*docs.columns).alias("doc_id"), "text")
-    return score(whole, docs, labels).where(F.col("score") < threshold).select("doc_id.*")
+    lexicon, weights = learn(docs, labels)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(lexicon)
+        for b in slices(batches):
+            yield b.filter(pa.array(_scores([scorer.features(t.as_py()) for t in b.column("text")], weights) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
