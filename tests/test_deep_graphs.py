@@ -91,3 +91,13 @@ def test_cut_keeps_repeated_names_and_columns_without_a_type(spark):
     df = spark.range(2).select("id", (F.col("id") + 1).alias("id"), (F.col("id") + 2).alias("a b.c"))
     assert G.cut(df).columns == df.columns and sorted(map(tuple, G.cut(df).collect())) == [(0, 1, 2), (1, 2, 3)]
     assert G.cut(spark.range(1).select(F.lit(None).alias("n"))).first()["n"] is None
+
+
+def test_rounds_broadcast_nothing(spark, monkeypatch):
+    """What each round broadcasts adds up in the driver."""
+    plans, real = [], G.cut
+    monkeypatch.setattr(G, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or real(df))
+    links = spark.range(1, 40).select(F.floor(F.col("id") / 2).alias("src"), F.col("id").alias("dst"), F.lit(0).cast("long").alias("pos"))
+    assert G.ancestors(links, spark.createDataFrame([(39,)], "node long")).count() == 6
+    assert G._contracted(links.select(F.col("dst").alias("node"), F.col("src").alias("up"), F.lit(1).alias("w"), F.lit(0).alias("c"))).where("not held and up = 0").count() == 39
+    assert len(plans) > 10 and not any("BroadcastHashJoin" in p for p in plans)

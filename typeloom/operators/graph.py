@@ -1,7 +1,7 @@
 """Graphs in adjacency-list columns: completion, checks, traversal, layers.
 
-Reachability and ways are frontier loops of equi-joins; each round is checkpointed in spark.checkpoint.dir (reliable storage), so plans stay short
-and a lost executor costs one round. Visited nodes leave the frontier, so cycles end them. Layers, cycles and pre-order do not
+Reachability and ways are frontier loops of equi-joins; each round is written to spark.checkpoint.dir (reliable storage), so plans stay short
+and a lost executor costs one round. Joins of rounds are merge joins: a broadcast a round would add up in the driver. Visited nodes leave the frontier, so cycles end them. Layers, cycles and pre-order do not
 walk level by level: runs of nodes with one parent are contracted by pointer doubling, and the pre-order of a forest is the rank of its edges on an Euler tour, so a chain
 of n nodes takes about log2(n) rounds. Pre-order of other graphs is sequential by nature and made inside the group of one start node, whose size the caller bounds.
 """
@@ -121,8 +121,8 @@ def bfs(edges: DataFrame, starts: DataFrame, max_depth: int | None = None) -> Da
     frontier, depth = seen, 0
     while max_depth is None or depth < max_depth:
         depth += 1
-        step = frontier.join(e, frontier["node"] == e["src"]).select("start", F.col("dst").alias("node")).distinct()
-        frontier = cut(step.join(seen, ["start", "node"], "left_anti").withColumn("depth", F.lit(depth)))
+        step = frontier.join(e.hint("merge"), frontier["node"] == e["src"]).select("start", F.col("dst").alias("node")).distinct()
+        frontier = cut(step.join(seen.hint("merge"), ["start", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
         seen = cut(seen.unionByName(frontier))
@@ -142,8 +142,8 @@ def _first_way(e: DataFrame, paths: DataFrame, goal, max_depth: int | None = Non
     seen, depth = paths.select("node"), 0
     while (max_depth is None or depth < max_depth) and paths.where(F.col("node") == F.lit(goal)).isEmpty():
         depth += 1
-        step = paths.join(e, paths["node"] == e["src"]).select(F.col("dst").alias("node"), F.array_append("path", F.col("dst")).alias("path"))
-        paths = cut(step.join(seen, "node", "left_anti").groupBy("node").agg(F.min("path").alias("path")))
+        step = paths.join(e.hint("merge"), paths["node"] == e["src"]).select(F.col("dst").alias("node"), F.array_append("path", F.col("dst")).alias("path"))
+        paths = cut(step.join(seen.hint("merge"), "node", "left_anti").groupBy("node").agg(F.min("path").alias("path")))
         if paths.isEmpty():
             break
         seen = cut(seen.unionByName(paths.select("node")))
@@ -163,7 +163,7 @@ def in_cycles(edges: DataFrame) -> DataFrame:
     e = cut(edges.select("src", "dst").distinct())
     for src, dst in (("src", "dst"), ("dst", "src")):
         nodes = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
-        free = layers(nodes, e.select(F.col(src).alias("src"), F.col(dst).alias("dst"))).select(F.col("node").alias("src"))
+        free = layers(nodes, e.select(F.col(src).alias("src"), F.col(dst).alias("dst"))).select(F.col("node").alias("src")).hint("merge")
         e = cut(e.join(free, "src", "left_anti").join(free.withColumnRenamed("src", "dst"), "dst", "left_anti").select("src", "dst"))
     return e
 
@@ -185,22 +185,19 @@ def is_acyclic(edges: DataFrame) -> bool:
 
 
 def _contracted(f: DataFrame) -> DataFrame:
-    """f (node, up, w, c: the node's layer is max(c, up's layer + w)) with up beyond all nodes of f, by pointer doubling. Nodes on cycles of f, and those hanging from them, keep an up in f."""
+    """f (node, up, w, c: the node's layer is max(c, up's layer + w)) with up beyond all nodes of f, by pointer doubling, and held: whether up is still in f, as it is on cycles of f and below them.
+
+    Rows that have come to their end join no more, so that no round gathers all rows below one node."""
     n, span = f.count(), 1
-    f = cut(f.withColumn("go", F.lit(True)))
-    while span <= 2 * n:
-        step = f.select(F.col("node").alias("up"), F.col("up").alias("up_up"), F.col("w").alias("up_w"), F.col("c").alias("up_c"))
-        moved = f.where("go").join(step, "up", "left")
-        on = F.col("up_up").isNotNull()
-        moved = moved.select(
-            "node", F.coalesce("up_up", "up").alias("up"), F.when(on, F.col("w") + F.col("up_w")).otherwise(F.col("w")).alias("w"),
-            F.when(on, F.greatest("c", F.col("up_c") + F.col("w"))).otherwise(F.col("c")).alias("c"), on.alias("go"),
-        )
-        f = cut(f.where("not go").unionByName(moved))
-        if f.where("go").isEmpty():
-            break
+    inner = f.select(F.col("node").alias("up"), F.lit(True).alias("held"))
+    f = cut(f.join(inner.hint("merge"), "up", "left").select("node", "up", "w", "c", F.coalesce("held", F.lit(False)).alias("held")))
+    while span <= 2 * n and not f.where("held").isEmpty():
+        step = f.select(F.col("node").alias("up"), F.col("up").alias("up_up"), F.col("w").alias("up_w"), F.col("c").alias("up_c"), F.col("held").alias("up_held"))
+        moved = f.where("held").join(step.hint("merge"), "up")
+        moved = moved.select("node", F.col("up_up").alias("up"), (F.col("w") + F.col("up_w")).alias("w"), F.greatest("c", F.col("up_c") + F.col("w")).alias("c"), F.col("up_held").alias("held"))
+        f = cut(f.where("not held").unionByName(moved))
         span *= 2
-    return f.drop("go")
+    return f
 
 
 def layers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -212,29 +209,28 @@ def layers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     e = cut(edges.select("src", "dst", F.lit(1).alias("w")).distinct())
     aside, done, stuck = [], None, None
     while True:
-        single = e.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n"), F.min("src").alias("up"), F.min("w").alias("w")).where("n = 1").drop("n").join(left, "node")
-        single = cut(single if stuck is None else single.join(stuck, "node", "left_anti"))
+        single = e.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n"), F.min("src").alias("up"), F.min("w").alias("w")).where("n = 1").drop("n").join(left.hint("merge"), "node")
+        single = cut(single if stuck is None else single.join(stuck.hint("merge"), "node", "left_anti"))
         if not single.isEmpty():
             f = _contracted(single)
-            f = cut(f.join(single.select(F.col("node").alias("up"), F.lit(True).alias("held")), "up", "left"))
-            more, f = f.where("held").select("node"), f.where("held is null").drop("held")
+            more, f = f.where("held").select("node"), f.where("not held").drop("held")
             stuck = more if stuck is None else cut(stuck.union(more))
             aside.append(f)
-            left = left.join(f.select("node"), "node", "left_anti")
-            e = e.join(f.select(F.col("node").alias("dst")), "dst", "left_anti")
-            links = e.join(f.select(F.col("node").alias("src"), "up", F.col("w").alias("up_w"), F.col("c").alias("up_c")), "src", "left")
+            left = left.join(f.select("node").hint("merge"), "node", "left_anti")
+            e = e.join(f.select(F.col("node").alias("dst")).hint("merge"), "dst", "left_anti")
+            links = e.join(f.select(F.col("node").alias("src"), "up", F.col("w").alias("up_w"), F.col("c").alias("up_c")).hint("merge"), "src", "left")
             links = cut(links.select(F.coalesce("up", "src").alias("src"), "dst", (F.col("w") + F.coalesce("up_w", F.lit(0))).alias("w"), (F.col("up_c") + F.col("w")).alias("least")))
             least = links.groupBy(F.col("dst").alias("node")).agg(F.max("least").alias("least"))
-            left = cut(left.join(least, "node", "left").select("node", F.greatest("c", F.coalesce("least", F.lit(0))).alias("c")))
+            left = cut(left.join(least.hint("merge"), "node", "left").select("node", F.greatest("c", F.coalesce("least", F.lit(0))).alias("c")))
             e = cut(links.groupBy("src", "dst").agg(F.max("w").alias("w")))
-        ready = cut(left.join(e.select(F.col("dst").alias("node")).distinct(), "node", "left_anti"))
+        ready = cut(left.join(e.select(F.col("dst").alias("node")).distinct().hint("merge"), "node", "left_anti"))
         if ready.isEmpty():
             break
         done = ready if done is None else cut(done.union(ready))
-        pushed = e.join(ready.select(F.col("node").alias("src"), "c"), "src").groupBy(F.col("dst").alias("node")).agg(F.max(F.col("c") + F.col("w")).alias("least"))
-        left = left.join(ready.select("node"), "node", "left_anti").join(pushed, "node", "left")
+        pushed = e.join(ready.select(F.col("node").alias("src"), "c").hint("merge"), "src").groupBy(F.col("dst").alias("node")).agg(F.max(F.col("c") + F.col("w")).alias("least"))
+        left = left.join(ready.select("node").hint("merge"), "node", "left_anti").join(pushed.hint("merge"), "node", "left")
         left = cut(left.select("node", F.greatest("c", F.coalesce("least", F.lit(0))).alias("c")))
-        e = cut(e.join(ready.select(F.col("node").alias("src")), "src", "left_anti"))
+        e = cut(e.join(ready.select(F.col("node").alias("src")).hint("merge"), "src", "left_anti"))
     done = left.limit(0) if done is None else done
     for f in reversed(aside):
         below = f.join(done.select(F.col("node").alias("up"), F.col("c").alias("up_c")), "up")
@@ -257,10 +253,10 @@ def preorder(edges: DataFrame) -> DataFrame:
     down that follow each step to the end of the tour are counted by pointer doubling; siblings follow each other in the numbered edges, so no node's children are gathered."""
     at = cut(numbered(edges.select("src", "dst", "pos"), ["src", "pos", "dst"], "_n"))
     following = at.select(F.col("src").alias("n_src"), F.col("dst").alias("n_dst"), (F.col("_n") - 1).alias("_n"))
-    at = at.join(following, "_n", "left").select("src", "dst", "_n", F.when(F.col("src") == F.col("n_src"), F.col("n_dst")).alias("sibling"))
+    at = at.join(following.hint("merge"), "_n", "left").select("src", "dst", "_n", F.when(F.col("src") == F.col("n_src"), F.col("n_dst")).alias("sibling"))
     first = at.groupBy(F.col("src").alias("dst")).agg(F.min_by("dst", "_n").alias("child"))
     above = at.select(F.col("dst").alias("src"), F.lit(True).alias("inner"))
-    tour = at.join(first, "dst", "left").join(above, "src", "left")
+    tour = at.join(first.hint("merge"), "dst", "left").join(above.hint("merge"), "src", "left")
     yes, no, none = F.lit(True), F.lit(False), F.lit(None).cast("boolean")
     down = F.struct(F.col("dst").alias("node"), no.alias("up"), F.coalesce("child", "dst").alias("to"), F.col("child").isNull().alias("to_up"), F.lit(1).cast("long").alias("n"), F.lit(None).cast(at.schema["src"].dataType).alias("root"))
     last = F.col("sibling").isNull() & F.col("inner").isNull()
@@ -269,7 +265,7 @@ def preorder(edges: DataFrame) -> DataFrame:
     t = cut(tour.select(F.inline(F.array(down, up))))
     while not t.where("root is null").isEmpty():
         step = t.select(F.col("node").alias("to"), F.col("up").alias("to_up"), F.col("to").alias("next"), F.col("to_up").alias("next_up"), F.col("n").alias("more"), F.col("root").alias("end"))
-        moved = t.where("root is null").join(step, ["to", "to_up"])
+        moved = t.where("root is null").join(step.hint("merge"), ["to", "to_up"])
         t = cut(t.where("root is not null").unionByName(moved.select("node", "up", F.col("next").alias("to"), F.col("next_up").alias("to_up"), (F.col("n") + F.col("more")).alias("n"), F.col("end").alias("root"))))
     ends = t.groupBy("node").agg(F.max("root").alias("root"), F.max("n").alias("left"), F.min("n").alias("after"))
     whole = cut(ends)
