@@ -281,7 +281,8 @@ def dfs(edges: DataFrame, starts: DataFrame) -> DataFrame:
     nature: the edges a start reaches are then walked in that start's group."""
     edges = cut(edges.select("src", "dst", "pos").where("src is not null and dst is not null"))
     once = edges.groupBy("dst").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
-    if once and not edges.isEmpty() and in_cycles(edges).isEmpty():
+    above = edges.select(F.col("dst").alias("node"), F.col("src").alias("up"), F.lit(1).alias("w"), F.lit(0).alias("c"))
+    if once and not edges.isEmpty() and _contracted(above).where("held").isEmpty():
         placed = cut(preorder(edges))
         begun = starts.select(F.col("node").alias("start")).distinct()
         own = begun.join(placed, F.col("start") == F.col("node")).select("start", "root", F.col("at").alias("_from"), (F.col("at") + F.col("size")).alias("_to"))
