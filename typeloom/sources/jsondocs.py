@@ -92,11 +92,12 @@ def records(spark: SparkSession, path: str, layout: str) -> DataFrame:
     depth = F.col("_deep") + F.when(F.col("_begin") == 0, F.col("_s0")).otherwise(F.col("_s1"))
     outside = (F.col("_begin") + F.col("_odd") + F.col("_flip")) % 2 == 0
     pieces = pieces.select("_doc", "_file", "_block", "_at", "value", "_bare", depth.alias("_depth"), (outside & (depth == 1) & ~F.col("_bare")).alias("_ends"))
-    # a record is named by the piece that ends it
+    # a record is named by the piece that ends it; backwards, as a frame up to the end of the split would be read anew for each row
+    back = Window.partitionBy("_doc", "_file", "_block").orderBy(F.desc("_at"))
     own = F.when(F.col("_ends"), F.struct("_file", "_block", "_at"))
-    pieces = cut(pieces.select("*", F.first(own, ignorenulls=True).over(split.rowsBetween(0, Window.unboundedFollowing)).alias("_to")))
+    pieces = cut(pieces.select("*", F.last(own, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0)).alias("_to")))
     later = pieces.groupBy("_doc", "_file", "_block").agg(F.min(own).alias("_own"))
-    later = later.select("_doc", "_file", "_block", F.first("_own", ignorenulls=True).over(Window.partitionBy("_doc").orderBy("_file", "_block").rowsBetween(1, Window.unboundedFollowing)).alias("_next"))
+    later = later.select("_doc", "_file", "_block", F.last("_own", ignorenulls=True).over(Window.partitionBy("_doc").orderBy(F.desc("_file"), F.desc("_block")).rowsBetween(Window.unboundedPreceding, -1)).alias("_next"))
     pieces = pieces.join(later, ["_doc", "_file", "_block"]).withColumn("_to", F.coalesce("_to", "_next"))
     # a part file's end and the next one's begin are one piece: no bracket stood there
     part = F.struct("_file", "_block", "_at", F.concat("value", F.when(F.col("_bare"), "").otherwise(closing)).alias("value"))
