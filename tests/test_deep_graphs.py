@@ -101,3 +101,14 @@ def test_rounds_broadcast_nothing(spark, monkeypatch):
     assert G.ancestors(links, spark.createDataFrame([(39,)], "node long")).count() == 6
     assert G._contracted(links.select(F.col("dst").alias("node"), F.col("src").alias("up"), F.lit(1).alias("w"), F.lit(0).alias("c"))).where("not held and up = 0").count() == 39
     assert len(plans) > 10 and not any("BroadcastHashJoin" in p for p in plans)
+
+
+def test_a_cycle_is_found_without_its_nodes_in_the_driver(spark, monkeypatch):
+    """2 and 3 lie between the cycles 7 > 9 and 4 > 5: only least nodes come to the driver, one by one, and nothing is broadcast."""
+    plans, real, frame = [], G.cut, type(spark.range(1))
+    monkeypatch.setattr(G, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or real(df))
+    monkeypatch.setattr(frame, "toLocalIterator", lambda *a, **b: pytest.fail("nodes in the driver"))
+    links = [(7, 9), (9, 7), (9, 2), (2, 3), (3, 4), (4, 5), (5, 4), (6, 7)]
+    assert G.find_cycle(graph(spark, links).select("src", "dst")).first()["path"] == [4, 5, 4]
+    assert G.find_cycle(graph(spark, [(1, 2), (2, 3)]).select("src", "dst")).isEmpty()
+    assert not any("BroadcastHashJoin" in p for p in plans)

@@ -171,12 +171,14 @@ def in_cycles(edges: DataFrame) -> DataFrame:
 def find_cycle(edges: DataFrame) -> DataFrame:
     """path of one cycle (its first node again at the end), or no row: the shortest way back to the smallest node on a cycle."""
     e = in_cycles(edges)
-    node = e.join(e.select(F.col("src").alias("s"), F.col("dst").alias("d")), (F.col("dst") == F.col("s"))).select("src")
-    for row in node.distinct().orderBy("src").toLocalIterator():
-        first = cut(e.where(F.col("src") == F.lit(row["src"])).select(F.col("dst").alias("node"), F.array("src", "dst").alias("path")))
-        back = _first_way(e, first, row["src"])
+    node = cut(e.join(e.select(F.col("dst").alias("src")).distinct().hint("merge"), "src", "left_semi").select("src").distinct())
+    # one node at a time comes to the driver: those before the first on a cycle lie between two cycles
+    while (least := node.agg(F.min("src").alias("src")).first()["src"]) is not None:
+        first = cut(e.where(F.col("src") == F.lit(least)).select(F.col("dst").alias("node"), F.array("src", "dst").alias("path")))
+        back = _first_way(e, first, least)
         if not back.isEmpty():
             return back.select("path")
+        node = node.where(F.col("src") > F.lit(least))
     return e.select(F.array("src").alias("path")).limit(0)
 
 
@@ -233,7 +235,7 @@ def layers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         e = cut(e.join(ready.select(F.col("node").alias("src")).hint("merge"), "src", "left_anti"))
     done = left.limit(0) if done is None else done
     for f in reversed(aside):
-        below = f.join(done.select(F.col("node").alias("up"), F.col("c").alias("up_c")), "up")
+        below = f.join(done.select(F.col("node").alias("up"), F.col("c").alias("up_c")).hint("merge"), "up")
         done = cut(done.union(below.select("node", F.greatest("c", F.col("up_c") + F.col("w")).alias("c"))))
     return done.select("node", F.col("c").cast("int").alias("layer"))
 
