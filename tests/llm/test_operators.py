@@ -608,6 +608,19 @@ def test_foreign_texts_are_rejected(spark, docs):
     assert sum(r["rejected"] for r in own) <= 0.1 * len(own)
 
 
+def test_models_count_all_rows_and_bounds_come_from_a_whole_fold(spark, monkeypatch):
+    """A language whose only row lies in the fold is learned; all rows of the fold are scored for the bounds, by models without them."""
+    from typeloom.llm import lang_id as li
+
+    ids = spark.range(200).select("id", ((F.pmod(F.xxhash64("id"), F.lit(li.FOLDS)) == 0)).alias("fold")).collect()
+    inside, outside = [r["id"] for r in ids if r["fold"]], [r["id"] for r in ids if not r["fold"]]
+    rows = [(i, "aa", "some words of the first tongue") for i in (*inside[1:], *outside)] + [(inside[0], "zz", "zvox qvarn zvix qvol")]
+    seen, real = [], li._scored
+    monkeypatch.setattr(li, "_scored", lambda r, rounds: seen.append((r.count(), {m[0] for x in rounds for m in x.value})) or real(r, rounds))
+    out = li.identify(spark.createDataFrame([(1, "zvox qvarn zvix")], "doc_id long, text string"), spark.createDataFrame(rows, "doc_id long, lang string, text string"))
+    assert out.first()["lang_pred"] == "zz" and seen == [(len(inside), {"aa"}), (1, {"aa", "zz"})]
+
+
 @pytest.mark.parametrize("size", [1, 3, 50])
 def test_slices_change_nothing(spark, monkeypatch, size):
     """Grams across the borders of slices are counted and scored once, whatever the slices' size."""
