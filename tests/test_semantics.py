@@ -427,3 +427,24 @@ def test_patch_targets():
     assert resolve("place.tsv", tables) == ("y/Place.tsv", "") and resolve("none", tables)[0] is None
     assert resolve("item.tsv", tables) == ("x/Item.tsv", "one of 2 tables of that name") and resolve("y:ITEM.tsv", tables, packages) == ("y/item.tsv", "")
     assert resolve("z:item.tsv", tables, packages)[0] is None and resolve("y:item.tsv", tables)[0] is None
+
+
+def test_rows_beside_are_found_across_ranges(spark):
+    """Next and last row by order, nulls among the values and gaps between ranges included; no task gathers all rows."""
+    rows = [(3 * i, None if i % 7 == 0 else f"v{i}") for i in range(200)]
+    df = spark.createDataFrame(rows, "k long, v string").repartition(5)
+    for before, step in ((False, 1), (True, -1)):
+        out = R.beside(df, "k", "v", "other", before)
+        want = {k: rows[i + step][1] if 0 <= i + step < len(rows) else None for i, (k, _) in enumerate(rows)}
+        assert {r["k"]: r["other"] for r in out.collect()} == want and out.columns == ["k", "v", "other"]
+    assert R.beside(df.limit(0), "k", "v", "other").count() == 0
+    assert R.beside(df.limit(1), "k", "v", "other").first()["other"] is None
+
+
+@pytest.mark.parametrize("name", ["compare_tuples", "join_targets"])
+def test_no_window_gathers_a_table(spark, sf, name):
+    from typeloom.plans.catalog import QUERIES
+
+    plan = QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    windows = [x for x in plan.splitlines() if "Window [" in x]
+    assert windows and all("_part" in x for x in windows)

@@ -136,20 +136,35 @@ def ci_key(c: Column) -> Column:
     return F.lower(c.cast("string"))
 
 
+def _dealt(df: DataFrame, keys: list[str]) -> DataFrame:
+    """df in ranges of the keys, with the range as _part. Ranges are drawn from a sample, so the dealt rows are kept: all that is counted by range must come from one draw."""
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut(df.repartitionByRange(tasks, *keys).withColumn("_part", F.spark_partition_id()))
+
+
 def numbered(df: DataFrame, order: str | list[str], name: str = "row_index", partition: str | list[str] | None = None) -> DataFrame:
     """1-based row numbers by order. Without a partition all rows are counted in two levels: ranges of the order, then rows within."""
     keys = order_of(df, order)
     if partition:
         return df.withColumn(name, F.row_number().over(Window.partitionBy(*order_of(df, partition)).orderBy(*keys)).cast("long"))
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # ranges are drawn from a sample, so the dealt rows are kept: counts and ranks must come from one draw
-    ranged = cut(df.repartitionByRange(tasks, *keys).withColumn("_part", F.spark_partition_id()))
+    ranged = _dealt(df, keys)
     sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
     before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
     inside = ranged.withColumn("_rank", F.row_number().over(Window.partitionBy("_part").orderBy(*keys)))
     return inside.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_rank")).drop("_part", "_rank", "_before")
 
 
+def beside(df: DataFrame, order: str | list[str], column: str, name: str, before: bool = False) -> DataFrame:
+    """df with the column's value in the next row by order (or the one before) under a name, null at the end. Each range looks within itself; one row a range gives what stands beyond its border."""
+    keys = order_of(df, order)
+    ranged = _dealt(df, keys)
+    edge, look = (F.max_by, F.lag) if before else (F.min_by, F.lead)
+    within, along = Window.partitionBy("_part").orderBy(*keys), Window.orderBy("_part")
+    borders = ranged.groupBy("_part").agg(edge(F.struct(F.col(column).alias("v")), F.struct(*keys)).alias("_edge")).select("_part", look("_edge").over(along).alias("_edge"))
+    rows = ranged.withColumn("_own", look(F.struct(F.col(column).alias("v"))).over(within)).join(F.broadcast(borders), "_part")
+    return rows.withColumn(name, F.coalesce("_own", "_edge")["v"]).drop("_part", "_own", "_edge")
+
+
 def running(df: DataFrame, partition: list[str], order: str | list[str], column: str, kind: str, name: str) -> DataFrame:
     """A running sum, min, max or count over the rows so far."""
     w = Window.partitionBy(*partition).orderBy(*order_of(df, order)).rowsBetween(Window.unboundedPreceding, 0)

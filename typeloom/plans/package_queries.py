@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,7 +41,7 @@ def compare_sequences(spark, sf):
 )
 def compare_tuples(spark, sf):
     kind = T.StructType([T.StructField("_1", T.StringType()), T.StructField("_2", T.DoubleType())])
-    df = read(spark, sf, "events").withColumn("next", F.lead("event_type").over(Window.orderBy("event_id")))
+    df = R.beside(read(spark, sf, "events").select("event_id", "event_type", "value", "user_id"), "event_id", "event_type", "next")
     a = F.struct(F.when(c("event_id") % 5 > 0, F.upper("event_type")).alias("_1"), c("value").cast("double").alias("_2"))
     b = F.struct(F.when(c("event_id") % 3 > 0, c("next")).alias("_1"), c("user_id").cast("double").alias("_2"))
     both_null = a["_1"].isNull() & b["_1"].isNull()
@@ -139,7 +138,7 @@ def join_targets(spark, sf):
     k = c("p_partkey")
     path = lambda t, x: F.concat(t, F.lit("/"), x.cast("string"))
     own = F.when(k % 4 == 1, F.lit("nowhere")).when(k % 4 == 2, F.upper(path(c("p_type"), k))).when(k % 4 == 3, c("before"))
-    named = read(spark, sf, "part").select(k, "p_type", path(c("p_type"), k).alias("path"), F.lag(path(c("p_type"), k)).over(Window.orderBy("p_partkey")).alias("before"))
+    named = R.beside(read(spark, sf, "part").select(k, "p_type", path(c("p_type"), k).alias("path")), "p_partkey", "path", "before", before=True)
     return PK.join_target_problems(named.select("path", own.alias("join_into")))
 
 

@@ -60,7 +60,7 @@ def exported(catalog: DataFrame) -> DataFrame:
 
 def join_target_problems(catalog: DataFrame) -> DataFrame:
     """Joins into a file that is not there, into itself, or into one that is joined itself."""
-    files = catalog.select(F.lower("path").alias("_p"), (F.coalesce("join_into", F.lit("")) != "").alias("_chained"))
+    files = catalog.select(F.lower("path").alias("_p"), (F.coalesce("join_into", F.lit("")) != "").alias("_chained")).hint("merge")  # as long as the catalog: small files hold large tables
     both = catalog.where(F.coalesce("join_into", F.lit("")) != "").join(files, F.lower("join_into") == F.col("_p"), "left")
     problem = F.when(F.col("_p").isNull(), "joins into an unknown file").when(F.lower("path") == F.lower("join_into"), "joins into itself").when(F.col("_chained"), "joins into a joined file")
     return _problems(both.where(problem.isNotNull()), "path", problem)
