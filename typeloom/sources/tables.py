@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from typeloom.functions.codecs import from_literal, to_literal
+from typeloom.functions.codecs import from_literal, literal_json, plain_json, to_literal
 from typeloom.functions.strings import unescape_text
 from typeloom.operators import relational as R
 from typeloom.operators import validate as V
@@ -71,8 +71,10 @@ def cell(c: Column, column: S.Column, types: S.Types) -> Column:
 def _nested(text: Column, sequence: bool) -> Column:
     """JSON text of a container's cell: JSON itself, a table literal with its braces, or one without them (a,b or k=v)."""
     braced = F.when(text.rlike("(?s)^\\s*[{].*[}]\\s*\\z"), text).otherwise(F.concat(F.lit("{"), text, F.lit("}")))
-    is_json = F.try_parse_json(text).isNotNull() & text.rlike("(?s)^\\s*\\[" if sequence else "(?s)^\\s*[\\[{]")
-    return F.when(is_json, text).otherwise(from_literal(F.when(~is_json, braced)))
+    # texts that do not begin as JSON are not parsed, as each failure costs an exception
+    is_json = F.when(text.rlike("^\\s*\\[" if sequence else "^\\s*(?:\\[|[{]\\s*[\"}])"), F.try_parse_json(text).isNotNull()).otherwise(False)
+    plain = plain_json(text)  # never JSON itself
+    return F.coalesce(plain, F.when(is_json, text).otherwise(literal_json(F.when(plain.isNull() & ~is_json, braced))))
 
 
 def nested_value(text: Column, kind: T.DataType) -> Column:
@@ -93,7 +95,9 @@ def nested_value(text: Column, kind: T.DataType) -> Column:
 def typed(raw: DataFrame, columns: list[S.Column], types: S.Types | None = None, names: dict[str, Column] | None = None, keep: list[str] | None = None) -> DataFrame:
     """Typed columns (and _line, and those of keep) of raw rows (_line, cells); defaults that are expressions come last, in dependency order."""
     types = types or S.Types()
-    out = raw.select("_line", *(keep or []), *[cell(F.try_element_at("cells", F.lit(i + 1)), c, types).alias(c.name) for i, c in enumerate(columns)])
+    # the cells as columns first, behind a generator of one row: the optimiser would put what makes a cell in wherever it is read, a hundred times for a container
+    cells = raw.select("_line", *(keep or []), F.inline(F.array(F.struct(*[F.get("cells", F.lit(i)).alias(f"_cell{i}") for i in range(len(columns))]))))
+    out = cells.select("_line", *(keep or []), *[cell(F.col(f"_cell{i}"), c, types).alias(c.name) for i, c in enumerate(columns)])
     computed = {c.name: c.default for c in columns if c.default and c.default.startswith("=")}
     for name in in_order(computed, [c.name for c in columns]) if computed else []:
         kind = types.spark(next(c.spec for c in columns if c.name == name))
@@ -173,7 +177,7 @@ def parse_json(spark: SparkSession, path: str, layout: str, columns: list[S.Colu
 def cell_text(c: Column, kind: T.DataType, nested: str = "json") -> Column:
     """A value as a text cell: null is empty, containers are JSON (plain or typed) or table literals, floats keep a point."""
     if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
-        return F.coalesce(to_literal(c) if nested == "literal" else F.to_json(c), F.lit(""))
+        return F.coalesce(to_literal(c, kind) if nested == "literal" else F.to_json(c), F.lit(""))
     return F.coalesce(c.cast("string"), F.lit(""))
 
 
