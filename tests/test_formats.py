@@ -33,6 +33,31 @@ def test_odd_texts_come_back(spark, tmp_path, kind):
     assert FM.round_trip_problems(df, back, "id").isEmpty()
 
 
+@pytest.mark.parametrize("kind", FM.FORMATS)
+def test_compressed_files_come_back(spark, tmp_path, kind):
+    df = spark.createDataFrame([(i, t, "'\n" * i) for i, t in enumerate(ODD)], "id long, a string, b string").repartition(3)
+    path = str(tmp_path / kind)
+    FM.write(df, path, kind, compression="gzip")
+    assert all(p.name.endswith(".gz") for p in (tmp_path / kind).glob("part-*"))
+    back = FM.read(spark, path, TS.header(["id:long", "a:string", "b:string"]), kind)
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
+
+
+def test_long_texts_are_compared_but_not_shuffled(spark):
+    long = "x" * 100_000
+    before = [(1, long, b"a" * 65, 1.0), (2, long, b"a" * 64, 1.0), (3, "é" * 32, b"", 1.0), (4, "", None, 1.0), (5, None, None, None), (6, "y" * 65, b"b", 1.0), (7, "same" * 50, b"c" * 99, 0.5), (8, "gone", None, 1.0)]
+    after = [(1, long[:-1] + "y", b"a" * 65, 1.0), (2, long, b"a" * 63 + b"b", 1.0), (3, "é" * 32 + "x", b"", 1.0), (4, None, b"", 1.0), (5, "", None, None), (6, "y" * 64, b"b", 2.0), (7, "same" * 50, b"c" * 99, 0.5), (9, "new", None, 1.0)]
+    schema = "id long, t string, b binary, d double"
+    out = FM.round_trip_problems(spark.createDataFrame(before, schema), spark.createDataFrame(after, schema), "id")
+    assert sorted((r["key"], r["column"] or "") for r in out.collect()) == [("1", "t"), ("2", "b"), ("3", "t"), ("4", "b"), ("4", "t"), ("5", "t"), ("6", "d"), ("6", "t"), ("8", ""), ("9", "")]
+    node = out._jdf.queryExecution().optimizedPlan()
+    while node.nodeName() != "Join":
+        node = node.children().head()
+    for i in (0, 1):
+        output = node.children().apply(i).output()
+        assert {"string", "binary"}.isdisjoint(output.apply(k).dataType().simpleString() for k in range(output.size()))
+
+
 def test_one_column_of_texts(spark, tmp_path):
     df = spark.createDataFrame([("",), (None,), ("x",), ("",)], "a string")
     for kind in ("tsv", "jsonl", "typed_jsonl", "sql"):

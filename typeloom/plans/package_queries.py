@@ -405,7 +405,7 @@ def format_round_trips(spark, sf):
     out = None
     for kind in FM.FORMATS:
         path = place(spark, kind)
-        FM.write(df, path, kind)
+        FM.write(df, path, kind, compression="gzip")
         back = FM.read(spark, path, columns, kind)
         problems = FM.round_trip_problems(df, back, "doc_id").agg(F.count("*").alias("problems"))
         text = c("text")

@@ -89,23 +89,27 @@ def _typed(rows: DataFrame, columns: list[S.Column], types: S.Types | None) -> D
     return out.select(*[F.col(f"_text{i}").alias(c.name) if i in plain else F.col(f"`{c.name}`") for i, c in enumerate(columns)])
 
 
-def write(df: DataFrame, path: str, kind: str | None = None, table: str = "table") -> None:
-    """df in a format (default: by the path's extension). Triples take their entity from the first column."""
+def write(df: DataFrame, path: str, kind: str | None = None, table: str = "table", compression: str = "none") -> None:
+    """df in a format (default: by the path's extension). Triples take their entity from the first column. Part files that are compressed are read whole, one a task."""
     kind = kind or kind_of(path)
+
+    def put(lines: DataFrame) -> None:
+        lines.write.option("compression", compression).text(path)
+
     if kind in ("tsv", "literal_tsv"):
-        df.select(F.concat_ws("\t", *_cells(df, "literal" if kind == "literal_tsv" else "json")).alias("value")).write.text(path)
+        put(df.select(F.concat_ws("\t", *_cells(df, "literal" if kind == "literal_tsv" else "json")).alias("value")))
     elif kind == "eav":
         key, first = df.columns[:2]
         triples = R.unpivot(df.select(*_cells(df)), key, skip_empty=False)  # the first cell is written even if empty, so that no row goes
-        triples.where((F.col("value") != "") | (F.col("attribute") == first)).select(F.concat_ws("\t", "entity", "attribute", "value").alias("value")).write.text(path)
+        put(triples.where((F.col("value") != "") | (F.col("attribute") == first)).select(F.concat_ws("\t", "entity", "attribute", "value").alias("value")))
     elif kind == "jsonl":
-        TB.natural_json(df).write.text(path)
+        put(TB.natural_json(df))
     elif kind == "typed_jsonl":
-        TB.typed_json(df).write.text(path)
+        put(TB.typed_json(df))
     elif kind == "xml":
-        TB.write_xml(df.select(*[escaped(F.col(f"`{f.name}`")).alias(f.name) if isinstance(f.dataType, T.StringType) else F.col(f"`{f.name}`") for f in df.schema]), path)
+        TB.write_xml(df.select(*[escaped(F.col(f"`{f.name}`")).alias(f.name) if isinstance(f.dataType, T.StringType) else F.col(f"`{f.name}`") for f in df.schema]), path, compression)
     elif kind == "sql":
-        TB.insert_lines(df, table).write.text(path)
+        put(TB.insert_lines(df, table))
     else:
         raise ValueError(f"unknown format {kind}")
 
@@ -159,11 +163,33 @@ def typed_json_problems(lines: DataFrame, schema: T.StructType) -> DataFrame:
     return bad.select("value", "x.column", "x.found")
 
 
+#: Texts and binaries of more bytes are compared by their digests. Fixed value.
+_WHOLE = 64
+
+
+def _mark(c: Column, kind: T.DataType) -> Column:
+    """What stands for a cell where it is compared: long texts and binaries are named by their size and SHA-256, others by themselves."""
+    if not isinstance(kind, (T.StringType, T.BinaryType)):
+        return c
+    n = F.octet_length(c)
+    return F.struct(F.when(n <= _WHOLE, c).alias("whole"), F.when(n > _WHOLE, F.struct(n.alias("n"), F.unhex(F.sha2(c, 256)).alias("digest"))).alias("long"))
+
+
 def round_trip_problems(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
-    """key, column of cells that differ, deeply compared; column is null for rows that only one side has. Floats have to be equal to the bit."""
-    a, b = before.withColumn("_l", F.lit(True)).alias("a"), after.withColumn("_r", F.lit(True)).alias("b")
+    """key, column of cells that differ, deeply compared; column is null for rows that only one side has. Floats have to be equal to the bit. Long texts meet as digests, so that they are not shuffled."""
+    names = [f.name for f in before.schema if f.name != key]
+
+    def side(df: DataFrame, there: str) -> DataFrame:
+        return df.select(F.col(f"`{key}`"), *[_mark(F.col(f"`{n}`"), df.schema[n].dataType).alias(n) for n in names], F.lit(True).alias(there))
+
+    a, b = side(before, "_l").alias("a"), side(after, "_r").alias("b")
     both = a.join(b, F.col(f"a.{key}").eqNullSafe(F.col(f"b.{key}")), "full_outer")
     one_side = F.col("a._l").isNull() | F.col("b._r").isNull()
-    items = [F.when(~one_side & ~O.same(F.col(f"a.`{f.name}`"), F.col(f"b.`{f.name}`"), f.dataType), F.lit(f.name)) for f in before.schema if f.name != key]
+
+    def same(f: T.StructField) -> Column:
+        x, y = F.col(f"a.`{f.name}`"), F.col(f"b.`{f.name}`")
+        return x.eqNullSafe(y) if isinstance(f.dataType, (T.StringType, T.BinaryType)) else O.same(x, y, f.dataType)
+
+    items = [F.when(~one_side & ~same(f), F.lit(f.name)) for f in before.schema if f.name != key]
     found = F.when(one_side, F.array(F.lit(None).cast("string"))).otherwise(F.filter(F.array(*items), lambda x: x.isNotNull()))
     return both.select(F.coalesce(f"a.{key}", f"b.{key}").cast("string").alias("key"), F.explode(found).alias("column"))

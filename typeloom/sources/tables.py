@@ -279,8 +279,8 @@ def insert_lines(df: DataFrame, name: str) -> DataFrame:
     return df.select(F.concat(F.lit(f'INSERT INTO "{name}" VALUES ('), F.concat_ws(", ", *cells), F.lit(");")).alias("value"))
 
 
-def write_xml(df: DataFrame, path: str) -> None:
-    df.write.format("xml").option("rootTag", "file").option("rowTag", "row").save(path)
+def write_xml(df: DataFrame, path: str, compression: str = "none") -> None:
+    df.write.format("xml").option("rootTag", "file").option("rowTag", "row").option("compression", compression).save(path)
 
 
 def read_xml(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
