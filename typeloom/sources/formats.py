@@ -90,11 +90,11 @@ def _typed(rows: DataFrame, columns: list[S.Column], types: S.Types | None) -> D
 
 
 def write(df: DataFrame, path: str, kind: str | None = None, table: str = "table", compression: str = "none") -> None:
-    """df in a format (default: by the path's extension). Triples take their entity from the first column. Part files that are compressed are read whole, one a task."""
+    """df in a format (default: by the path's extension). Triples take their entity from the first column. Part files that are compressed (by zlib at its fastest level) are read whole, one a task."""
     kind = kind or kind_of(path)
 
     def put(lines: DataFrame) -> None:
-        lines.write.option("compression", compression).text(path)
+        lines.write.option("compression", compression).option("zlib.compress.level", "BEST_SPEED").text(path)
 
     if kind in ("tsv", "literal_tsv"):
         put(df.select(F.concat_ws("\t", *_cells(df, "literal" if kind == "literal_tsv" else "json")).alias("value")))

@@ -280,7 +280,7 @@ def insert_lines(df: DataFrame, name: str) -> DataFrame:
 
 
 def write_xml(df: DataFrame, path: str, compression: str = "none") -> None:
-    df.write.format("xml").option("rootTag", "file").option("rowTag", "row").option("compression", compression).save(path)
+    df.write.format("xml").option("rootTag", "file").option("rowTag", "row").option("compression", compression).option("zlib.compress.level", "BEST_SPEED").save(path)
 
 
 def read_xml(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
