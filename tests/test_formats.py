@@ -167,3 +167,37 @@ def test_json_documents_over_splits(spark, tmp_path, layout, size):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
         spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_columns_are_read_by_cells(spark, tmp_path):
+    """No column is read or put together as one text, over splits and blocks: a column is far longer than the longest piece that may be read. Columns may be shorter than others, or empty."""
+    import json
+
+    rng = random.Random(5)
+    odd = lambda: "".join(rng.choice(["a", "]", "}", "[", "{", '"', "\\", ",", "é", " "]) for _ in range(rng.randrange(8)))
+    whole = [list(range(5000)), [odd() for _ in range(3000)], [], [{"a": [i, odd()]} if i % 3 else None for i in range(130)]]
+    (tmp_path / "x.json").write_text(json.dumps(whole, ensure_ascii=False))
+    longest = "mapreduce.input.linerecordreader.line.maxlength"
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 10_000)
+    hadoop.set(longest, "1000")
+    try:
+        back = TB.parse_json(spark, str(tmp_path / "x.json"), "columns", TS.header(["a:long", "b:text|nil", "c:long|nil", "d:raw|nil"]))
+        assert sorted((r["_line"], r["a"]) for r in back.select("_line", "a").collect()) == [(i + 1, i) for i in range(5000)]
+        cells = {r["_line"]: r["cells"] for r in JD.column_rows(spark, str(tmp_path / "x.json"), 4).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        hadoop.unset(longest)
+    assert sorted(cells) == list(range(1, 5001))
+    for i in range(5000):
+        a, b, c, d = cells[i + 1]
+        assert (a, b, c) == (str(i), whole[1][i] if i < 3000 else None, None), i
+        assert (json.loads(d) if d else d) == (whole[3][i] if i < 130 else None), i
+
+
+def test_columns_that_are_none(spark, tmp_path):
+    columns = TS.header(["a:integer|nil", "b:integer|nil"])
+    for text, problem in (("[[1,2],[3]", "cut off"), ("[[1],[2]] [[3]]", "behind its end"), ("[[1],5,[2]]", "no array of arrays"), ('[[1],{"a":2}]', "no array of arrays|not as many"), ("[[1,,2],[3]]", "MALFORMED"), ("[[1,],[3]]", "MALFORMED")):
+        (tmp_path / "x.json").write_text(text)
+        with pytest.raises(Exception, match=problem):
+            TB.parse_json(spark, str(tmp_path / "x.json"), "columns", columns).collect()

@@ -151,8 +151,11 @@ def is_triples(raw: DataFrame) -> bool:
 
 def parse_json(spark: SparkSession, path: str, layout: str, columns: list[S.Column], types: S.Types | None = None) -> DataFrame:
     """A JSON file as objects ([{...}]), rows ([[...]]) or columns ([[...], ...]); absent and null values are empty. Text that is no such JSON, values past the header and missing columns are errors
-    when the rows are read; jsondocs.records() gives them as rows."""
+    when the rows are read (in the layout columns, those of the outer arrays at once); jsondocs.records() gives them as rows."""
     types = types or S.Types()
+    if layout == "columns":
+        cells = JD.column_rows(spark, path, len(columns))
+        return typed(cells.select("_line", F.transform("cells", lambda x: F.coalesce(x, F.lit(""))).alias("cells")), columns, types)
     found = JD.records(spark, path, layout)
     text = F.when(F.col("problem").isNotNull(), F.raise_error(F.concat(F.lit(f"{path}: "), F.col("problem"))).cast("string")).otherwise(F.col("value"))
     fast, array = {"mode": "FAILFAST"}, "array<string>"
@@ -160,15 +163,9 @@ def parse_json(spark: SparkSession, path: str, layout: str, columns: list[S.Colu
         rows = found.select("_line", F.from_json(text, "struct<" + ",".join(f"`{c.name}`:string" for c in columns) + ">", fast).alias("o"))
         return typed(rows.select("_line", F.array(*[F.coalesce(F.col(f"o.`{c.name}`"), F.lit("")) for c in columns]).alias("cells")), columns, types)
     rows = found.select("_line", F.from_json(text, array, fast).alias("x"))
-    if layout == "rows":
-        long = F.raise_error(F.lit(f"{path}: a row has more values than the header")).cast(array)
-        rows = rows.select("_line", F.when(F.size("x") > len(columns), long).otherwise(F.col("x")).alias("x"))
-        return typed(rows.select("_line", F.transform("x", lambda x: F.coalesce(x, F.lit(""))).alias("cells")), columns, types)
-    if (n := rows.count()) != len(columns):
-        raise ValueError(f"{path}: not as many columns as the header has, but {n}")
-    cells = rows.select(F.col("_line").alias("column"), F.posexplode("x").alias("pos", "cell")).groupBy("pos").agg(F.map_from_entries(F.collect_list(F.struct("column", "cell"))).alias("m"))
-    cells = cells.select((F.col("pos") + 1).cast("long").alias("_line"), F.array(*[F.coalesce(F.try_element_at("m", F.lit(i).cast("long")), F.lit("")) for i in range(1, n + 1)]).alias("cells"))
-    return typed(cells, columns, types)
+    long = F.raise_error(F.lit(f"{path}: a row has more values than the header")).cast(array)
+    rows = rows.select("_line", F.when(F.size("x") > len(columns), long).otherwise(F.col("x")).alias("x"))
+    return typed(rows.select("_line", F.transform("x", lambda x: F.coalesce(x, F.lit(""))).alias("cells")), columns, types)
 
 
 # -- writers --
